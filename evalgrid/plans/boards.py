@@ -32,18 +32,7 @@ def summary(
     wide = values.groupBy(*MODEL).pivot("dimension", list(DIMENSIONS)).agg(F.first("value"))
     points = aggregate.headline(values, MODEL)
     if n_dimension in (None, n):
-        levels = F.array(F.lit(resample.ALPHA / 2), F.lit(1 - resample.ALPHA / 2))
-        drawn = resample.replicates(clusters, MODEL, n, seed).groupBy(*MODEL, "draw").agg(
-            F.avg("ratio").alias("score"),
-            *[F.max(F.when(F.col("dimension") == d, F.col("ratio"))).alias(d) for d in DIMENSIONS],
-        )
-        bounds = drawn.groupBy(*MODEL).agg(
-            *[F.percentile(c, levels).alias(f"__{c}") for c in ("score", *DIMENSIONS)]
-        )
-        spread = bounds.select(
-            *MODEL,
-            *[F.col(f"__{c}")[i].alias(f"{c}_{end}") for c in ("score", *DIMENSIONS) for i, end in enumerate(("lo", "hi"))],
-        )
+        spread = resample.all_intervals(clusters, MODEL, DIMENSIONS, n, seed)
     else:
         head = resample.headline_intervals(clusters, MODEL, n, seed).select(
             *MODEL, F.col("lo").alias("score_lo"), F.col("hi").alias("score_hi")
@@ -92,4 +81,4 @@ def pair_table(
         (F.col("weight") * F.col("n_generations") * F.col("rate")).alias("num"),
     )
     order = rank.positions(aggregate.headline(aggregate.dimension_scores(per_check, MODEL), MODEL))
-    return pairs.compare(means, order, n, permutations, seed)
+    return cut(pairs.compare(means, order, n, permutations, seed))

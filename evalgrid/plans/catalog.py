@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from evalgrid.plans import registry, score_queries  # noqa: F401 - imported to register
+from evalgrid.plans import (  # noqa: F401 - imported to register
+    pair_queries,
+    registry,
+    score_queries,
+)
 
 def queries() -> dict[str, registry.Query]:
     return dict(registry.QUERIES)
