@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 # The word class, the inflections an alias may carry, and the cues
 # that put an alias hit inside a negation.
 WORD = r"[\p{L}\p{N}_]"
-INFLECTION = "(?:s|es|d|ed|ing)?"
+INFLECTION = "(?:s|es|d|ed|ing)"
 NEGATORS = (
     "not", "no", "never", "without", "cannot", "n't", "lack", "lacks", "lacking",
     "avoid", "avoids", "avoiding", "isn", "aren", "wasn", "weren", "don", "doesn",
@@ -37,32 +37,67 @@ def quote_literal(text: Column) -> Column:
 
 
 def alias_pattern(alias: Column) -> Column:
-    """The whole-word, inflection-tolerant pattern of one alias."""
-    return F.concat(
-        F.lit(_BOUNDARY), quote_literal(F.lower(alias)), F.lit(INFLECTION + _BOUNDARY)
+    """The whole-word, inflection-tolerant pattern of one alias.
+
+    The literal comes first, so that the engine can skip to it; what must stand
+    before it is looked up from there.
+    """
+    lowered = F.lower(alias)
+    literal = quote_literal(lowered)
+    before = F.when(F.rlike(lowered, F.lit(f"^{WORD}")), f"(?<!{WORD})").otherwise(f"(?<={WORD})")
+    after = F.when(F.rlike(lowered, F.lit(f"{WORD}$")), f"{INFLECTION}?(?!{WORD})").otherwise(
+        f"(?:{INFLECTION}(?!{WORD})|(?={WORD}))"
+    )
+    pattern = F.concat(literal, F.lit("(?<="), before, literal, F.lit(")"), after)
+    return F.when(lowered == "", F.lit(_BOUNDARY)).otherwise(pattern)
+
+
+def prepared_aliases(aliases: Column) -> Column:
+    """Aliases ready for matching: what to look for first, and the pattern."""
+    return F.transform(
+        aliases, lambda a: F.struct(F.lower(a).alias("needle"), alias_pattern(a).alias("pattern"))
     )
 
 
-def alias_patterns(aliases: Column) -> Column:
-    """One pattern per alias."""
-    return F.transform(aliases, alias_pattern)
+def haystack(text: Column) -> Column:
+    """``text`` as the matchers below want it: lower-cased, free of the cut mark."""
+    return F.regexp_replace(F.lower(text), _MARK, "\u0002")
 
 
-def any_alias_pattern(aliases: Column) -> Column:
-    """One pattern that matches when any alias of the list does.
+def has_hit(prepared: Column, body: Column) -> Column:
+    """Whether a haystack holds any of the prepared aliases as a whole word.
 
-    With no aliases the pattern can never match.
+    Most texts are dismissed by a plain search before a pattern is tried.
     """
-    body = F.array_join(F.transform(aliases, lambda a: quote_literal(F.lower(a))), "|")
-    return F.when(
-        F.size(aliases) > 0,
-        F.concat(F.lit(_BOUNDARY + "(?:"), body, F.lit(")" + INFLECTION + _BOUNDARY)),
-    ).otherwise(F.lit("(?!)"))
+    found = F.exists(
+        prepared, lambda a: F.contains(body, a["needle"]) & F.rlike(body, a["pattern"])
+    )
+    return F.coalesce(found, F.lit(False))
+
+
+def has_open_hit(
+    prepared: Column,
+    body: Column,
+    negators: Sequence[str] = NEGATORS,
+    phrases: Sequence[str] = NEGATOR_PHRASES,
+) -> Column:
+    """Whether some alias occurs in a haystack outside a negation scope.
+
+    Each alias is walked on its own, because two aliases may overlap and the
+    scope is measured from the start of the hit.
+    """
+    found = F.exists(
+        prepared,
+        lambda a: F.when(
+            F.contains(body, a["needle"]), _has_open_hit(body, a["pattern"], negators, phrases)
+        ).otherwise(F.lit(False)),
+    )
+    return F.coalesce(found, F.lit(False))
 
 
 def alias_match(aliases: Column, text: Column) -> Column:
     """Whether any alias occurs in ``text`` as a whole word."""
-    return F.coalesce(F.lower(text).rlike(any_alias_pattern(aliases)), F.lit(False))
+    return has_hit(prepared_aliases(aliases), haystack(text))
 
 
 def asserts_alias(
@@ -71,22 +106,12 @@ def asserts_alias(
     negators: Sequence[str] = NEGATORS,
     phrases: Sequence[str] = NEGATOR_PHRASES,
 ) -> Column:
-    """Whether some alias occurs in ``text`` outside a negation scope.
-
-    Each alias is walked on its own, because two aliases may overlap and the
-    scope is measured from the start of the hit. The walk runs only where a
-    plain match exists.
-    """
-    haystack = F.regexp_replace(F.lower(text), _MARK, "\u0002")
-    walk = F.exists(
-        alias_patterns(aliases),
-        lambda pattern: _has_open_hit(haystack, pattern, negators, phrases),
-    )
-    return F.when(alias_match(aliases, text), walk).otherwise(F.lit(False))
+    """Whether some alias occurs in ``text`` outside a negation scope."""
+    return has_open_hit(prepared_aliases(aliases), haystack(text), negators, phrases)
 
 
 def _has_open_hit(
-    haystack: Column, pattern: Column, negators: Sequence[str], phrases: Sequence[str]
+    body: Column, pattern: Column, negators: Sequence[str], phrases: Sequence[str]
 ) -> Column:
     """Fold over the text cut at each hit, carrying only the recent context.
 
@@ -94,7 +119,7 @@ def _has_open_hit(
     words, whether the last word is still open at the cut, and the last
     characters, so the fold is linear in the text.
     """
-    pieces = F.split(F.regexp_replace(haystack, pattern, _MARK + "$0"), _MARK, -1)
+    pieces = F.split(F.regexp_replace(body, pattern, _MARK + "$0"), _MARK, -1)
     no_words = F.array().cast("array<string>")
     start = F.struct(
         F.lit(False).alias("hit"),

@@ -15,14 +15,21 @@ CHECK = ["model", "item", "dimension", "sub"]
 STRETCHES = 4096
 
 
-def with_occurrence(rows: DataFrame, keys: list[str], order: str, ties: list[str] | None = None) -> DataFrame:
+def with_occurrence(
+    rows: DataFrame,
+    keys: list[str],
+    order: str,
+    ties: list[str] | None = None,
+    bounds: tuple[int, int] | None = None,
+) -> DataFrame:
     """Add ``occurrence``: the zero-based number of each row within its keys.
 
     A key may hold any share of the table, so it is never numbered in one
     piece. The order column is cut into equal stretches; each is numbered on
-    its own and shifted by the rows in the stretches before it.
+    its own and shifted by the rows in the stretches before it. ``bounds`` of
+    the order column save looking them up.
     """
-    low, high = rows.agg(F.min(order), F.max(order)).first()
+    low, high = bounds or rows.agg(F.min(order), F.max(order)).first()
     if low is None:
         return rows.withColumn("occurrence", F.lit(None).cast("bigint"))
     width = max(1, (int(high) - int(low)) // STRETCHES + 1)
@@ -40,7 +47,11 @@ def with_occurrence(rows: DataFrame, keys: list[str], order: str, ties: list[str
 
 
 def seed_records(
-    scores: DataFrame, only_misses: bool = True, ties: list[str] | None = None, root: str = "outputs"
+    scores: DataFrame,
+    only_misses: bool = True,
+    ties: list[str] | None = None,
+    bounds: tuple[int, int] | None = None,
+    root: str = "outputs",
 ) -> DataFrame:
     """A blank review record for every graded row, or for every miss.
 
@@ -48,7 +59,7 @@ def seed_records(
     so the answer it is about can be found without guessing.
     """
     rows = scope.misses(scores) if only_misses else scores
-    numbered = with_occurrence(rows, ["run_id", *CHECK], "generation", ties)
+    numbered = with_occurrence(rows, ["run_id", *CHECK], "generation", ties, bounds)
     run, model, item = F.col("run_id"), F.col("model"), F.col("item")
     flags = [F.lit(flag == "key_valid").alias(flag) for flag in AUDIT_FLAGS]
     return numbered.select(

@@ -17,7 +17,11 @@ CEILING_PLACES = ("$.{0}", "$.body.{0}", "$.params.{0}", "$.request.{0}", "$.req
 
 
 def cost_summary(traces: DataFrame, keys: list[str]) -> DataFrame:
-    """Requests, tokens and cost; cost is null only if every row's is."""
+    """Requests, tokens and cost; cost is null only if every row's is.
+
+    Costs carry eight decimals, so they are summed as decimals: the total does
+    not depend on the order of the rows.
+    """
     def tokens(name: str) -> Column:
         return F.coalesce(F.sum(f"usage.{name}"), F.lit(0)).alias(name)
 
@@ -27,7 +31,7 @@ def cost_summary(traces: DataFrame, keys: list[str]) -> DataFrame:
         tokens("output_tokens"),
         tokens("total_tokens"),
         tokens("cached_input_tokens"),
-        F.round(F.sum("cost_usd"), 6).alias("estimated_cost_usd"),
+        F.round(F.sum(F.col("cost_usd").cast("decimal(28,8)")), 6).cast("double").alias("estimated_cost_usd"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import inspect
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from evalgrid import DIMENSIONS
 from evalgrid.functions import parsing, text
 from evalgrid.operators import gates
-from evalgrid.session import bounded_broadcast
+from evalgrid.session import BROADCAST_ROWS, bounded_broadcast
 
 #: The turn name of an answer to a single-turn item.
 SINGLE_TURN = "response"
@@ -20,11 +21,17 @@ SETUP_TURN = "setup"
 _ROW = ("sub", "dimension", "weight", "correct")
 
 
-def alias_matcher(aliases: Column, text_: Column, respect_negation: bool = False) -> Column:
-    """The default matcher: whole words, optionally outside negations."""
-    if respect_negation:
-        return text.asserts_alias(aliases, text_)
-    return text.alias_match(aliases, text_)
+@dataclass(frozen=True)
+class AliasMatcher:
+    """The default matcher: whole words, for assertions outside negations."""
+
+    negators: tuple[str, ...] = text.NEGATORS
+    phrases: tuple[str, ...] = text.NEGATOR_PHRASES
+
+    def __call__(self, aliases: Column, body: Column, respect_negation: bool = False) -> Column:
+        if respect_negation:
+            return text.asserts_alias(aliases, body, self.negators, self.phrases)
+        return text.alias_match(aliases, body)
 
 
 def _asserted(matcher: Callable[..., Column], aliases: Column, body: Column) -> Column:
@@ -49,52 +56,73 @@ def parse_status(responses: DataFrame) -> DataFrame:
 def grade(
     responses: DataFrame,
     checks: DataFrame,
-    matcher: Callable[..., Column] = alias_matcher,
+    matcher: Callable[..., Column] = AliasMatcher(),
 ) -> DataFrame:
     """Grade answers against flattened checks.
 
     Answers without a readable object give no rows: they are coverage gaps,
     not misses. The checks are broadcast if a count shows them small, so the
-    answers are graded where they were read; only multi-turn items shuffle, to
-    compare later turns with the first call.
+    answers are graded where they were read; only calls that must be held
+    shuffle, to be compared with the first call.
     """
-    gates.must_be_empty(
-        checks.filter(~F.col("dimension").isin(*DIMENSIONS)).select("item", "dimension"),
-        "checks of an unknown type",
-    )
-    small_checks = bounded_broadcast(checks)
+    known = F.coalesce(F.col("dimension").isin(*DIMENSIONS), F.lit(False))
+    size = checks.agg(F.count(F.lit(1)).alias("n"), F.count_if(~known).alias("n_unknown")).first()
+    if size["n_unknown"]:
+        raise gates.GateError(f"{size['n_unknown']} checks are of an unknown type")
+    small = size["n"] <= BROADCAST_ROWS
     keys = keys_of(responses)
     parsed = parsing.parse_objects(responses).filter(F.col("parsed").isNotNull())
-    single = grade_single(parsed, small_checks, matcher)
+    single = grade_single(parsed, checks, matcher, small)
     turns = grade_conviction(
         parsed.filter(F.col("turn_id") != SINGLE_TURN).select(
             *keys, "turn_id", recommendation(F.col("parsed")).alias("recommendation")
         ),
         checks,
+        small,
     )
     return single.select(*keys, *_ROW).unionByName(turns.select(*keys, *_ROW))
 
 
 def grade_single(
-    parsed: DataFrame, checks: DataFrame, matcher: Callable[..., Column] = alias_matcher
+    parsed: DataFrame,
+    checks: DataFrame,
+    matcher: Callable[..., Column] = AliasMatcher(),
+    small: bool = False,
 ) -> DataFrame:
-    """Grade parsed single-turn answers: labels, landmines and false alarms."""
+    """Grade parsed single-turn answers: labels, landmines and false alarms.
+
+    ``small`` says that the checks were counted and may be broadcast.
+    The default matcher works on patterns made once per check and on text
+    prepared once per answer. Any other is called with aliases and text.
+    """
     keys = keys_of(parsed)
+    prepared = isinstance(matcher, AliasMatcher)
+    clean = text.haystack if prepared else (lambda body: body)
     answers = parsed.filter(F.col("turn_id") == SINGLE_TURN).select(
         *keys,
         parsing.string_map(F.col("parsed"), "$.classifications").alias("__labels"),
-        parsing.statements(F.col("parsed"), "$.limitations").alias("__limitations"),
-        parsing.statements(F.col("parsed"), "$.conclusions").alias("__conclusions"),
+        clean(parsing.statements(F.col("parsed"), "$.limitations")).alias("__limitations"),
+        clean(parsing.statements(F.col("parsed"), "$.conclusions")).alias("__conclusions"),
+    )
+    kinds = checks.filter(F.col("kind").isin("label", "landmine", "false_alarm")).select(
+        "item", "dimension", "sub", "kind", "weight", "expected", "aliases",
+        text.prepared_aliases(F.col("aliases")).alias("__prepared"),
     )
-    kinds = checks.filter(F.col("kind").isin("label", "landmine", "false_alarm"))
-    return answers.join(kinds, "item").select(
+    limitations, conclusions = F.col("__limitations"), F.col("__conclusions")
+    if prepared:
+        mentioned = text.has_hit(F.col("__prepared"), limitations)
+        asserted = text.has_open_hit(F.col("__prepared"), conclusions, matcher.negators, matcher.phrases)
+    else:
+        mentioned = matcher(F.col("aliases"), limitations)
+        asserted = _asserted(matcher, F.col("aliases"), conclusions)
+    return answers.join(F.broadcast(kinds) if small else kinds, "item").select(
         *keys,
         "dimension",
         "sub",
         "weight",
         F.when(F.col("kind") == "label", label_is(F.col("__labels"), F.col("sub"), F.col("expected")))
-        .when(F.col("kind") == "landmine", matcher(F.col("aliases"), F.col("__limitations")))
-        .otherwise(~_asserted(matcher, F.col("aliases"), F.col("__conclusions")))
+        .when(F.col("kind") == "landmine", mentioned)
+        .otherwise(~asserted)
         .alias("correct"),
     )
 
@@ -110,7 +138,7 @@ def recommendation(parsed: Column) -> Column:
     return F.upper(F.coalesce(F.try_variant_get(parsed, "$.recommendation", "string"), F.lit("")))
 
 
-def grade_conviction(turns: DataFrame, checks: DataFrame) -> DataFrame:
+def grade_conviction(turns: DataFrame, checks: DataFrame, small: bool = False) -> DataFrame:
     """Grade parsed turns: first calls, later calls, and calls to be held.
 
     ``turns`` has one row per answered turn with its upper-cased
@@ -126,7 +154,7 @@ def grade_conviction(turns: DataFrame, checks: DataFrame) -> DataFrame:
         .join(first, "item", "left")
         .select("item", "turn_id", "dimension", "sub", "weight", "allowed", "strict_hold", "__first_allowed")
     )
-    matched = turns.join(bounded_broadcast(rules), ["item", "turn_id"])
+    matched = turns.join(F.broadcast(rules) if small else rules, ["item", "turn_id"])
     plain = matched.filter(~F.col("strict_hold")).withColumn(
         "correct", F.array_contains("allowed", F.col("recommendation"))
     )

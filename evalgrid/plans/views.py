@@ -13,7 +13,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def scores(spark: SparkSession, folder: str) -> DataFrame:
+def scores(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     """Every line item as one graded check of one of eight models.
 
     The last model is a baseline; a few items are examples; two groups of
@@ -36,10 +36,16 @@ def scores(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_orderkey").alias("generation"),
         passed.alias("correct"),
         F.when(line % 3 == 0, 2.0).otherwise(1.0).alias("weight"),
+        *extra,
     )
 
 
-SCORES = """
+def scores_sql(*extra: str) -> str:
+    """The same as a SQL table expression."""
+    return _SCORES.replace("/*extra*/", "".join(f", {c}" for c in extra))
+
+
+_SCORES = """
 scores_v as (
   select strftime(l_shipdate, '%Y-%m-01') as run_id,
          'm' || (l_suppkey % 8) || case when l_suppkey % 8 = 7 then '-naive' else '' end as model,
@@ -51,8 +57,9 @@ scores_v as (
          case when l_linenumber = 7 and l_partkey % 45 < 9 then true
               when l_linenumber = 6 and l_partkey % 45 >= 36 then false
               else l_quantity > 8 + 3 * (l_suppkey % 8) + 2 * (l_partkey % 45 % 3) end as correct,
-         case when l_linenumber % 3 = 0 then 2.0e0 else 1.0e0 end as weight
+         case when l_linenumber % 3 = 0 then 2.0e0 else 1.0e0 end as weight /*extra*/
   from lineitem)"""
+SCORES = scores_sql()
 
 SUMS = SCORES + """,
 sums as (

@@ -20,11 +20,11 @@ def read_score_files(spark: SparkSession, path: str, run_id: str) -> DataFrame:
 def write_scores(scores: DataFrame, path: str) -> None:
     """Store scores, replacing exactly the runs and models they cover.
 
-    Rows are gathered by run and model first, so each partition folder gets a
-    few files; a large one is split by item instead of going to one task.
+    Rows are gathered by run and model first, so each folder gets few files;
+    the rebalance splits a large one over several tasks.
     """
     (
-        scores.repartition(*_STORE_KEYS, "item")
+        scores.hint("rebalance", *_STORE_KEYS)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*_STORE_KEYS)
