@@ -6,5 +6,13 @@ tests, boards, gates and audits. Every public function takes DataFrames or
 Columns and returns them; Spark plans and runs the work.
 """
 
+import sys
+
+from pyspark.cloudpickle.cloudpickle import register_pickle_by_value
+
+# The few functions that run in Python tasks travel with them, so that the
+# executors need not have this package installed.
+register_pickle_by_value(sys.modules[__name__])
+
 #: The three dimensions of a score, in report order (fixed values).
 DIMENSIONS = ("restraint", "honesty", "conviction")

@@ -139,15 +139,15 @@ def read_judgments(lines: DataFrame, text: str = "value") -> DataFrame:
     A line is either the record itself or wraps its text the way a vendor does.
     The line's own id fills in when the record lacks one.
     """
-    outer = lines.withColumn("__line", F.try_parse_json(F.col(text)))
+    outer = parsing.hold(lines, "__line", F.try_parse_json(F.col(text)))
     flat = F.try_variant_get("__line", "$.audit_id", "string").isNotNull() & F.try_variant_get(
         "__line", "$.recommended_action", "string"
     ).isNotNull()
-    inner = outer.withColumn(
+    spoken = parsing.hold(outer, "__text", F.when(~F.coalesce(flat, F.lit(False)), judgment_text(F.col("__line"))))
+    inner = parsing.hold(
+        spoken,
         "__record",
-        F.when(flat, F.col("__line")).otherwise(
-            F.try_parse_json(parsing.unfence(judgment_text(F.col("__line"))))
-        ),
+        F.when(flat, F.col("__line")).otherwise(F.try_parse_json(parsing.unfence(F.col("__text")))),
     )
     fields = [
         F.try_variant_get("__record", f"$.{name}", kind).alias(name) for name, kind in JUDGMENT.items()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from evalgrid import DIMENSIONS
 from evalgrid.functions import parsing, text
 from evalgrid.operators import gates
-from evalgrid.session import BROADCAST_ROWS, bounded_broadcast
+from evalgrid.session import BROADCAST_ROWS, bounded_broadcast, cut
 
 #: The turn name of an answer to a single-turn item.
 SINGLE_TURN = "response"
@@ -65,65 +65,91 @@ def grade(
     answers are graded where they were read; only calls that must be held
     shuffle, to be compared with the first call.
     """
-    known = F.coalesce(F.col("dimension").isin(*DIMENSIONS), F.lit(False))
-    size = checks.agg(F.count(F.lit(1)).alias("n"), F.count_if(~known).alias("n_unknown")).first()
-    if size["n_unknown"]:
-        raise gates.GateError(f"{size['n_unknown']} checks are of an unknown type")
-    small = size["n"] <= BROADCAST_ROWS
+    found = _kinds(checks)
     keys = keys_of(responses)
     parsed = parsing.parse_objects(responses).filter(F.col("parsed").isNotNull())
-    single = grade_single(parsed, checks, matcher, small)
-    turns = grade_conviction(
-        parsed.filter(F.col("turn_id") != SINGLE_TURN).select(
+    parts = []
+    if found.labels or found.texts or not found.turns:
+        parts.append(grade_single(parsed, checks, matcher, found))
+    if found.turns:
+        # a few words per turn, read by several steps: parse the texts once
+        calls = parsed.filter(F.col("turn_id") != SINGLE_TURN).select(
             *keys, "turn_id", recommendation(F.col("parsed")).alias("recommendation")
-        ),
-        checks,
-        small,
-    )
-    return single.select(*keys, *_ROW).unionByName(turns.select(*keys, *_ROW))
+        )
+        parts.append(grade_conviction(cut(calls), checks, found))
+    rows = [part.select(*keys, *_ROW) for part in parts]
+    return rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+
+
+@dataclass(frozen=True)
+class _Kinds:
+    """How many checks of each kind a bank has; all counted at once."""
+
+    labels: int
+    texts: int
+    turns: int
+
+    @property
+    def small(self) -> bool:
+        """Whether the checks may be broadcast."""
+        return self.labels + self.texts + self.turns <= BROADCAST_ROWS
+
+
+def _kinds(checks: DataFrame) -> _Kinds:
+    kind = F.col("kind")
+    known = F.coalesce(F.col("dimension").isin(*DIMENSIONS), F.lit(False))
+    counts = checks.agg(
+        F.count_if(~known).alias("unknown"),
+        F.count_if(kind == "label").alias("labels"),
+        F.count_if(kind.isin("landmine", "false_alarm")).alias("texts"),
+        F.count_if(kind.isin("initial", "turn")).alias("turns"),
+    ).first()
+    if counts["unknown"]:
+        raise gates.GateError(f"{counts['unknown']} checks are of an unknown type")
+    return _Kinds(counts["labels"], counts["texts"], counts["turns"])
 
 
 def grade_single(
     parsed: DataFrame,
     checks: DataFrame,
     matcher: Callable[..., Column] = AliasMatcher(),
-    small: bool = False,
+    found: _Kinds | None = None,
 ) -> DataFrame:
     """Grade parsed single-turn answers: labels, landmines and false alarms.
 
-    ``small`` says that the checks were counted and may be broadcast.
     The default matcher works on patterns made once per check and on text
-    prepared once per answer. Any other is called with aliases and text.
+    prepared once per answer. Any other is called with aliases and text. A bank
+    of labels alone leaves the text untouched.
     """
+    found = found or _kinds(checks)
     keys = keys_of(parsed)
-    prepared = isinstance(matcher, AliasMatcher)
-    clean = text.haystack if prepared else (lambda body: body)
-    answers = parsed.filter(F.col("turn_id") == SINGLE_TURN).select(
-        *keys,
-        parsing.string_map(F.col("parsed"), "$.classifications").alias("__labels"),
-        clean(parsing.statements(F.col("parsed"), "$.limitations")).alias("__limitations"),
-        clean(parsing.statements(F.col("parsed"), "$.conclusions")).alias("__conclusions"),
-    )
-    kinds = checks.filter(F.col("kind").isin("label", "landmine", "false_alarm")).select(
-        "item", "dimension", "sub", "kind", "weight", "expected", "aliases",
-        text.prepared_aliases(F.col("aliases")).alias("__prepared"),
-    )
-    limitations, conclusions = F.col("__limitations"), F.col("__conclusions")
-    if prepared:
-        mentioned = text.has_hit(F.col("__prepared"), limitations)
-        asserted = text.has_open_hit(F.col("__prepared"), conclusions, matcher.negators, matcher.phrases)
+    answers = parsed.filter(F.col("turn_id") == SINGLE_TURN)
+    labels = parsing.string_map(F.col("parsed"), "$.classifications").alias("__labels")
+    right = label_is(F.col("__labels"), F.col("sub"), F.col("expected"))
+    kinds = checks.filter(F.col("kind").isin("label", "landmine", "false_alarm"))
+    rule = ["item", "dimension", "sub", "kind", "weight", "expected"]
+    if not found.texts:
+        answers, kinds = answers.select(*keys, labels), kinds.select(*rule)
     else:
-        mentioned = matcher(F.col("aliases"), limitations)
-        asserted = _asserted(matcher, F.col("aliases"), conclusions)
-    return answers.join(F.broadcast(kinds) if small else kinds, "item").select(
-        *keys,
-        "dimension",
-        "sub",
-        "weight",
-        F.when(F.col("kind") == "label", label_is(F.col("__labels"), F.col("sub"), F.col("expected")))
-        .when(F.col("kind") == "landmine", mentioned)
-        .otherwise(~asserted)
-        .alias("correct"),
+        prepared = isinstance(matcher, AliasMatcher)
+        clean = text.haystack if prepared else (lambda body: body)
+        answers = answers.select(
+            *keys,
+            labels,
+            clean(parsing.statements(F.col("parsed"), "$.limitations")).alias("__limitations"),
+            clean(parsing.statements(F.col("parsed"), "$.conclusions")).alias("__conclusions"),
+        )
+        kinds = kinds.select(*rule, "aliases", text.prepared_aliases(F.col("aliases")).alias("__prepared"))
+        limitations, conclusions = F.col("__limitations"), F.col("__conclusions")
+        if prepared:
+            mentioned = text.has_hit(F.col("__prepared"), limitations)
+            asserted = text.has_open_hit(F.col("__prepared"), conclusions, matcher.negators, matcher.phrases)
+        else:
+            mentioned = matcher(F.col("aliases"), limitations)
+            asserted = _asserted(matcher, F.col("aliases"), conclusions)
+        right = F.when(F.col("kind") == "label", right).when(F.col("kind") == "landmine", mentioned).otherwise(~asserted)
+    return answers.join(F.broadcast(kinds) if found.small else kinds, "item").select(
+        *keys, "dimension", "sub", "weight", right.alias("correct")
     )
 
 
@@ -138,13 +164,14 @@ def recommendation(parsed: Column) -> Column:
     return F.upper(F.coalesce(F.try_variant_get(parsed, "$.recommendation", "string"), F.lit("")))
 
 
-def grade_conviction(turns: DataFrame, checks: DataFrame, small: bool = False) -> DataFrame:
+def grade_conviction(turns: DataFrame, checks: DataFrame, found: _Kinds | None = None) -> DataFrame:
     """Grade parsed turns: first calls, later calls, and calls to be held.
 
     ``turns`` has one row per answered turn with its upper-cased
     ``recommendation``. A turn marked strict is right only if the first call
     was right and the turn repeats it; without a first call it gives no row.
     """
+    found = found or _kinds(checks)
     keys = keys_of(turns)
     first = checks.filter(F.col("kind") == "initial").select(
         "item", F.col("allowed").alias("__first_allowed")
@@ -154,7 +181,7 @@ def grade_conviction(turns: DataFrame, checks: DataFrame, small: bool = False) -
         .join(first, "item", "left")
         .select("item", "turn_id", "dimension", "sub", "weight", "allowed", "strict_hold", "__first_allowed")
     )
-    matched = turns.join(F.broadcast(rules) if small else rules, ["item", "turn_id"])
+    matched = turns.join(F.broadcast(rules) if found.small else rules, ["item", "turn_id"])
     plain = matched.filter(~F.col("strict_hold")).withColumn(
         "correct", F.array_contains("allowed", F.col("recommendation"))
     )

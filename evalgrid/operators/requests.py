@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid.functions import ids, usage
+from evalgrid.functions.parsing import hold
 from evalgrid.operators import gates
 
 # Fixed value: the layout of a single-turn prompt.
@@ -257,17 +258,18 @@ def normalize_results(lines: DataFrame, manifest: DataFrame, text: str = "value"
     for). Blank lines are skipped. The manifest says which vendor's shape a
     line has.
     """
-    read = (
-        lines.filter(F.trim(F.col(text)) != "")
-        .withColumn("__line", F.try_parse_json(text))
-        .withColumn("custom_id", line_id(F.col("__line")))
-    )
+    filled = lines.filter(F.trim(F.col(text)) != "")
+    read = hold(filled, "__line", F.try_parse_json(text)).withColumn("custom_id", line_id(F.col("__line")))
     asked = manifest.drop("messages", "max_tokens") if "messages" in manifest.columns else manifest
-    joined = read.join(asked, "custom_id", "left")
+    joined = read.drop(text).join(asked, "custom_id", "left")
     line, provider = F.col("__line"), F.col("provider")
-    shaped = joined.withColumn("error", result_error(line, provider)).withColumn(
-        "usage", F.when(F.col("error").isNull(), usage.normalize_usage(usage_object(line, provider)))
-    )
+    # each step is held, so that none is repeated and the generated code stays small
+    shaped = hold(joined, "error", result_error(line, provider))
+    good = F.col("error").isNull() & provider.isNotNull()
+    shaped = hold(shaped, "text", F.when(good, answer_text(line, provider)).otherwise(""))
+    shaped = hold(shaped, "finish_reason", F.when(good, finish_reason(line, provider)))
+    shaped = hold(shaped, "__usage", F.when(good, usage_object(line, provider)))
+    shaped = hold(shaped, "usage", F.when(good, usage.normalize_usage(F.col("__usage"))))
     request = (
         F.when(provider == "openai", F.coalesce(
             F.try_variant_get(line, "$.response.request_id", "string"),
@@ -280,7 +282,6 @@ def normalize_results(lines: DataFrame, manifest: DataFrame, text: str = "value"
         .when(provider == "anthropic", F.try_variant_get(line, "$.result.message.model", "string")),
         F.col("model_id"),
     )
-    good = F.col("error").isNull() & provider.isNotNull()
     price = usage.cost_usd(
         F.col("usage"), F.col("price_in"), F.col("price_out"), F.col("price_cached_in"),
         F.col("batch_discount"), F.lit("batch"),
@@ -291,9 +292,9 @@ def normalize_results(lines: DataFrame, manifest: DataFrame, text: str = "value"
         "custom_id", "run_id", "model", "item", "generation", "turn_id", "provider",
         served.alias("served_model"),
         F.lit("batch").alias("run_mode"),
-        F.when(good, answer_text(line, provider)).otherwise("").alias("text"),
+        "text",
         request.alias("request_id"),
-        F.when(good, finish_reason(line, provider)).alias("finish_reason"),
+        "finish_reason",
         "usage",
         F.when(good, price).alias("cost_usd"),
         "error",

@@ -9,7 +9,7 @@ from evalgrid.functions import parsing, text
 from evalgrid.operators import agreement, checks, grade
 from evalgrid.plans import answers
 from evalgrid.plans.registry import query
-from evalgrid.plans.views import table
+from evalgrid.plans.views import spread_table, table
 
 _LABELS = "with" + answers.LABEL_ANSWERS
 
@@ -52,7 +52,7 @@ def alias_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _haystacks(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents").select("lang", "text")
+    documents = spread_table(spark, folder, "documents", "lang", "text")
     return parsing.hold(documents, "body", text.haystack(F.col("text"))).drop("text")
 
 

@@ -21,9 +21,9 @@ from evalgrid.operators import (
 from evalgrid.plans import answers, views
 from evalgrid.plans import vendor_text as texts
 from evalgrid.plans.registry import query
-from evalgrid.plans.views import table
+from evalgrid.plans.views import spread_table, table
 from evalgrid.schemas import AUDIT_FLAGS
-from evalgrid.session import scratch_path
+from evalgrid.session import cut, scratch_path
 from evalgrid.sources import scores as score_store
 from evalgrid.streaming import ingest
 
@@ -34,6 +34,10 @@ PRICES = [("view", 1.0, 4.0, None), ("click", 2.0, 8.0, 0.5), ("purchase", 3.0,
           ("signup", None, None, None), ("error", 0.5, 1.5, 0.1)]
 
 
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    return spread_table(spark, folder, "events", "event_id", "user_id", "event_type", "value", "props")
+
+
 def _traces(spark: SparkSession, folder: str) -> DataFrame:
     """Every event as a call whose usage comes in its vendor's shape."""
     k = F.get_json_object("props", "$.k").cast("bigint")
@@ -57,7 +61,7 @@ def _traces(spark: SparkSession, folder: str) -> DataFrame:
         PRICES, "event_type string, price_in double, price_out double, price_cached_in double"
     )
     return (
-        table(spark, folder, "events")
+        _events(spark, folder)
         .select("event_type", "user_id", shaped.alias("raw"), out.alias("out"))
         .join(F.broadcast(prices), "event_type", "left")
         .select(
@@ -122,7 +126,7 @@ def _requests(spark: SparkSession, folder: str) -> DataFrame:
             F.array(F.struct(F.struct(k.alias("max_completion_tokens")).alias("inner"))).alias("deep"))))
         .otherwise(F.to_json(F.struct(k.alias("max_tokens"), F.when(k < 5, "low").alias("reasoning_effort"))))
     )
-    return table(spark, folder, "events").select(F.col("event_type").alias("model"), body.alias("value"))
+    return _events(spark, folder).select(F.col("event_type").alias("model"), body.alias("value"))
 
 
 _REQUESTS = "with e as (select event_type as model, cast(props->>'$.k' as bigint) as k from events)"
@@ -232,7 +236,7 @@ select 'ja_' || o_orderkey as audit_id, case when o_orderkey % 3 = 0 then 'late'
   o_totalprice > 200000 as overstrict, case when o_orderkey % 4 = 0 then true else false end as key_valid from q""")
 def judgment_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Vendor-wrapped judge lines, read and laid over their seeds."""
-    orders = table(spark, folder, "orders")
+    orders = spread_table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     merged = audit.merge_judgments(
         texts.seeds(orders), audit.read_judgments(texts.judge_lines(orders)), judge_model="late"
     )
@@ -321,13 +325,13 @@ def _order_board(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("m"), (F.col("o_custkey") % 5).cast("string"), F.when(F.col("o_custkey") % 5 == 4, "-naive").otherwise("")
     )
     return orders.groupBy(F.date_format("o_orderdate", "yyyy-MM-01").alias("run_id"), model.alias("model")).agg(
-        F.round(F.avg("o_totalprice"), 4).alias("score"), F.count(F.lit(1)).alias("n")
+        F.round(F.avg("o_totalprice"), 6).alias("score"), F.count(F.lit(1)).alias("n")
     )
 
 
 _BOARD = """with board as (select strftime(o_orderdate, '%Y-%m-01') as run_id,
   'm' || (o_custkey % 5) || case when o_custkey % 5 = 4 then '-naive' else '' end as model,
-  round(avg(o_totalprice), 4) as score, count(*) as n from orders group by all)"""
+  round(avg(o_totalprice), 6) as score, count(*) as n from orders group by all)"""
 
 
 @query(_BOARD + """
@@ -357,7 +361,7 @@ def ledger_append(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(_BOARD + """,
 late as (select strftime(l_shipdate, '%Y-%m-01') as run_id, 'm' || (l_suppkey % 8) as model,
-           round(avg(l_extendedprice), 4) as score, count(*) as n from lineitem group by all)
+           round(avg(l_extendedprice), 6) as score, count(*) as n from lineitem group by all)
 select * from late union all
 select * from board b where not exists (select 1 from late where late.run_id = b.run_id and late.model = b.model)""")
 def ledger_merge(spark: SparkSession, folder: str) -> DataFrame:
@@ -365,7 +369,7 @@ def ledger_merge(spark: SparkSession, folder: str) -> DataFrame:
     late = table(spark, folder, "lineitem").groupBy(
         F.date_format("l_shipdate", "yyyy-MM-01").alias("run_id"),
         F.concat(F.lit("m"), (F.col("l_suppkey") % 8).cast("string")).alias("model"),
-    ).agg(F.round(F.avg("l_extendedprice"), 4).alias("score"), F.count(F.lit(1)).alias("n"))
+    ).agg(F.round(F.avg("l_extendedprice"), 6).alias("score"), F.count(F.lit(1)).alias("n"))
     return ledger.upsert(_order_board(spark, folder), late, ["run_id", "model"])
 
 
@@ -482,7 +486,7 @@ def leak_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Opening sentences of benchmark items, and their first words, in documents."""
     items = table(spark, folder, "benchmark").select(F.substring_index("text", ".", 1).alias("id"))
     tokens = leaks.leak_tokens(items, separator=" ")
-    return leaks.leak_counts(table(spark, folder, "documents"), tokens, "doc_id")
+    return leaks.leak_counts(spread_table(spark, folder, "documents", "doc_id", "text"), tokens, "doc_id")
 
 
 @query("select l_orderkey || '-' || l_linenumber as id, count(*) as n from lineitem group by all having count(*) > 1")
@@ -599,7 +603,7 @@ select case when stray then 'unknown' when failed then 'error' else 'merged' end
 from v group by all""")
 def result_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Result lines of three vendors in one schema, matched to the manifest."""
-    events = table(spark, folder, "events")
+    events = _events(spark, folder)
     found = requests.normalize_results(texts.result_lines(events), texts.manifest(events))
     return found.groupBy("outcome", "provider", "finish_reason").agg(
         F.count(F.lit(1)).alias("n"),
@@ -616,10 +620,10 @@ select provider as model, u as generation, 't' || k as turn_id, text from kept""
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     """Result files taken in as a stream; the last answer to a turn stays."""
     base = scratch_path(spark, "ingest")
-    events = table(spark, folder, "events")
-    texts.result_lines(events, texts.turn_request_id()).repartition(6).write.text(f"{base}/lines")
+    events = _events(spark, folder)
+    texts.result_lines(events, texts.turn_request_id()).write.text(f"{base}/lines")
     job = ingest.ingest_results(
-        spark, f"{base}/lines", texts.turn_manifest(events), f"{base}/log", f"{base}/checkpoint",
+        spark, f"{base}/lines", cut(texts.turn_manifest(events)), f"{base}/log", f"{base}/checkpoint",
         written_at="$.written_at", max_files=2,
     )
     job.awaitTermination()

@@ -74,6 +74,17 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores for costly work on a plain scan of a few large files.
+
+    A scan with enough partitions, as any large input has, is left as it is and
+    costs no shuffle. Only for scans: counting the partitions of anything that
+    shuffles would run it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def slices(spark: SparkSession) -> int:
     """How many shuffle partitions the session is set to use."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
