@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid import DIMENSIONS
@@ -79,6 +79,11 @@ def cohen_kappa(rated: DataFrame, a: str = "rater_a", b: str = "rater_b") -> Dat
     return scored.select("n", "n_agree", "kappa", band.alias("band"))
 
 
+def _corr(x: str, y: str) -> Column:
+    """Pearson correlation; null, not an error, where a column is flat."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def dimension_structure(dimension_values: DataFrame, min_models: int = 5) -> DataFrame:
     """How the dimensions move together across models.
 
@@ -100,10 +105,10 @@ def dimension_structure(dimension_values: DataFrame, min_models: int = 5) -> Dat
     columns = [*DIMENSIONS, "headline"]
     stats = wide.agg(
         F.count(F.lit(1)).alias("n_models"),
-        F.corr(r, h).alias("corr_rh"),
-        F.corr(r, c).alias("corr_rc"),
-        F.corr(h, c).alias("corr_hc"),
-        *[F.corr(d, "headline").alias(f"influence_{d}") for d in DIMENSIONS],
+        _corr(r, h).alias("corr_rh"),
+        _corr(r, c).alias("corr_rc"),
+        _corr(h, c).alias("corr_hc"),
+        *[_corr(d, "headline").alias(f"influence_{d}") for d in DIMENSIONS],
         *[F.stddev_pop(name).alias(f"__sd_{name}") for name in columns],
     ).filter(F.col("n_models") >= min_models)
     for name in columns:
