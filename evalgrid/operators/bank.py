@@ -83,7 +83,7 @@ def record_manifest(saved: DataFrame, run_id: str, signed: DataFrame, replace: b
 def manifest_mismatches(saved: DataFrame, current: DataFrame) -> DataFrame:
     """Runs whose saved evaluation is no longer the current one."""
     now = current.select("scope", F.col("evaluation_hash").alias("current_hash"))
-    return saved.join(F.broadcast(now), "scope").filter(
+    return saved.join(now, "scope").filter(
         ~F.coalesce(F.col("evaluation_hash") == F.col("current_hash"), F.lit(False))
     )
 

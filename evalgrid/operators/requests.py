@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evalgrid.functions import ids, usage
 from evalgrid.functions.parsing import hold
 from evalgrid.operators import gates
+from evalgrid.session import bounded_broadcast
 
 # Fixed value: the layout of a single-turn prompt.
 _FEATURES_TITLE = "Candidate features:\n"
@@ -115,12 +116,13 @@ def stage_requests(
     roster = models.filter((F.col("provider") != "mock") & F.col("batch_supported"))
     roster = roster.select(F.col("name").alias("model"), "provider", F.col("id").alias("model_id"),
                            "price_in", "price_out", "price_cached_in", "batch_discount", F.lit(run_id).alias("run_id"))
-    plan = turn_plan(cases).withColumn("run_id", F.lit(run_id))
+    names = [row["model"] for row in roster.select("model").collect()]  # a registry: a few dozen rows
     thread = ["model", "item", "generation"]
+    # every model owes every turn in every generation
     planned = (
-        plan.join(F.broadcast(roster.select("run_id", "model")), "run_id")
+        turn_plan(cases)
+        .withColumn("model", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")))
         .withColumn("generation", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(generations - 1).cast("bigint"))))
-        .drop("run_id")
     )
     waiting = pending_turns(planned, answers, thread)
     bodies = request_bodies(conversation_rows(planned, answers, waiting, thread, system), waiting, thread)
@@ -132,7 +134,7 @@ def stage_requests(
         stage = F.coalesce(F.col("__last"), F.lit(0)) + 1
     out = (
         bodies.join(kinds, "item")
-        .join(F.broadcast(roster), "model")
+        .join(bounded_broadcast(roster), "model")
         .select(
             ids.custom_id(F.col("model"), F.col("item"), F.col("generation"), F.col("turn_id")).alias("custom_id"),
             "run_id", stage.alias("stage"), "item", "generation", "turn_id", "schema", "provider", "model",

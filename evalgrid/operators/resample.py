@@ -82,7 +82,7 @@ def _indexed(clusters: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.lit(1)).over(group).alias("k"),
     )
     numbered = placed.join(bounded_broadcast(_distinct_numbered(clusters, keys, "group")), keys).join(
-        F.broadcast(_distinct_numbered(placed, ["dimension", "k"], "stratum")), ["dimension", "k"]
+        bounded_broadcast(_distinct_numbered(placed, ["dimension", "k"], "stratum")), ["dimension", "k"]
     )
     return cut(numbered.withColumn("cell", _cell(F.col("stratum"), F.col("idx"))))
 
@@ -170,7 +170,7 @@ def _draw(clusters: DataFrame, keys: list[str], n: int, seed: int) -> _Drawn:
         return _Drawn(
             _replicates_by_join(indexed, n, seed),
             bounded_broadcast(indexed.select("group", *keys).distinct()),
-            F.broadcast(indexed.select("stratum", "dimension").distinct()),
+            bounded_broadcast(indexed.select("stratum", "dimension").distinct()),
         )
     rows = rows.sort_values([*keys, "dimension", "item"])
     group = rows.groupby([*keys, "dimension"], sort=False)

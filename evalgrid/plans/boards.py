@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evalgrid import DIMENSIONS
 from evalgrid.operators import aggregate, coverage, pairs, rank, resample, scope
-from evalgrid.session import cut
+from evalgrid.session import bounded_broadcast, cut
 
 MODEL = ["model"]
 
@@ -66,7 +66,7 @@ def snapshot(scores: DataFrame, expected: DataFrame, models: DataFrame, n: int =
         F.col("name").alias("model"), F.coalesce("label", "name").alias("label"), "provider", "price_in",
         "price_out", "superseded_by",
     )
-    board = summary(sums, n).join(covered, MODEL).join(F.broadcast(meta), MODEL, "left")
+    board = summary(sums, n).join(covered, MODEL).join(bounded_broadcast(meta), MODEL, "left")
     return rank.overlap_bands(board.withColumn("label", F.coalesce("label", "model")))
 
 
