@@ -33,6 +33,15 @@ def comparison_hash(evaluation: Column, content: Column, roster: Column) -> Colu
     return F.coalesce(evaluation, content, roster)
 
 
+def display_hash(content: Column, roster: Column) -> Column:
+    """The short digest shown for a bank, and what kind it is."""
+    shown = F.coalesce(content, roster)
+    kind = F.when(content.isNotNull(), "content hash").otherwise("roster hash")
+    return F.struct(
+        F.substring(F.substring_index(shown, ":", -1), 1, 12).alias("digest"), kind.alias("kind")
+    )
+
+
 def same_bank(a: Column, b: Column) -> Column:
     """Whether two bank structs agree on the strongest digest both carry."""
     return (

@@ -4,6 +4,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def triple(value: Column, lo: Column, hi: Column) -> Column:
+    """A value with its interval, rounded as boards are stored."""
+    parts = ((value, "value"), (lo, "lo"), (hi, "hi"))
+    return F.struct(*[F.round(column, 4).alias(name) for column, name in parts])
+
+
 def cell_state(me: Column, lo: Column, hi: Column, winner: Column) -> Column:
     """How a comparison looks from one model's side.
 

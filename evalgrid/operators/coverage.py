@@ -176,8 +176,10 @@ def completeness_errors(
 ) -> DataFrame:
     """All reasons why a run may not be published, one row each.
 
-    Mock models are graded once, all others ``generations`` times.
+    Mock models are graded once, all others ``generations`` times. The fresh
+    grading is written once, as several checks read it.
     """
+    graded = cut(graded)
     spark = saved.sparkSession
     wanted = spark.createDataFrame([(name,) for name in dict.fromkeys(requested)], "model string")
     registry = models.select(F.col("name").alias("model"), "provider")

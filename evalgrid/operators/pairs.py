@@ -152,6 +152,13 @@ def wins(records: DataFrame) -> DataFrame:
     )
 
 
+def best_record(won: DataFrame) -> DataFrame:
+    """The most decisive wins of any model, and how many models have them."""
+    return won.agg(
+        F.max("wins").alias("best"), F.max_by("compared", "wins").alias("compared"), F.sum("wins").alias("decisive")
+    )
+
+
 def cells(records: DataFrame) -> DataFrame:
     """One cell per ordered pair: how the comparison looks to the row model."""
     views = both_views(records)

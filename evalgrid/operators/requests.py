@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evalgrid.functions import ids, usage
 from evalgrid.functions.parsing import hold
 from evalgrid.operators import gates
-from evalgrid.session import bounded_broadcast
+from evalgrid.session import bounded_broadcast, cut
 
 # Fixed value: the layout of a single-turn prompt.
 _FEATURES_TITLE = "Candidate features:\n"
@@ -142,8 +142,9 @@ def stage_requests(
             F.lit(max_tokens).alias("max_tokens"),
         )
     )
-    gates.must_be_empty(gates.duplicate_ids(out, "custom_id"), "request id collision")
-    return out
+    made = cut(out)
+    gates.must_be_empty(gates.duplicate_ids(made, "custom_id"), "request id collision")
+    return made
 
 
 def _join_text(parts: Column) -> Column:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid import DIMENSIONS
-from evalgrid.operators import aggregate, coverage, pairs, rank, resample, scope
+from evalgrid.functions import verdicts
+from evalgrid.operators import aggregate, checks, coverage, grade, pairs, rank, resample, scope
 from evalgrid.session import bounded_broadcast, cut
 
 MODEL = ["model"]
@@ -66,10 +67,34 @@ def snapshot(scores: DataFrame, expected: DataFrame, models: DataFrame, n: int =
         F.col("name").alias("model"), F.coalesce("label", "name").alias("label"), "provider", "price_in",
         "price_out", "superseded_by",
     )
-    board = summary(sums, n).join(covered, MODEL).join(bounded_broadcast(meta), MODEL, "left")
+    values = ("score", "lo", "hi"), *((d, f"{d}_lo", f"{d}_hi") for d in DIMENSIONS)
+    rounded = {c: F.round(c, 4) for group in values for c in group}
+    board = summary(sums, n).withColumns(rounded).join(covered, MODEL).join(bounded_broadcast(meta), MODEL, "left")
     return rank.overlap_bands(board.withColumn("label", F.coalesce("label", "model")))
 
 
+def stored_models(board: DataFrame, run_id: str) -> DataFrame:
+    """A board in the form the run history keeps: each score with its interval."""
+    scored = {"score": ("score", "lo", "hi"), **{d: (d, f"{d}_lo", f"{d}_hi") for d in DIMENSIONS}}
+    triples = [verdicts.triple(*[F.col(c) for c in columns]).alias(name) for name, columns in scored.items()]
+    flat = {c for columns in scored.values() for c in columns}
+    return board.select(
+        F.lit(run_id).alias("run_id"), *[c for c in board.columns if c not in flat], *triples
+    )
+
+
+def regrade(responses: DataFrame, cases: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scores, skipped): saved answers under the current keys.
+
+    Answers to items that have left the bank are not graded but counted.
+    """
+    checks.attach_keys(cases, keys)
+    known = cases.select(F.col("id").alias("item"))
+    rules = checks.checks_from_keys(keys.join(cases.select("id"), "id", "left_semi"))
+    current = responses.join(bounded_broadcast(known), "item", "left_semi")
+    return grade.grade(current, rules), grade.skipped_items(responses, cases)
+
+
 def pair_table(
     scores: DataFrame, n: int = resample.PAIR_DRAWS, permutations: int | None = None, seed: int = 0
 ) -> DataFrame:

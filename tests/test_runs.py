@@ -349,6 +349,8 @@ def test_roster_hash_is_the_digest_of_sorted_lines(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",)], "id string")
     assert df.agg(hashing.roster_hash(F.col("id"))).collect()[0][0] == "sha256:" + hashlib.sha256(b"a\nb").hexdigest()
     assert hashing.set_fingerprint(df, "id").collect()[0]["n_values"] == 2
+    shown = spark.range(1).select(hashing.display_hash(F.lit(None).cast("string"), F.lit("sha256:" + "ab" * 32)).alias("d"))
+    assert tuple(shown.collect()[0]["d"]) == ("abababababab", "roster hash")
 
 
 def test_bank_audit(spark):

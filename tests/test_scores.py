@@ -154,6 +154,8 @@ def test_wins_cells_and_grid(spark):
         "a string, b string, diff double, lo double, hi double, winner string",
     )
     assert {r["model"]: r["wins"] for r in pairs.wins(records).collect()} == {"x": 1, "y": 0, "z": 0}
+    best = pairs.best_record(pairs.wins(records)).collect()[0]
+    assert (best["best"], best["compared"], best["decisive"]) == (1, 2, 1)
     grid = {r["model"]: r.asDict() for r in pairs.head_to_head(records).collect()}
     assert (grid["x"]["y"], grid["y"]["x"], grid["x"]["z"], grid["z"]["x"], grid["y"]["z"]) == ("wd", "ld", "ws", "ls", "nd")
     assert grid["x"]["x"] is None and grid["x"]["decisive_wins"] == 1
@@ -247,4 +249,6 @@ def test_snapshot(spark):
     models = spark.createDataFrame([("a", "A 1", "x", 1.0, 2.0, None)], "name string, label string, provider string, price_in double, price_out double, superseded_by string")
     board = {r["model"]: r for r in boards.snapshot(scores, expected, models, n=100).collect()}
     assert set(board) == {"a", "b"} and board["a"]["label"] == "A 1" and board["b"]["label"] == "b"
+    stored = boards.stored_models(boards.snapshot(scores, expected, models, n=50), "r1").filter("model = 'a'").collect()[0]
+    assert stored["score"]["value"] == board["a"]["score"] and stored["run_id"] == "r1"
     assert board["a"]["ranked_eligible"] and board["a"]["lo"] <= board["a"]["score"] <= board["a"]["hi"]
