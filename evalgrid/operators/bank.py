@@ -9,6 +9,7 @@ from evalgrid import DIMENSIONS
 from evalgrid.functions import hashing
 from evalgrid.operators import checks as checks_ops
 from evalgrid.operators import gates, scope
+from evalgrid.session import cut
 
 
 def dimension_counts(items: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def signature(cases: DataFrame, keys: DataFrame, case_scope: str, scorer_version
     examples = scope.in_scope(cases, scope.EXAMPLES, "id").agg(F.count(F.lit(1)).alias("n")).scalar()
     excluded = examples if case_scope == scope.OFFICIAL else F.lit(0).cast("bigint")
     by_dimension = [F.count_if(F.col("type") == d).alias(f"n_{d}") for d in DIMENSIONS]
-    return scoped_cases.agg(
+    row = scoped_cases.agg(
         F.lit(case_scope).alias("scope"),
         F.count(F.lit(1)).alias("n_items"),
         *by_dimension,
@@ -60,6 +61,7 @@ def signature(cases: DataFrame, keys: DataFrame, case_scope: str, scorer_version
         hashing.evaluation_hash(content, F.lit(scorer_version)).alias("evaluation_hash"),
         excluded.alias("examples_excluded"),
     )
+    return cut(row)
 
 
 def record_manifest(saved: DataFrame, run_id: str, signed: DataFrame, replace: bool = False) -> DataFrame:

@@ -186,7 +186,7 @@ def completeness_errors(
     unknown = wanted.join(registry, "model", "left_anti").select(
         "model", F.lit("unknown requested model").alias("error"), F.lit(1).cast("bigint").alias("n")
     )
-    present = saved.select("model").distinct()
+    present = cut(saved.select("model").distinct())
     absent = wanted.join(registry, "model", "left_semi").join(present, "model", "left_anti").select(
         "model", F.lit("score file missing").alias("error"), F.lit(1).cast("bigint").alias("n")
     )

@@ -9,6 +9,7 @@ from evalgrid import schemas
 from evalgrid.functions import hashing, ids, lineage, usage
 from evalgrid.operators import audit, bank, checks, cost, coverage, gates, generations, grade, leaks, ledger, rank, requests, scope
 from evalgrid.sources.bank import with_meta
+from evalgrid.session import cut
 from helpers import answers, atoms, case_table, flat, key_table
 
 
@@ -376,11 +377,11 @@ def test_leaks(spark, monkeypatch):
 def test_completeness(spark):
     key = {"id": "a", "type": "restraint", "labels": {"x": "SHIP", "y": "KILL"}}
     rules = checks.checks_from_keys(key_table(spark, key))
-    expected = rules.select("item", "dimension", "sub")
+    expected = cut(rules.select("item", "dimension", "sub"))
     text = json.dumps({"classifications": {"x": "SHIP", "y": "SHIP"}})
     raw = answers(spark, ("a", 0, "response", text), ("a", 1, "response", text))
     models = spark.createDataFrame([("m", "openai"), ("absent", "openai")], "name string, provider string")
-    graded = grade.grade(raw, rules)
+    graded = cut(grade.grade(raw, rules))
 
     def errors(requested, raw, saved, graded):
         out = coverage.completeness_errors(requested, models, raw, saved, graded, expected, 2)
