@@ -127,6 +127,8 @@ def registry(spark: SparkSession) -> DataFrame:
 def _literal(value: object) -> str:
     if value is None:
         return "null"
+    if isinstance(value, float):
+        return f"{value}e0"  # a double, not a decimal
     return f"'{value}'" if isinstance(value, str) else str(value).lower()
 
 
