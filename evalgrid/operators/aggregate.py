@@ -40,10 +40,12 @@ def cluster_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def generation_means(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """Share of generations that pass each check, with its fixed metadata."""
-    return scores.groupBy(*keys, "item", "sub").agg(
-        F.min("dimension").alias("dimension"),
-        F.min("weight").alias("weight"),
+    """Share of generations that pass each check, with its fixed metadata.
+
+    Dimension and weight are grouped by, so that the rows are hashed and not
+    sorted; a check whose metadata changes comes out as several rows.
+    """
+    return scores.groupBy(*keys, "item", "sub", "dimension", "weight").agg(
         F.avg(_passed()).alias("rate"),
         F.count(F.lit(1)).alias("n_generations"),
     )

@@ -36,8 +36,12 @@ def inconsistent_metadata(scores: DataFrame) -> DataFrame:
 
 
 def metadata_spread(scores: DataFrame) -> DataFrame:
-    """Smallest and largest dimension and weight of every check."""
-    return scores.groupBy("item", "sub").agg(
+    """Smallest and largest dimension and weight of every check.
+
+    The few distinct combinations are found first, by hashing; only they are
+    sorted for their extremes.
+    """
+    return scores.select("item", "sub", "dimension", "weight").distinct().groupBy("item", "sub").agg(
         F.min("dimension").alias("min_dimension"),
         F.max("dimension").alias("max_dimension"),
         F.min("weight").alias("min_weight"),

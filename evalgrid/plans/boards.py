@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evalgrid import DIMENSIONS
 from evalgrid.functions import verdicts
-from evalgrid.operators import aggregate, checks, coverage, grade, pairs, rank, resample, scope
+from evalgrid.operators import aggregate, checks, coverage, gates, grade, pairs, rank, resample, scope
 from evalgrid.session import bounded_broadcast, cut
 
 MODEL = ["model"]
@@ -101,6 +101,9 @@ def pair_table(
     """All paired comparisons of the ranked models, best placed first."""
     ranked = scope.ranked_only(scores)
     means = cut(aggregate.generation_means(ranked, MODEL))
+    gates.must_be_empty(
+        gates.inconsistent_metadata(means).select("item", "sub"), "dimension or weight of a check changes"
+    )
     per_check = means.select(
         "model", "dimension", (F.col("weight") * F.col("n_generations")).alias("den"),
         (F.col("weight") * F.col("n_generations") * F.col("rate")).alias("num"),

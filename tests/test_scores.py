@@ -117,6 +117,13 @@ def test_dimensions_weigh_the_same(spark):
     assert row["diff"] == pytest.approx(1 / 3)
 
 
+def test_changing_metadata_stops_a_comparison(spark):
+    scores = atoms(spark, {"a": flat([1, 0]), "b": flat([1, 0])})
+    bad = scores.withColumn("weight", F.when(F.col("model") == "b", 2.0).otherwise(F.col("weight")))
+    with pytest.raises(gates.GateError, match="changes"):
+        boards.pair_table(bad, n=10)
+
+
 def test_order_only_flips_the_sign(spark):
     means = aggregate.generation_means(atoms(spark, _random_scores(models="ab")), ["model"])
     results = []
