@@ -23,9 +23,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 #: Tokens a bin holds.
-CAPACITY = 2048
+CAPACITY = 1024
 #: Documents a shard has on average.
 PER_SHARD = 2048
 #: Documents packed together at most; only a shard of very uneven size has more.
@@ -130,14 +131,14 @@ def _packer(capacity: int, window: int):
     return run
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def text_cluster(texts: pd.Series) -> pd.Series:
     """Duplicate cluster of a text: equal but for A-Z and white space; null has none."""
     digests = (None if t is None else xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split())) - 2**63 for t in texts)
     return pd.Series(list(digests), dtype="Int64")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def word_count(texts: pd.Series) -> pd.Series:
     """Words between ASCII white space, the default measure of length; null has none."""
     return pd.Series([0 if t is None else len(t.encode().split()) for t in texts], dtype="int64")

@@ -20,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StringType
 
 from evalgrid.llm.common import blank, fresh, stored
 
@@ -161,14 +162,14 @@ def base_only(spans: Column) -> Column:
     return F.filter(spans, lambda s: s["kind"] < len(KINDS))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def has_candidates(texts: pd.Series) -> pd.Series:
     """Whether a text has any span, live or not."""
     found = ((base := base_spans(t)) or random_spans(t, base) for t in texts)
     return pd.Series([bool(f) for f in found], dtype="bool")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def redacted(texts: pd.Series, spans: pd.Series) -> pd.Series:
     """Each text with its "start:end" spans, in order, replaced by a mark.
 

@@ -28,6 +28,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from evalgrid.llm.common import blank, fresh, stored
 
@@ -62,7 +63,7 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * votes > len(digests), bitorder="little").view("<i8")[0])
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def fingerprints(texts: pd.Series) -> pd.Series:
     """Column of fingerprints of a text column."""
     return pd.Series([fingerprint(t) for t in texts], dtype="int64")
