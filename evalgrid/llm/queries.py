@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import packing, secret_scan, simhash
+from evalgrid.llm import mixing, packing, secret_scan, simhash, toxicity
 from evalgrid.llm.common import table
 
 
@@ -39,6 +39,18 @@ def op5_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, folder, "labels")))
+
+
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.col("text")
+    docs = table(spark, folder, "documents")
+    out, chance, drawn = mixing.mixed(docs, packing.word_count(text), mixing.genre(text))
+    return out.select("doc_id", "source", "lang", F.col(chance).alias("probability"), F.col(drawn).alias("drawn"))
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
