@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import chat, language_mix, mixing, packing, quality_model, quality_rules, secret_scan, simhash, toxicity
+from evalgrid.llm import ann, chat, language_mix, mixing, packing, quality_model, quality_rules, secret_scan, simhash, toxicity
 from evalgrid.llm import oracles as sql
 from evalgrid.llm.common import table
 
@@ -83,6 +83,10 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "source", "lang", F.col(chance).alias("probability"), F.col(drawn).alias("drawn"))
 
 
+def op10_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
