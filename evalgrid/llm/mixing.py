@@ -13,8 +13,10 @@ by it as that size asks.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from evalgrid.llm.common import fresh, stored
 
@@ -29,27 +31,25 @@ MAX_SWEEPS = 100
 NONE = "(none)"
 
 
-def genre(text: Column) -> Column:
-    """A plain topic where the documents name none: the form of the text.
+def form(text: str | None) -> str:
+    """The form of a text, a plain topic where the documents name none.
 
     Null and blank texts are ``empty``; then tables by bars, symbol runs,
     shouting, numbers, and prose by its length in characters.
     """
-    size = F.length(text)
-
-    def share(characters: str) -> Column:
-        return (size - F.length(F.translate(text, characters, ""))) / size
-
-    return (
-        F.when(text.isNull() | (F.trim(text) == ""), "empty")
-        .when(share("|") > 0.03, "table")
-        .when(share("#*$%&<>") > 0.05, "symbols")
-        .when(share("!") > 0.05, "shouting")
-        .when(share("0123456789") > 0.1, "numbers")
-        .when(size < 500, "note")
-        .when(size < 5000, "article")
-        .otherwise("long read")
-    )
+    if text is None or not text.strip():
+        return "empty"
+    size = len(text)
+    for name, characters, least in (("table", "|", 0.03), ("symbols", "#*$%&<>", 0.05), ("shouting", "!", 0.05), ("numbers", "0123456789", 0.1)):
+        if sum(map(text.count, characters)) > least * size:
+            return name
+    return "note" if size < 500 else "article" if size < 5000 else "long read"
+
+
+@F.pandas_udf(StringType())
+def genre(texts: pd.Series) -> pd.Series:
+    """Column of the forms of a text column."""
+    return pd.Series([form(t) for t in texts], dtype="object")
 
 
 def tempered(cells: DataFrame, powers: dict[str, float] = TEMPER) -> DataFrame:
