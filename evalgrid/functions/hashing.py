@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _PREFIX = "sha256:"
-#: Hex digits that pick the bucket of an id in a bucketed fingerprint.
-BUCKET_DIGITS = 4
 
 
 def roster_hash(ids: Column) -> Column:
@@ -28,11 +26,6 @@ def evaluation_hash(content_hash: Column, scorer_version: Column) -> Column:
     )
 
 
-def comparison_hash(evaluation: Column, content: Column, roster: Column) -> Column:
-    """The strongest digest a bank carries."""
-    return F.coalesce(evaluation, content, roster)
-
-
 def display_hash(content: Column, roster: Column) -> Column:
     """The short digest shown for a bank, and what kind it is."""
     shown = F.coalesce(content, roster)
@@ -94,18 +87,14 @@ def canonical_json(df: DataFrame, *columns: str) -> Column:
 def set_fingerprint(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
     """Digest of the distinct values of a column of any size.
 
-    Values are spread over fixed buckets by their own digest, each bucket is
-    digested in sorted order, and the bucket digests are digested in bucket
-    order. No task ever holds more than one bucket's share.
+    Each value's own digest is cut into eight numbers, which are summed over
+    the values; the digest is that of their count and sums. Sums do not depend
+    on any order and are combined on the map side, so nothing is gathered.
     """
     keys = keys or []
     digests = df.select(*keys, F.sha2(F.col(value), 256).alias("__digest")).distinct()
-    buckets = digests.groupBy(*keys, F.substring("__digest", 1, BUCKET_DIGITS).alias("__bucket")).agg(
-        F.sha2(F.array_join(F.sort_array(F.collect_list("__digest")), "\n"), 256).alias("__part"),
-        F.count(F.lit(1)).alias("__n"),
-    )
-    ordered = F.sort_array(F.collect_list(F.struct("__bucket", "__part")))
-    joined = F.array_join(F.transform(ordered, lambda b: b["__part"]), "\n")
-    return buckets.groupBy(*keys).agg(
-        F.sum("__n").alias("n_values"), F.concat(F.lit(_PREFIX), F.sha2(joined, 256)).alias("fingerprint")
-    )
+    number = lambda at: F.conv(F.substring("__digest", at, 8), 16, 10).cast("decimal(38,0)")
+    sums = {f"__{at}": F.sum(number(at)).cast("decimal(38,0)").cast("string").alias(f"__{at}") for at in range(1, 65, 8)}
+    summed = digests.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_values"), *sums.values())
+    joined = F.concat_ws(":", F.col("n_values").cast("string"), *sums)
+    return summed.select(*keys, "n_values", F.concat(F.lit(_PREFIX), F.sha2(joined, 256)).alias("fingerprint"))

@@ -17,11 +17,6 @@ def _passed(correct: str = "correct") -> Column:
     return F.col(correct).cast("double")
 
 
-def weighted_mean() -> Column:
-    """Aggregate: weighted share of correct rows; null over nothing."""
-    return F.try_divide(F.sum(F.col("weight") * _passed()), F.sum("weight"))
-
-
 def check_sums(scores: DataFrame, keys: list[str]) -> DataFrame:
     """Counts and weighted sums per check; the sufficient statistics."""
     return scores.groupBy(*keys, "dimension", "item", "sub").agg(

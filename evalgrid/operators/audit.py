@@ -12,37 +12,46 @@ from evalgrid.schemas import AUDIT_FLAGS, JUDGMENT
 
 CHECK = ["model", "item", "dimension", "sub"]
 #: Into how many ordered stretches the repeats of one check are split.
-STRETCHES = 4096
+STRETCHES = 64
 
 
-def with_occurrence(
-    rows: DataFrame,
-    keys: list[str],
-    order: str,
-    ties: list[str] | None = None,
-    bounds: tuple[int, int] | None = None,
-) -> DataFrame:
+def _stretch(column: Column, bounds: list) -> Column:
+    """How many of the sorted ``bounds`` lie below the value, by halving; null comes first."""
+
+    def pick(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(column <= F.lit(bounds[middle]), pick(low, middle)).otherwise(pick(middle + 1, high))
+
+    return F.when(column.isNull(), F.lit(-1)).otherwise(pick(0, len(bounds)))
+
+
+def with_occurrence(rows: DataFrame, keys: list[str], order: str, ties: list[str] | None = None) -> DataFrame:
     """Add ``occurrence``: the zero-based number of each row within its keys.
 
     A key may hold any share of the table, so it is never numbered in one
-    piece. The order column is cut into equal stretches; each is numbered on
-    its own and shifted by the rows in the stretches before it. ``bounds`` of
-    the order column save looking them up.
+    piece. Quantiles cut the order column into stretches of about equal
+    numbers of rows; each is numbered on its own and shifted by the rows in
+    the stretches before it. Rows without an order come first. Only rows that
+    are equal in order share a stretch whatever their number.
     """
-    low, high = bounds or rows.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return rows.withColumn("occurrence", F.lit(None).cast("bigint"))
-    width = max(1, (int(high) - int(low)) // STRETCHES + 1)
-    cut = rows.withColumn("__stretch", F.floor((F.col(order) - F.lit(int(low))) / F.lit(width)).cast("int"))
+    shares = [k / STRETCHES for k in range(1, STRETCHES)]
+    found = rows.agg(F.percentile_approx(order, shares, F.lit(100 * STRETCHES))).first()[0] or []
+    cut = rows.withColumn("__stretch", _stretch(F.col(order), sorted(set(found))))
     sizes = cut.groupBy(*keys, "__stretch").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = sizes.select(*keys, "__stretch", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift"))
+    named = {k: f"__{k}" for k in (*keys, "__stretch")}
+    shifts = sizes.select(
+        *[F.col(k).alias(n) for k, n in named.items()], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__shift")
+    )
     within = Window.partitionBy(*keys, "__stretch").orderBy(order, *(ties or []))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()]
     return (
         cut.withColumn("__at", F.row_number().over(within) - 1)
-        .join(shifts, [*keys, "__stretch"])
+        .join(shifts, same)
         .withColumn("occurrence", (F.col("__at") + F.col("__shift")).cast("bigint"))
-        .drop("__stretch", "__at", "__shift")
+        .drop("__at", "__shift", "__stretch", *named.values())
     )
 
 
@@ -50,17 +59,18 @@ def seed_records(
     scores: DataFrame,
     only_misses: bool = True,
     ties: list[str] | None = None,
-    bounds: tuple[int, int] | None = None,
     root: str = "outputs",
 ) -> DataFrame:
     """A blank review record for every graded row, or for every miss.
 
     The record carries the real generation as well as the occurrence number,
-    so the answer it is about can be found without guessing.
+    so the answer it is about can be found without guessing. Rows read from
+    score files have no generation: their place in the file is their order.
     """
     rows = scope.misses(scores) if only_misses else scores
-    numbered = with_occurrence(rows, ["run_id", *CHECK], "generation", ties, bounds)
+    numbered = with_occurrence(rows, ["run_id", *CHECK], "generation", ties)
     run, model, item = F.col("run_id"), F.col("model"), F.col("item")
+    place = [F.lit("#"), F.col("position").cast("string")] if "position" in scores.columns else []
     flags = [F.lit(flag == "key_valid").alias(flag) for flag in AUDIT_FLAGS]
     return numbered.select(
         ids.audit_id(run, model, item, F.col("dimension"), F.col("sub"), F.col("occurrence")).alias("audit_id"),
@@ -76,7 +86,7 @@ def seed_records(
         F.lit(None).cast("string").alias("judge_model"),
         F.lit("keep").alias("recommended_action"),
         F.lit("").alias("rationale"),
-        F.concat(F.lit(f"{root}/"), run, F.lit("/scores/"), model, F.lit(".json")).alias(
+        F.concat(F.lit(f"{root}/"), run, F.lit("/scores/"), model, F.lit(".json"), *place).alias(
             "deterministic_score_pointer"
         ),
         F.concat(
@@ -175,18 +185,32 @@ def merge_judgments(seeds: DataFrame, judgments: DataFrame, judge_model: str | N
     return merged
 
 
+def judged(lines: DataFrame, seeds: DataFrame, judge_model: str | None = None) -> DataFrame:
+    """Every line of a judge file as a record with its ``errors``, bad ones included.
+
+    Unreadable lines have their text in ``value`` and one error.
+    """
+    read = read_judgments(lines).withColumn("__readable", F.col("error").isNull())
+    good = gates.judgment_errors(merge_judgments(seeds, read.filter("__readable"), judge_model))
+    bad = read.filter("not __readable").select("value", F.array("error").alias("errors"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
+def file_errors(lines: DataFrame, seeds: DataFrame, judge_model: str | None = None) -> DataFrame:
+    """(audit_id, value, errors) of every unreadable and every invalid line."""
+    return judged(lines, seeds, judge_model).filter(F.size("errors") > 0).select("audit_id", "value", "errors")
+
+
 def ingest_judgments(lines: DataFrame, seeds: DataFrame, judge_model: str | None = None) -> DataFrame:
     """Records of a judge file, all or nothing.
 
-    Every unreadable or invalid line is reported at once and nothing is kept.
+    Every unreadable or invalid line is written to one list and nothing is kept.
     """
-    read = read_judgments(lines)
-    gates.must_be_empty(read.filter("error is not null").select("value", "error"), "unreadable judge lines")
-    merged = gates.judgment_errors(merge_judgments(seeds, read, judge_model))
+    records = judged(lines, seeds, judge_model)
     gates.must_be_empty(
-        merged.filter(F.size("errors") > 0).select("audit_id", "errors"), "invalid judge records"
+        records.filter(F.size("errors") > 0).select("audit_id", "value", "errors"), "unreadable or invalid judge lines"
     )
-    return merged.drop("errors")
+    return records.drop("errors", "value")
 
 
 def with_issues(records: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evalgrid import DIMENSIONS
 from evalgrid.operators import gates, scope
-from evalgrid.session import bounded_broadcast, cut
+from evalgrid.session import cut
 
 # Fixed value: the share of items and checks a ranked model must have.
 RANKED_COVERAGE = 1.0
@@ -65,9 +65,9 @@ def coverage_gaps(sums: DataFrame, expected: DataFrame, roster: DataFrame, on: l
     (the run), which is what joins them into the intended grid.
     """
     check = ["item", "dimension", "sub"]
-    intended = roster.join(bounded_broadcast(expected.select(*on, *check).distinct()), on)
+    intended = roster.join(expected.select(*on, *check).distinct(), on)
     seen = sums.groupBy(*on, "model", *check).agg(F.sum("n").alias("n_seen"))
-    seen = seen.join(bounded_broadcast(roster.select(*on, "model")), [*on, "model"], "left_semi")
+    seen = seen.join(roster.select(*on, "model"), [*on, "model"], "left_semi")
     both = intended.join(seen, [*on, "model", *check], "full_outer")
     found, wanted = F.coalesce("n_seen", F.lit(0)), F.coalesce("generations", F.lit(0))
     status = (
@@ -89,12 +89,12 @@ def coverage_counts(sums: DataFrame, expected: DataFrame, roster: DataFrame) ->
     models and checks is built.
     """
     check = ["item", "dimension", "sub"]
-    planned = bounded_broadcast(expected.select(*check, F.lit(True).alias("__planned")))
+    planned = expected.select(*check, F.lit(True).alias("__planned"))
     n_expected = expected.agg(F.count(F.lit(1)).alias("n")).scalar()
     hits = F.coalesce("__planned", F.lit(False))
     counts = (
         sums.join(planned, check, "left")
-        .join(bounded_broadcast(roster), "model")
+        .join(roster, "model")
         .groupBy("model")
         .agg(
             F.sum("n").alias("n_atomic"),
@@ -115,14 +115,15 @@ def generation_counts(
 ) -> DataFrame:
     """Per model, how many saved generations are incomplete or surplus.
 
-    A generation is complete if it grades every check of its item once.
+    A generation is complete if it grades every check of its item once. Items
+    that have left the bank count for nothing.
     """
     one = ["model", "item", "generation"]
     check = ["item", "dimension", "sub"]
     per_item = expected.groupBy("item").agg(F.count(F.lit(1)).alias("n_expected"))
     n_items = per_item.agg(F.count(F.lit(1)).alias("n")).scalar()
-    planned = bounded_broadcast(expected.select(*check, F.lit(True).alias("__planned")))
-    small_roster = bounded_broadcast(roster)
+    planned = expected.select(*check, F.lit(True).alias("__planned"))
+    small_roster = roster
     complete = (
         graded.groupBy(*one, "dimension", "sub")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -132,7 +133,7 @@ def generation_counts(
             F.count_if((F.col("n") == 1) & F.col("__planned")).alias("n_once"),
             F.sum("n").alias("n_rows"),
         )
-        .join(bounded_broadcast(per_item), "item")
+        .join(per_item, "item")
         .join(small_roster, "model")
         .filter("generation < generations and n_once = n_expected and n_rows = n_expected")
         .groupBy("model")
@@ -141,6 +142,7 @@ def generation_counts(
     surplus = (
         responses.select(*one)
         .distinct()
+        .join(per_item.select("item"), "item", "left_semi")
         .join(small_roster, "model")
         .filter("generation >= generations")
         .groupBy("model")

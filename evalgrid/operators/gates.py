@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid.schemas import AUDIT_ACTIONS, AUDIT_FLAGS
+from evalgrid.session import scratch_path
 
 # Finish reasons that mean an answer was cut off.
 TRUNCATED_REASONS = ("length", "max_tokens", "max_output_tokens")
@@ -15,11 +16,18 @@ class GateError(ValueError):
     """A gate found offending rows."""
 
 
-def must_be_empty(offenders: DataFrame, message: str, shown: int = 20) -> None:
-    """Raise with a few examples when a gate has offending rows."""
-    rows = offenders.limit(shown).collect()
-    if rows:
-        raise GateError(f"{message}: " + "; ".join(str(row.asDict()) for row in rows))
+def must_be_empty(offenders: DataFrame, message: str) -> None:
+    """Raise when a gate has offending rows; all of them are written first.
+
+    The error names their number, where the whole list is, and the first few.
+    """
+    if offenders.isEmpty():
+        return
+    path = scratch_path(offenders.sparkSession, "offenders")
+    offenders.write.parquet(path)
+    listed = offenders.sparkSession.read.parquet(path)
+    first = "; ".join(str(row.asDict()) for row in listed.take(5))
+    raise GateError(f"{message}: {listed.count()} rows, listed in {path}, such as {first}")
 
 
 def duplicate_ids(df: DataFrame, *keys: str) -> DataFrame:

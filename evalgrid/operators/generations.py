@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from evalgrid.functions import lineage, verdicts
 from evalgrid.operators import pairs
-from evalgrid.session import bounded_broadcast
 
 
 def with_lineage(models: DataFrame, label: str = "label") -> DataFrame:
@@ -34,8 +33,8 @@ def successions(board: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("version", "model")).alias("newest"))
     )
     names = ranked.select(F.col("model").alias("superseded_by"), F.lit(True).alias("__declared"))
-    joined = models.join(bounded_broadcast(newest), "family", "left").join(
-        bounded_broadcast(names), "superseded_by", "left"
+    joined = models.join(newest, "family", "left").join(
+        names, "superseded_by", "left"
     )
     inferred = F.when(F.col("newest.version") > F.col("version"), F.col("newest.model"))
     declared = F.when(F.col("__declared") & (F.col("superseded_by") != F.col("model")), F.col("superseded_by"))

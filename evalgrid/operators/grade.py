@@ -8,11 +8,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evalgrid import DIMENSIONS
 from evalgrid.functions import parsing, text
 from evalgrid.operators import gates
-from evalgrid.session import BROADCAST_ROWS, bounded_broadcast, cut
 
 #: The turn name of an answer to a single-turn item.
 SINGLE_TURN = "response"
@@ -61,9 +61,8 @@ def grade(
     """Grade answers against flattened checks.
 
     Answers without a readable object give no rows: they are coverage gaps,
-    not misses. The checks are broadcast if a count shows them small, so the
-    answers are graded where they were read; only calls that must be held
-    shuffle, to be compared with the first call.
+    not misses. Only the calls of multi-turn items shuffle, a few words each,
+    so that a turn can be compared with the first call.
     """
     found = _kinds(checks)
     keys = keys_of(responses)
@@ -72,11 +71,10 @@ def grade(
     if found.labels or found.texts or not found.turns:
         parts.append(grade_single(parsed, checks, matcher, found))
     if found.turns:
-        # a few words per turn, read by several steps: parse the texts once
         calls = parsed.filter(F.col("turn_id") != SINGLE_TURN).select(
             *keys, "turn_id", recommendation(F.col("parsed")).alias("recommendation")
         )
-        parts.append(grade_conviction(cut(calls), checks, found))
+        parts.append(grade_conviction(calls, checks))
     rows = [part.select(*keys, *_ROW) for part in parts]
     return rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
 
@@ -89,11 +87,6 @@ class _Kinds:
     texts: int
     turns: int
 
-    @property
-    def small(self) -> bool:
-        """Whether the checks may be broadcast."""
-        return self.labels + self.texts + self.turns <= BROADCAST_ROWS
-
 
 def _kinds(checks: DataFrame) -> _Kinds:
     kind = F.col("kind")
@@ -148,7 +141,7 @@ def grade_single(
             mentioned = matcher(F.col("aliases"), limitations)
             asserted = _asserted(matcher, F.col("aliases"), conclusions)
         right = F.when(F.col("kind") == "label", right).when(F.col("kind") == "landmine", mentioned).otherwise(~asserted)
-    return answers.join(F.broadcast(kinds) if found.small else kinds, "item").select(
+    return answers.join(kinds, "item").select(
         *keys, "dimension", "sub", "weight", right.alias("correct")
     )
 
@@ -164,14 +157,14 @@ def recommendation(parsed: Column) -> Column:
     return F.upper(F.coalesce(F.try_variant_get(parsed, "$.recommendation", "string"), F.lit("")))
 
 
-def grade_conviction(turns: DataFrame, checks: DataFrame, found: _Kinds | None = None) -> DataFrame:
+def grade_conviction(turns: DataFrame, checks: DataFrame) -> DataFrame:
     """Grade parsed turns: first calls, later calls, and calls to be held.
 
     ``turns`` has one row per answered turn with its upper-cased
     ``recommendation``. A turn marked strict is right only if the first call
     was right and the turn repeats it; without a first call it gives no row.
+    One shuffle gives every turn the first call of its generation.
     """
-    found = found or _kinds(checks)
     keys = keys_of(turns)
     first = checks.filter(F.col("kind") == "initial").select(
         "item", F.col("allowed").alias("__first_allowed")
@@ -181,25 +174,13 @@ def grade_conviction(turns: DataFrame, checks: DataFrame, found: _Kinds | None =
         .join(first, "item", "left")
         .select("item", "turn_id", "dimension", "sub", "weight", "allowed", "strict_hold", "__first_allowed")
     )
-    matched = turns.join(F.broadcast(rules) if found.small else rules, ["item", "turn_id"])
-    plain = matched.filter(~F.col("strict_hold")).withColumn(
-        "correct", F.array_contains("allowed", F.col("recommendation"))
-    )
-    setups = (
-        turns.filter(F.col("turn_id") == SETUP_TURN)
-        .groupBy(*keys)
-        .agg(F.max("recommendation").alias("__setup"))
-    )
-    held = (
-        matched.filter("strict_hold")
-        .join(setups, keys)
-        .withColumn(
-            "correct",
-            F.array_contains("__first_allowed", F.col("__setup"))
-            & (F.col("recommendation") == F.col("__setup")),
-        )
-    )
-    return plain.select(*keys, *_ROW).unionByName(held.select(*keys, *_ROW))
+    call = F.col("recommendation")
+    setup = F.max(F.when(F.col("turn_id") == SETUP_TURN, call)).over(Window.partitionBy(*keys))
+    matched = turns.withColumn("__setup", setup).join(rules, ["item", "turn_id"])
+    held = F.array_contains("__first_allowed", F.col("__setup")) & (call == F.col("__setup"))
+    right = F.when(F.col("strict_hold"), held).otherwise(F.array_contains("allowed", call))
+    answered = ~F.col("strict_hold") | F.col("__setup").isNotNull()
+    return matched.filter(answered).withColumn("correct", right).select(*keys, *_ROW)
 
 
 def skipped_items(responses: DataFrame, cases: DataFrame) -> DataFrame:
@@ -243,7 +224,7 @@ def label_answers(responses: DataFrame, checks: DataFrame) -> DataFrame:
     Unlike grading, an answer without a readable object counts as having
     predicted nothing.
     """
-    labels = bounded_broadcast(checks.filter(F.col("kind") == "label").select("item", "sub", "expected"))
+    labels = checks.filter(F.col("kind") == "label").select("item", "sub", "expected")
     parsed = parsing.parse_objects(responses.filter(F.col("turn_id") == SINGLE_TURN))
     given = parsed.select(
         *keys_of(responses), parsing.string_map(F.col("parsed"), "$.classifications").alias("__labels")

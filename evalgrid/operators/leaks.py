@@ -1,18 +1,14 @@
-"""Private identifiers in published text."""
+"""Private identifiers in published text, found by joins."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import ahocorasick
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid.operators import scope
 
-#: How many tokens one pass over the text looks for at most.
-TOKENS_PER_PASS = 100_000
+#: Length of the character grams that lead from a token to the words that may hold it.
+GRAM = 4
 
 
 def leak_tokens(items: DataFrame, separator: str = "_") -> DataFrame:
@@ -33,46 +29,49 @@ def leak_tokens(items: DataFrame, separator: str = "_") -> DataFrame:
     return each.filter(F.length("token") > 0).groupBy("token").agg(F.min("kind").alias("kind"))
 
 
+def _words(text: Column) -> Column:
+    """The different runs between white space."""
+    return F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+
+
+def _grams(word: Column, size: Column) -> Column:
+    starts = F.sequence(F.lit(1), F.greatest(F.length(word) - size + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda at: F.substring(word, at, size)))
+
+
+def _anchors(tokens: DataFrame) -> DataFrame:
+    """(token, piece, gram): how each token is looked up.
+
+    The piece is the longest run of a token between white space, which any
+    text with the token holds inside one of its words. The gram is the one of
+    the piece that the fewest tokens share, so a prefix common to all ids does
+    not lead to all of them.
+    """
+    longest = F.aggregate(_words(F.col("token")), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    pieces = tokens.select("token").distinct().select("token", longest.alias("piece")).filter("piece <> ''")
+    grams = pieces.select("token", "piece", F.explode(_grams(F.col("piece"), F.least(F.length("piece"), F.lit(GRAM)))).alias("gram"))
+    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    least = F.min(F.struct("n", "gram")).alias("m")
+    return grams.join(shared, "gram").groupBy("token", "piece").agg(least).select("token", "piece", F.col("m.gram").alias("gram"))
+
+
 def find_tokens(documents: DataFrame, tokens: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, token) for every token that occurs anywhere in a text.
+    """(key, token) for every token that occurs anywhere in a text, once each.
 
-    One pass over a text finds all tokens at once, whatever their number.
-    More tokens than fit a pass are split by digest and take further passes.
+    The different words of the corpus meet the tokens by their grams, words
+    that hold a token's piece lead to their documents, and there the whole
+    token is looked for. Any number of tokens takes one pass. Tokens of white
+    space alone are not looked for, and rows without a key are not searched.
     """
-    total = tokens.count()
-    passes = max(1, -(-total // (TOKENS_PER_PASS // 2)))
-    split = tokens.select("token", F.pmod(F.xxhash64("token"), F.lit(passes)).alias("__pass"))
-    found = None
-    for number in range(passes):
-        words = [r["token"] for r in split.filter(F.col("__pass") == number).select("token").collect()]
-        if not words:
-            continue
-        part = _scan(documents.select(key, text), words, key, text)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return documents.select(key, F.lit("").alias("token")).limit(0)
-    return found
-
-
-def _scan(documents: DataFrame, words: list[str], key: str, text: str) -> DataFrame:
-    shared = documents.sparkSession.sparkContext.broadcast(words)
-
-    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        machine = ahocorasick.Automaton()
-        for word in shared.value:
-            machine.add_word(word, word)
-        machine.make_automaton()
-        for batch in batches:
-            rows = [
-                (k, word)
-                for k, body in zip(batch[key], batch[text])
-                if body is not None
-                for word in {w for _, w in machine.iter(body)}
-            ]
-            yield pd.DataFrame(rows, columns=[key, "token"])
-
-    schema = f"{key} {documents.schema[key].dataType.simpleString()}, token string"
-    return documents.mapInPandas(hits, schema)
+    words = documents.select(F.col(key).alias("__key"), F.explode(_words(F.col(text))).alias("word"))
+    sizes = F.sequence(F.lit(1), F.lit(GRAM))
+    parts = F.array_distinct(F.flatten(F.transform(sizes, lambda n: _grams(F.col("word"), n))))
+    grams = words.select("word").distinct().select("word", F.explode(parts).alias("gram"))
+    hits = grams.join(_anchors(tokens), "gram").filter(F.contains("word", F.col("piece"))).select("word", "token").distinct()
+    candidates = words.join(hits, "word").select("__key", "token").distinct()
+    texts = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    found = texts.join(candidates, "__key").filter(F.contains("__text", F.col("token")))
+    return found.select(F.col("__key").alias(key), "token").distinct()
 
 
 def leak_counts(documents: DataFrame, tokens: DataFrame, key: str, text: str = "text") -> DataFrame:

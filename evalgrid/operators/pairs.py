@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from evalgrid.functions import verdicts
 from evalgrid.operators import resample
-from evalgrid.session import bounded_broadcast, cut
+from evalgrid.session import cut
 
 PAIR = ["a", "b"]
 #: Fixed value: the family-wise level a decision must reach.
@@ -16,7 +16,7 @@ DECISION_LEVEL = 0.05
 
 
 def _sides(means: DataFrame, order: DataFrame) -> DataFrame:
-    return means.join(bounded_broadcast(order.select("model", "pos")), "model")
+    return means.join(order.select("model", "pos"), "model")
 
 
 def shared_checks(means: DataFrame, order: DataFrame) -> DataFrame:
@@ -42,15 +42,6 @@ def shared_checks(means: DataFrame, order: DataFrame) -> DataFrame:
     )
 
 
-def metadata_conflicts(shared: DataFrame) -> DataFrame:
-    """Shared checks whose dimension or weight differs between two models."""
-    gap = F.abs(F.col("weight") - F.col("__weight_b"))
-    return shared.filter(
-        (F.col("dimension") != F.col("__dimension_b"))
-        | (gap > 1e-8 + 1e-5 * F.abs("__weight_b"))
-    ).select("a", "b", "item", "sub")
-
-
 def pair_clusters(shared: DataFrame) -> DataFrame:
     """Weighted difference sums per pair and item."""
     return shared.groupBy(*PAIR, "dimension", "item").agg(
@@ -93,13 +84,13 @@ def compare(
     means: DataFrame,
     order: DataFrame,
     n: int = resample.PAIR_DRAWS,
-    permutations: int | None = None,
+    permutations: int = resample.SIGN_FLIPS,
     seed: int = 0,
 ) -> DataFrame:
     """Difference, interval, p-values and winner of every pair of ``order``."""
     clusters = cut(pair_clusters(shared_checks(means, order)))
     intervals = resample.headline_intervals(clusters, PAIR, n, seed)
-    tested = resample.sign_flip_p(clusters, PAIR, n if permutations is None else permutations, seed)
+    tested = resample.sign_flip_p(clusters, PAIR, permutations, seed)
     joined = paired_diff(clusters).join(intervals, PAIR).join(tested, PAIR)
     return decide(holm_adjust(joined))
 
@@ -167,9 +158,13 @@ def cells(records: DataFrame) -> DataFrame:
     )
 
 
-def head_to_head(records: DataFrame) -> DataFrame:
-    """A grid of cell states, one column per opponent, and decisive wins."""
+def head_to_head(records: DataFrame, opponents: list[str]) -> DataFrame:
+    """A grid of cell states, one column for each of ``opponents``, and decisive wins.
+
+    The caller names the columns, in the order of the board. They are plain
+    aggregates, so their number has no limit and no job looks them up.
+    """
     states = cells(records)
-    grid = states.groupBy("model").pivot("opponent").agg(F.first("state"))
+    grid = states.groupBy("model").agg(*[F.max(F.when(F.col("opponent") == o, F.col("state"))).alias(o) for o in opponents])
     won = states.groupBy("model").agg(F.count_if(F.col("state") == "wd").alias("decisive_wins"))
     return grid.join(won, "model")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evalgrid.functions import ids, usage
 from evalgrid.functions.parsing import hold
 from evalgrid.operators import gates
-from evalgrid.session import bounded_broadcast, cut
+from evalgrid.session import cut
 
 # Fixed value: the layout of a single-turn prompt.
 _FEATURES_TITLE = "Candidate features:\n"
@@ -134,7 +134,7 @@ def stage_requests(
         stage = F.coalesce(F.col("__last"), F.lit(0)) + 1
     out = (
         bodies.join(kinds, "item")
-        .join(bounded_broadcast(roster), "model")
+        .join(roster, "model")
         .select(
             ids.custom_id(F.col("model"), F.col("item"), F.col("generation"), F.col("turn_id")).alias("custom_id"),
             "run_id", stage.alias("stage"), "item", "generation", "turn_id", "schema", "provider", "model",
@@ -254,17 +254,36 @@ def line_id(line: Column) -> Column:
     return F.coalesce(*[F.try_variant_get(line, p, "string") for p in ("$.custom_id", "$.key", "$.metadata.key")])
 
 
+def _asked(manifest: DataFrame, lines: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The manifest with one row for each key of a result line, and that key."""
+    asked = manifest.drop("messages", "max_tokens")
+    if "stage" not in asked.columns:
+        return asked, ["custom_id"]
+    if "stage" in lines.columns:
+        return asked, ["custom_id", "stage"]
+    rest = [c for c in asked.columns if c != "custom_id"]
+    last = asked.groupBy("custom_id").agg(F.max_by(F.struct(*rest), "stage").alias("__asked"))
+    return last.select("custom_id", "__asked.*"), ["custom_id"]
+
+
+def unreadable_lines(results: DataFrame) -> DataFrame:
+    """Gate: result lines that are no JSON."""
+    return results.filter(F.col("outcome") == "unreadable")
+
+
 def normalize_results(lines: DataFrame, manifest: DataFrame, text: str = "value") -> DataFrame:
     """Vendor result lines in one schema, matched to what was asked.
 
-    ``outcome`` is ``merged``, ``error`` or ``unknown`` (an id nobody asked
-    for). Blank lines are skipped. The manifest says which vendor's shape a
-    line has.
+    ``outcome`` is ``merged``, ``error``, ``unknown`` (an id nobody asked for)
+    or ``unreadable`` (no JSON; ``text`` is then the line itself). Blank lines
+    are skipped. The manifest says which vendor's shape a line has. An id asked
+    in several stages counts as asked in its line's stage if lines carry one,
+    else in the last.
     """
     filled = lines.filter(F.trim(F.col(text)) != "")
     read = hold(filled, "__line", F.try_parse_json(text)).withColumn("custom_id", line_id(F.col("__line")))
-    asked = manifest.drop("messages", "max_tokens") if "messages" in manifest.columns else manifest
-    joined = read.drop(text).join(asked, "custom_id", "left")
+    read = read.withColumn("__raw", F.when(F.col("__line").isNull(), F.col(text)))
+    joined = read.drop(text).join(*_asked(manifest, lines), "left")
     line, provider = F.col("__line"), F.col("provider")
     # each step is held, so that none is repeated and the generated code stays small
     shaped = hold(joined, "error", result_error(line, provider))
@@ -295,13 +314,13 @@ def normalize_results(lines: DataFrame, manifest: DataFrame, text: str = "value"
         "custom_id", "run_id", "model", "item", "generation", "turn_id", "provider",
         served.alias("served_model"),
         F.lit("batch").alias("run_mode"),
-        "text",
-        request.alias("request_id"),
+        F.coalesce("__raw", "text").alias("text"),
+        F.when(good, request).alias("request_id"),
         "finish_reason",
         "usage",
         F.when(good, price).alias("cost_usd"),
         "error",
-        F.when(provider.isNull(), "unknown").when(F.col("error").isNotNull(), "error").otherwise("merged").alias("outcome"),
+        F.when(F.col("__raw").isNotNull(), "unreadable").when(provider.isNull(), "unknown").when(F.col("error").isNotNull(), "error").otherwise("merged").alias("outcome"),
     )
 
 

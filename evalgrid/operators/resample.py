@@ -1,213 +1,93 @@
 """Cluster bootstraps and sign-flip tests with seeded draws.
 
 A draw is a digest of its own coordinates, so it is the same under any
-partitioning and after any retry. Draws are spread over the tasks by their
-number and a resample is made and reduced inside one task; only one value per
-group and resample is shuffled.
-
-Two ways give the same numbers. Cluster sums that a count shows to be small
-are broadcast, and each task multiplies a block of draws with them at once.
-Larger ones are joined to the draws by Spark.
+partitioning and after any retry. Blocks of draws are dealt over the tasks,
+digests are made there, and the draws are joined to the cluster sums. A block's
+draws stay in one task up to the first sum, so only one value per group and
+resample is shuffled. There is one way for every size.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evalgrid.session import bounded_broadcast, cut, slices
+from evalgrid.session import cut, slices
 
 # The default numbers of resamples and the interval level.
 DIMENSION_DRAWS = 10_000
 HEADLINE_DRAWS = 5_000
 PAIR_DRAWS = 10_000
-SIGN_FLIPS = 10_000
+SIGN_FLIPS = 100_000
 ALPHA = 0.05
 _TIE = 1e-12
 _ZERO = 1e-8
 
-#: Cluster rows up to which the sums travel to every task as matrices.
-MATRIX_ROWS = 200_000
-#: Draws a task holds as a block.
-_BLOCK = 1_000
+#: Draws, and slots of a resample, that are dealt to a task together.
+_SPAN, _SLOTS = 50, 1024
+#: Items whose signs are taken together.
+_BUNDLE = 8
 
 
 def _digest(*parts: Column) -> Column:
     return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary"))
 
 
-def _number(table: DataFrame, n: int, name: str) -> DataFrame:
-    """Repeat each row once per draw, spread over partitions by draw."""
-    spark = table.sparkSession
-    numbered = table.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    return numbered.repartition(max(1, min(slices(spark), n)), name)
-
+def _blocks(count: Column, size: int) -> Column:
+    """Starts of the blocks that ``count`` numbers make."""
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(count.cast("bigint") - 1, F.lit(0)), F.lit(size).cast("bigint")))
 
-def _draw_blocks(spark: SparkSession, n: int) -> DataFrame:
-    """The draw numbers, in contiguous blocks over the tasks."""
-    tasks = max(1, min(slices(spark), -(-n // 100)))
-    return spark.range(0, n, 1, tasks)
 
+def _block(start: Column, count: Column, size: int) -> Column:
+    """The numbers of one block."""
+    return F.explode(F.sequence(start, F.least(start + size, count.cast("bigint")) - 1))
 
-def _distinct_numbered(df: DataFrame, columns: list[str], name: str) -> DataFrame:
-    """The distinct values of ``columns`` with a dense number.
-
-    Only used for lists with a row per model, pair, dimension or item.
-    """
-    return df.select(*columns).distinct().withColumn(
-        name, F.row_number().over(Window.orderBy(*columns)).cast("int")
-    )
 
+def _dealt(table: DataFrame, n: int, name: str) -> DataFrame:
+    """Repeat each row once per draw, a block of draws in one task."""
+    starts = table.withColumn("__start", _blocks(F.lit(n), _SPAN)).repartition(slices(table.sparkSession), "__start")
+    return starts.withColumn(name, _block(F.col("__start"), F.lit(n), _SPAN)).drop("__start")
 
-def _indexed(clusters: DataFrame, keys: list[str]) -> DataFrame:
-    """Clusters with integer stand-ins for their group, stratum and place.
 
-    A stratum is a dimension with a number of clusters ``k``; ``cell`` packs
-    stratum and place into one number. Resampling works with these only.
-    """
+def _placed(clusters: DataFrame, keys: list[str]) -> DataFrame:
+    """Clusters with their place ``idx`` among the ``k`` of their group and dimension."""
     group = Window.partitionBy(*keys, "dimension")
-    placed = clusters.select(
+    return clusters.select(
         *keys,
         "dimension",
-        "den",
         "num",
+        "den",
         (F.row_number().over(group.orderBy("item")) - 1).cast("bigint").alias("idx"),
         F.count(F.lit(1)).over(group).alias("k"),
     )
-    numbered = placed.join(bounded_broadcast(_distinct_numbered(clusters, keys, "group")), keys).join(
-        bounded_broadcast(_distinct_numbered(placed, ["dimension", "k"], "stratum")), ["dimension", "k"]
-    )
-    return cut(numbered.withColumn("cell", _cell(F.col("stratum"), F.col("idx"))))
-
-
-def _cell(stratum: Column, idx: Column) -> Column:
-    return F.shiftleft(stratum.cast("bigint"), 40) + idx
 
 
 def draws(sizes: DataFrame, n: int, seed: int) -> DataFrame:
-    """How often each cell is drawn in each resample.
+    """(draw, dimension, k, idx): the place picked by each slot of each resample.
 
-    ``sizes`` has one row per ``stratum`` with its ``dimension`` and number of
-    clusters ``k``.
+    ``sizes`` has the numbers of clusters ``k`` of each ``dimension``. Groups
+    with the same number share their draws.
     """
-    slots = _number(sizes, n, "draw").withColumn(
-        "slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1))
-    )
+    parts = sizes.withColumn("__from", _blocks(F.col("k"), _SLOTS))
+    slots = _dealt(parts, n, "draw").withColumn("slot", _block(F.col("__from"), F.col("k"), _SLOTS))
     digest = _digest(F.lit(seed), F.col("draw"), F.col("dimension"), F.col("slot"))
     pick = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.col("k")
-    return (
-        slots.select("draw", _cell(F.col("stratum"), pick).alias("cell"))
-        .groupBy("draw", "cell")
-        .agg(F.count(F.lit(1)).alias("times"))
-    )
+    return slots.select("draw", "dimension", "k", pick.alias("idx"))
 
 
-def _replicates_by_join(indexed: DataFrame, n: int, seed: int) -> DataFrame:
-    """The ratio of every group, resample and stratum, for sums of any size."""
-    sizes = indexed.select("stratum", "dimension", "k").distinct()
-    sums = indexed.select("cell", "group", "stratum", "num", "den")
-    times = F.col("times")
+def replicates(clusters: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
+    """(keys, draw, dimension, ratio): the weighted mean of every resample."""
+    sums = _placed(clusters, keys)
+    picked = draws(sums.select("dimension", "k").distinct(), n, seed)
     return (
-        draws(sizes, n, seed)
-        .join(bounded_broadcast(sums), "cell")
-        .groupBy("group", "draw", "stratum")
-        .agg(F.try_divide(F.sum(times * F.col("num")), F.sum(times * F.col("den"))).alias("ratio"))
+        picked.join(sums, ["dimension", "k", "idx"])
+        .groupBy(*keys, "draw", "dimension")
+        .agg(F.try_divide(F.sum("num"), F.sum("den")).alias("ratio"))
     )
 
 
-def _replicates_by_matrix(spark: SparkSession, rows: pd.DataFrame, n: int, seed: int) -> DataFrame:
-    """The same ratios from sums that fit into every task.
-
-    ``rows`` has the sums with the numbers of their ``group`` and ``stratum``.
-    """
-    strata = []
-    for (stratum, dimension, k), part in rows.groupby(["stratum", "dimension", "k"]):
-        groups, columns = np.unique(part["group"].to_numpy(), return_inverse=True)
-        num, den = np.zeros((k, len(groups))), np.zeros((k, len(groups)))
-        num[part["idx"], columns], den[part["idx"], columns] = part["num"], part["den"]
-        strata.append((int(stratum), dimension, int(k), groups, num, den))
-    shared = spark.sparkContext.broadcast(strata)
-
-    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            ids = batch["id"].to_numpy()
-            for block in np.array_split(ids, max(1, -(-len(ids) // _BLOCK))):
-                for stratum, dimension, k, groups, num, den in shared.value:
-                    times = np.array([_times(seed, draw, dimension, k) for draw in block]).reshape(len(block), k)
-                    with np.errstate(divide="ignore", invalid="ignore"):
-                        ratio = (times @ num) / (times @ den)
-                    yield pd.DataFrame({
-                        "group": np.tile(groups, len(block)),
-                        "draw": np.repeat(block, len(groups)),
-                        "stratum": stratum,
-                        "ratio": ratio.ravel(),
-                    })
-
-    made = _draw_blocks(spark, n).mapInPandas(resample, "group int, draw bigint, stratum int, ratio double")
-    return made.withColumn("ratio", F.nanvl("ratio", F.lit(None).cast("double")))
-
-
-@dataclass
-class _Drawn:
-    """Ratios per group, draw and stratum, and the names behind the numbers."""
-
-    ratios: DataFrame
-    groups: DataFrame
-    strata: DataFrame
-
-
-def _draw(clusters: DataFrame, keys: list[str], n: int, seed: int) -> _Drawn:
-    rows = _local(clusters.select(*keys, "dimension", "item", "num", "den"))
-    if rows is None:
-        indexed = _indexed(clusters, keys)
-        return _Drawn(
-            _replicates_by_join(indexed, n, seed),
-            bounded_broadcast(indexed.select("group", *keys).distinct()),
-            bounded_broadcast(indexed.select("stratum", "dimension").distinct()),
-        )
-    rows = rows.sort_values([*keys, "dimension", "item"])
-    group = rows.groupby([*keys, "dimension"], sort=False)
-    rows = rows.assign(idx=group.cumcount(), k=group["item"].transform("size"))
-    rows = rows.assign(
-        group=rows.groupby(keys).ngroup(), stratum=rows.groupby(["dimension", "k"]).ngroup()
-    )
-    spark = clusters.sparkSession
-    return _Drawn(
-        _replicates_by_matrix(spark, rows, n, seed),
-        _small_table(spark, rows, ["group", *keys], clusters),
-        _small_table(spark, rows, ["stratum", "dimension"], clusters),
-    )
-
-
-def _local(df: DataFrame) -> pd.DataFrame | None:
-    """The rows of ``df`` if they are at most ``MATRIX_ROWS``."""
-    rows = df.limit(MATRIX_ROWS + 1).toArrow().to_pandas()
-    return rows if len(rows) <= MATRIX_ROWS else None
-
-
-def _small_table(spark: SparkSession, rows: pd.DataFrame, columns: list[str], like: DataFrame) -> DataFrame:
-    kinds = [f"{columns[0]} int"] + [f"{c} {like.schema[c].dataType.simpleString()}" for c in columns[1:]]
-    distinct = rows[columns].drop_duplicates()
-    return F.broadcast(spark.createDataFrame(distinct.values.tolist(), ", ".join(kinds)))
-
-
-def _times(seed: int, draw: int, dimension: str, k: int) -> np.ndarray:
-    """How often each of ``k`` clusters is drawn; the same draws as :func:`draws`."""
-    stem = f"{seed}:{draw}:{dimension}:".encode()
-    picks = [
-        int.from_bytes(hashlib.md5(stem + b"%d" % slot).digest()[:4], "big") % k for slot in range(k)
-    ]
-    return np.bincount(picks, minlength=k)
-
-
-def _bounds(value: str, alpha: float) -> Column:
+def _bounds(value: Column | str, alpha: float) -> Column:
     return F.percentile(value, F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
 
 
@@ -217,13 +97,10 @@ def dimension_intervals(
     """Bootstrap interval of the weighted mean in every dimension.
 
     ``clusters`` has ``keys``, ``dimension``, ``item`` and the sums ``den`` and
-    ``num``. Groups with the same number of clusters share their draws.
+    ``num``.
     """
-    drawn = _draw(clusters, keys, n, seed)
-    bounds = drawn.ratios.groupBy("group", "stratum").agg(_bounds("ratio", alpha).alias("q"))
-    return bounds.join(drawn.strata, "stratum").join(drawn.groups, "group").select(
-        *keys, "dimension", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")
-    )
+    bounds = replicates(clusters, keys, n, seed).groupBy(*keys, "dimension").agg(_bounds("ratio", alpha).alias("q"))
+    return bounds.select(*keys, "dimension", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
 def headline_intervals(
@@ -233,37 +110,39 @@ def headline_intervals(
 
     Items are resampled within each dimension.
     """
-    drawn = _draw(clusters, keys, n, seed)
-    bounds = (
-        drawn.ratios.groupBy("group", "draw")
-        .agg(F.avg("ratio").alias("mean"))
-        .groupBy("group")
-        .agg(_bounds("mean", alpha).alias("q"))
-    )
-    return bounds.join(drawn.groups, "group").select(
-        *keys, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")
-    )
+    means = replicates(clusters, keys, n, seed).groupBy(*keys, "draw").agg(F.avg("ratio").alias("mean"))
+    bounds = means.groupBy(*keys).agg(_bounds("mean", alpha).alias("q"))
+    return bounds.select(*keys, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
 
 
 def all_intervals(
-    clusters: DataFrame, keys: list[str], dimensions: tuple[str, ...], n: int, seed: int = 0, alpha: float = ALPHA
+    clusters: DataFrame,
+    keys: list[str],
+    dimensions: tuple[str, ...],
+    n: int = HEADLINE_DRAWS,
+    n_dimension: int = DIMENSION_DRAWS,
+    seed: int = 0,
+    alpha: float = ALPHA,
 ) -> DataFrame:
-    """Intervals of the headline and of every dimension from one set of draws."""
-    drawn = _draw(clusters, keys, n, seed)
-    parts = ("score", *dimensions)
+    """Intervals of the headline and of every dimension from one set of draws.
+
+    The first ``n`` draws make the headline's, the first ``n_dimension`` those
+    of the dimensions.
+    """
     wide = (
-        drawn.ratios.join(drawn.strata, "stratum")
-        .groupBy("group", "draw")
+        replicates(clusters, keys, max(n, n_dimension), seed)
+        .groupBy(*keys, "draw")
         .agg(
             F.avg("ratio").alias("score"),
             *[F.max(F.when(F.col("dimension") == d, F.col("ratio"))).alias(d) for d in dimensions],
         )
     )
-    bounds = wide.groupBy("group").agg(*[_bounds(part, alpha).alias(f"__{part}") for part in parts])
-    return bounds.join(drawn.groups, "group").select(
-        *keys,
-        *[F.col(f"__{part}")[at].alias(f"{part}_{end}") for part in parts for at, end in ((0, "lo"), (1, "hi"))],
+    counted = {"score": n, **dict.fromkeys(dimensions, n_dimension)}
+    bounds = wide.groupBy(*keys).agg(
+        *[_bounds(F.when(F.col("draw") < most, F.col(part)), alpha).alias(f"__{part}") for part, most in counted.items()]
     )
+    ends = [F.col(f"__{part}")[at].alias(f"{part}_{end}") for part in counted for at, end in ((0, "lo"), (1, "hi"))]
+    return bounds.select(*keys, *ends)
 
 
 def sign_flip_p(clusters: DataFrame, keys: list[str], n: int = SIGN_FLIPS, seed: int = 0) -> DataFrame:
@@ -273,80 +152,29 @@ def sign_flip_p(clusters: DataFrame, keys: list[str], n: int = SIGN_FLIPS, seed:
     p-value is never zero; an effect of zero gives one.
     """
     unit = ["dimension", "item"]
-    rows = _local(clusters.select(*keys, *unit, "num", "den"))
-    if rows is None:
-        return _sign_flip_by_join(clusters, keys, n, seed)
-    denominator = rows.groupby([*keys, "dimension"])["den"].transform("sum")
-    n_dims = rows.groupby(keys)["dimension"].transform("nunique")
-    rows = rows.assign(
-        coef=rows["num"] / denominator / n_dims,
-        group=rows.groupby(keys).ngroup(), unit=rows.groupby(unit).ngroup(),
-    )
-    spark = clusters.sparkSession
-    groups = _small_table(spark, rows, ["group", *keys], clusters)
-    tested = _extremes_by_matrix(spark, rows, n, seed).groupBy("group").agg(
-        F.sum("extreme").alias("extreme"), F.max("observed").alias("observed")
-    )
-    return tested.join(groups, "group").select(*keys, _p_value(n).alias("p_value"))
-
+    dens = clusters.groupBy(*keys, "dimension").agg(F.sum("den").alias("__den"))
+    n_dims = dens.groupBy(*keys).agg(F.count(F.lit(1)).alias("__dims"))
+    weighed = clusters.join(dens, [*keys, "dimension"]).join(n_dims, keys)
+    coefficients = weighed.select(*keys, *unit, (F.col("num") / F.col("__den") / F.col("__dims")).alias("coef"))
+    observed = coefficients.groupBy(*keys).agg(F.sum("coef").alias("observed"))
+
+    # items stand in bundles, so that a bundle's signs are one number
+    place = F.row_number().over(Window.partitionBy("dimension").orderBy("item")) - 1
+    units = cut(coefficients.select(*unit).distinct().withColumn("__place", place)).select(
+        *unit, F.floor(F.col("__place") / _BUNDLE).alias("bundle"), F.pow(F.lit(2), F.col("__place") % _BUNDLE).cast("int").alias("bit")
+    )
+    bundle = ["dimension", "bundle"]
+    # what a bundle adds under every choice of signs; written, so that its size is known to the join
+    chosen = coefficients.join(units, unit).withColumn("signs", F.explode(F.sequence(F.lit(0), F.lit(2**_BUNDLE - 1))))
+    positive = F.col("signs").bitwiseAND(F.col("bit")) != 0
+    sums = cut(chosen.groupBy(*keys, *bundle, "signs").agg(F.sum(F.when(positive, F.col("coef")).otherwise(-F.col("coef"))).alias("part")))
 
-def _p_value(n: int) -> Column:
-    return F.when(F.abs("observed") <= _ZERO, F.lit(1.0)).otherwise((F.col("extreme") + 1) / F.lit(n + 1))
-
-
-def _sign_flip_by_join(clusters: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
-    unit = ["dimension", "item"]
-    by_dim, by_key = Window.partitionBy(*keys, "dimension"), Window.partitionBy(*keys)
-    shares = clusters.withColumn("__share", F.col("num") / F.sum("den").over(by_dim))
-    n_dims = F.size(F.collect_set("dimension").over(by_key))
-    weighed = shares.withColumn("coef", F.col("__share") / n_dims).withColumn(
-        "observed", F.sum("coef").over(by_key)
-    )
-    coefficients = cut(
-        weighed.select(*keys, *unit, "coef", "observed")
-        .join(bounded_broadcast(_distinct_numbered(clusters, keys, "group")), keys)
-        .join(bounded_broadcast(_distinct_numbered(clusters, unit, "unit")), unit)
-    )
     digit = F.substring(_digest(F.lit(seed), F.col("flip"), F.col("dimension"), F.col("item")), 8, 1)
-    # grouping stores the sign, which a join would otherwise work out per match
-    signs = (
-        _number(coefficients.select("unit", *unit).distinct(), n, "flip")
-        .groupBy("flip", "unit")
-        .agg(F.max(F.when(digit.isin(*"13579bdf"), 1.0).otherwise(-1.0)).alias("sign"))
-    )
-    flipped = (
-        signs.join(bounded_broadcast(coefficients.select("unit", "group", "coef", "observed")), "unit")
-        .groupBy("group", "flip")
-        .agg(F.sum(F.col("sign") * F.col("coef")).alias("flipped"), F.max("observed").alias("observed"))
-    )
-    extreme = F.abs("flipped") >= F.abs("observed") - _TIE
-    tested = flipped.groupBy("group").agg(
-        F.count_if(extreme).alias("extreme"), F.max("observed").alias("observed")
-    )
-    groups = bounded_broadcast(coefficients.select("group", *keys).distinct())
-    return tested.join(groups, "group").select(*keys, _p_value(n).alias("p_value"))
-
-
-def _extremes_by_matrix(spark: SparkSession, rows: pd.DataFrame, n: int, seed: int) -> DataFrame:
-    """How many flips of each block of draws are as extreme as observed."""
-    units, groups = rows["unit"].max() + 1, rows["group"].max() + 1
-    coef = np.zeros((units, groups))
-    coef[rows["unit"], rows["group"]] = rows["coef"]
-    named = rows.drop_duplicates("unit").sort_values("unit")
-    labels = [f":{d}:{i}".encode() for d, i in zip(named["dimension"], named["item"])]
-    shared = spark.sparkContext.broadcast((labels, coef, coef.sum(axis=0)))
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        labels, coef, observed = shared.value
-        for batch in batches:
-            ids = batch["id"].to_numpy()
-            for block in np.array_split(ids, max(1, -(-len(ids) // _BLOCK))):
-                odd = [
-                    [hashlib.md5(b"%d:%d" % (seed, flip) + label).digest()[3] & 1 for label in labels]
-                    for flip in block
-                ]
-                signs = np.array(odd, dtype=float).reshape(len(block), len(labels)) * 2 - 1
-                extreme = (np.abs(signs @ coef) >= np.abs(observed) - _TIE).sum(axis=0)
-                yield pd.DataFrame({"group": np.arange(len(observed)), "extreme": extreme, "observed": observed})
-
-    return _draw_blocks(spark, n).mapInPandas(count, "group int, extreme bigint, observed double")
+    signs = F.sum(F.when(digit.isin(*"13579bdf"), F.col("bit")).otherwise(0)).cast("int")
+    flips = _dealt(units, n, "flip").groupBy("flip", *bundle).agg(signs.alias("signs"))
+    flipped = flips.join(sums, [*bundle, "signs"]).groupBy(*keys, "flip").agg(F.sum("part").alias("flipped"))
+    tested = flipped.join(observed, keys).groupBy(*keys).agg(
+        F.count_if(F.abs("flipped") >= F.abs("observed") - _TIE).alias("extreme"), F.max("observed").alias("observed")
+    )
+    p_value = F.when(F.abs("observed") <= _ZERO, F.lit(1.0)).otherwise((F.col("extreme") + 1) / F.lit(n + 1))
+    return tested.select(*keys, p_value.alias("p_value"))

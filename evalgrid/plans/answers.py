@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.plans.views import spread_table, table
+from evalgrid.plans.views import table
 
 LABELS = ("SHIP", "DEFER", "KILL")
 SUBS = tuple(f"s{i}" for i in range(1, 8))
@@ -105,7 +105,7 @@ def honesty_keys(spark: SparkSession) -> DataFrame:
 def honesty_responses(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as an answer that states it, both ways."""
     body = F.struct(F.array("text").alias("limitations"), F.col("text").alias("conclusions"))
-    return spread_table(spark, folder, "documents", "doc_id", "source", "text").select(
+    return table(spark, folder, "documents").select("doc_id", "source", "text").select(
         F.lit("texts").alias("run_id"),
         F.col("source").alias("model"),
         F.concat(F.lit("h"), (F.col("doc_id") % len(HONESTY)).cast("string")).alias("item"),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evalgrid import DIMENSIONS
 from evalgrid.functions import verdicts
 from evalgrid.operators import aggregate, checks, coverage, gates, grade, pairs, rank, resample, scope
-from evalgrid.session import bounded_broadcast, cut
+from evalgrid.session import cut
 
 MODEL = ["model"]
 
@@ -21,31 +21,17 @@ def point_board(scores: DataFrame) -> DataFrame:
 
 
 def summary(
-    sums: DataFrame, n: int = resample.HEADLINE_DRAWS, n_dimension: int | None = None, seed: int = 0
+    sums: DataFrame, n: int = resample.HEADLINE_DRAWS, n_dimension: int = resample.DIMENSION_DRAWS, seed: int = 0
 ) -> DataFrame:
     """Value and interval of the headline and of every dimension per model.
 
-    With one number of draws for both, one set of resamples serves all four
-    intervals.
+    One set of resamples serves all four intervals.
     """
     clusters = cut(aggregate.cluster_sums(sums, MODEL))
     values = aggregate.dimension_scores(clusters, MODEL)
     wide = values.groupBy(*MODEL).pivot("dimension", list(DIMENSIONS)).agg(F.first("value"))
     points = aggregate.headline(values, MODEL)
-    if n_dimension in (None, n):
-        spread = resample.all_intervals(clusters, MODEL, DIMENSIONS, n, seed)
-    else:
-        head = resample.headline_intervals(clusters, MODEL, n, seed).select(
-            *MODEL, F.col("lo").alias("score_lo"), F.col("hi").alias("score_hi")
-        )
-        per_dim = resample.dimension_intervals(clusters, MODEL, n_dimension, seed)
-        flat = per_dim.groupBy(*MODEL).agg(
-            *[
-                F.max(F.when(F.col("dimension") == d, F.col(end))).alias(f"{d}_{end}")
-                for d in DIMENSIONS for end in ("lo", "hi")
-            ]
-        )
-        spread = head.join(flat, MODEL)
+    spread = resample.all_intervals(clusters, MODEL, DIMENSIONS, n, n_dimension, seed)
     return (
         points.join(wide, MODEL)
         .join(spread, MODEL)
@@ -69,7 +55,7 @@ def snapshot(scores: DataFrame, expected: DataFrame, models: DataFrame, n: int =
     )
     values = ("score", "lo", "hi"), *((d, f"{d}_lo", f"{d}_hi") for d in DIMENSIONS)
     rounded = {c: F.round(c, 4) for group in values for c in group}
-    board = summary(sums, n).withColumns(rounded).join(covered, MODEL).join(bounded_broadcast(meta), MODEL, "left")
+    board = summary(sums, n).withColumns(rounded).join(covered, MODEL).join(meta, MODEL, "left")
     return rank.overlap_bands(board.withColumn("label", F.coalesce("label", "model")))
 
 
@@ -91,12 +77,12 @@ def regrade(responses: DataFrame, cases: DataFrame, keys: DataFrame) -> tuple[Da
     checks.attach_keys(cases, keys)
     known = cases.select(F.col("id").alias("item"))
     rules = checks.checks_from_keys(keys.join(cases.select("id"), "id", "left_semi"))
-    current = responses.join(bounded_broadcast(known), "item", "left_semi")
+    current = responses.join(known, "item", "left_semi")
     return grade.grade(current, rules), grade.skipped_items(responses, cases)
 
 
 def pair_table(
-    scores: DataFrame, n: int = resample.PAIR_DRAWS, permutations: int | None = None, seed: int = 0
+    scores: DataFrame, n: int = resample.PAIR_DRAWS, permutations: int = resample.SIGN_FLIPS, seed: int = 0
 ) -> DataFrame:
     """All paired comparisons of the ranked models, best placed first."""
     ranked = scope.ranked_only(scores)

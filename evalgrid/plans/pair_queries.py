@@ -109,7 +109,7 @@ cells as (select model, opponent, case when winner = model then 'wd' when winner
 select model, """ + ", ".join(f"max(state) filter (where opponent = 'm{i}') as m{i}" for i in range(7)) + """,
        count(*) filter (where state = 'wd') as decisive_wins from cells group by all""")
 def h2h_matrix(spark: SparkSession, folder: str) -> DataFrame:
-    return pairs.head_to_head(_verdicts(spark, folder))
+    return pairs.head_to_head(_verdicts(spark, folder), [f"m{i}" for i in range(7)])
 
 
 @query(_CI + """

@@ -21,7 +21,7 @@ from evalgrid.operators import (
 from evalgrid.plans import answers, views
 from evalgrid.plans import vendor_text as texts
 from evalgrid.plans.registry import query
-from evalgrid.plans.views import spread_table, table
+from evalgrid.plans.views import table
 from evalgrid.schemas import AUDIT_FLAGS
 from evalgrid.session import cut, scratch_path
 from evalgrid.sources import scores as score_store
@@ -35,7 +35,7 @@ PRICES = [("view", 1.0, 4.0, None), ("click", 2.0, 8.0, 0.5), ("purchase", 3.0,
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
-    return spread_table(spark, folder, "events", "event_id", "user_id", "event_type", "value", "props")
+    return table(spark, folder, "events").select("event_id", "user_id", "event_type", "value", "props")
 
 
 def _traces(spark: SparkSession, folder: str) -> DataFrame:
@@ -236,7 +236,7 @@ select 'ja_' || o_orderkey as audit_id, case when o_orderkey % 3 = 0 then 'late'
   o_totalprice > 200000 as overstrict, case when o_orderkey % 4 = 0 then true else false end as key_valid from q""")
 def judgment_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Vendor-wrapped judge lines, read and laid over their seeds."""
-    orders = spread_table(spark, folder, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
     merged = audit.merge_judgments(
         texts.seeds(orders), audit.read_judgments(texts.judge_lines(orders)), judge_model="late"
     )
@@ -254,8 +254,7 @@ def audit_payloads(spark: SparkSession, folder: str) -> DataFrame:
 
     responses = answers.label_responses(spark, folder)
     graded = grade.grade(responses, checks.checks_from_keys(_full(answers.label_keys(spark, folder))))
-    bounds = table(spark, folder, "lineitem").agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
-    payloads = audit.request_payloads(audit.seed_records(graded, bounds=tuple(bounds)), responses)
+    payloads = audit.request_payloads(audit.seed_records(graded), responses)
     return payloads.groupBy(F.col("graded_model").alias("model")).agg(
         F.count(F.lit(1)).alias("n_payloads"), F.count("saved_model_output").alias("n_with_answer")
     )
@@ -419,8 +418,9 @@ def roster_hash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("""with d as (select distinct sha256(s_name) as d from supplier),
-b as (select substr(d, 1, 4) as bucket, sha256(string_agg(d, chr(10) order by d)) as part, count(*) as n from d group by all)
-select cast(sum(n) as bigint) as n_values, 'sha256:' || sha256(string_agg(part, chr(10) order by bucket)) as fingerprint from b""")
+b as (select count(*) as n, """ + ", ".join(
+    f"cast(sum(cast('0x' || substr(d, {at}, 8) as hugeint)) as varchar) as s{at}" for at in range(1, 65, 8)) + """ from d)
+select n as n_values, 'sha256:' || sha256(concat_ws(':', n, """ + ", ".join(f"s{at}" for at in range(1, 65, 8)) + """)) as fingerprint from b""")
 def roster_fingerprint(spark: SparkSession, folder: str) -> DataFrame:
     return hashing.set_fingerprint(table(spark, folder, "supplier"), "s_name")
 
@@ -486,7 +486,7 @@ def leak_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Opening sentences of benchmark items, and their first words, in documents."""
     items = table(spark, folder, "benchmark").select(F.substring_index("text", ".", 1).alias("id"))
     tokens = leaks.leak_tokens(items, separator=" ")
-    return leaks.leak_counts(spread_table(spark, folder, "documents", "doc_id", "text"), tokens, "doc_id")
+    return leaks.leak_counts(table(spark, folder, "documents").select("doc_id", "text"), tokens, "doc_id")
 
 
 @query("select l_orderkey || '-' || l_linenumber as id, count(*) as n from lineitem group by all having count(*) > 1")

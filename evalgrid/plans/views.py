@@ -8,18 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.session import spread
-
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread_table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
-    """Columns of a table for costly work per row, on all cores."""
-    return spread(table(spark, folder, name).select(*columns))
-
-
 def scores(spark: SparkSession, folder: str, *extra: str) -> DataFrame:
     """Every line item as one graded check of one of eight models.
 

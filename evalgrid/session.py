@@ -1,4 +1,4 @@
-"""Session settings, lineage cuts and size-checked broadcasts."""
+"""Session settings and lineage cuts."""
 
 from __future__ import annotations
 
@@ -7,11 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A table is broadcast only after a count shows that it has no more rows.
-BROADCAST_ROWS = 200_000
-
 
 def build_session(app: str = "evalgrid", **settings: str) -> SparkSession:
     """A session with the settings the library relies on; the cluster's win."""
@@ -20,6 +15,7 @@ def build_session(app: str = "evalgrid", **settings: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.sql.variant.allowDuplicateKeys", "true")  # the last of repeated keys counts
     )
     for key, value in settings.items():
         builder = builder.config(key, value)
@@ -49,40 +45,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once in the shared folder and drop its lineage.
-
-    Used after an aggregation has reduced the input to a small table that many
-    later steps read, so that the big scan runs once and a lost executor can
-    re-read the result from shared storage.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
-def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; stops counting beyond."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast when a count proves ``df`` small.
-
-    Larger tables come back unhinted and the join shuffles instead.
-    """
-    return F.broadcast(df) if fits(df, max_rows) else df
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for costly work on a plain scan of a few large files.
+    """Write ``df`` once to the shared folder and read it back.
 
-    A scan with enough partitions, as any large input has, is left as it is and
-    costs no shuffle. Only for scans: counting the partitions of anything that
-    shuffles would run it.
+    Used after an aggregation has reduced the input to a table that many later
+    steps read: the big scan runs once, a lost executor re-reads the result
+    from shared storage, and Catalyst knows the size and prunes the columns of
+    what it reads.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def slices(spark: SparkSession) -> int:

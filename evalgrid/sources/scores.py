@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from evalgrid import schemas
 
@@ -11,10 +12,22 @@ _STORE_KEYS = ("run_id", "model")
 
 
 def read_score_files(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    """Per-model JSON score files; the file stem is the model."""
+    """Per-model JSON score files; the file stem is the model.
+
+    ``position`` is a row's place in its file, which one task reads in order;
+    ``generation`` counts the repeats of a check in that order.
+    """
     stem = F.regexp_extract(F.url_decode("_metadata.file_name"), r"^(.*)\.json$", 1)
     read = spark.read.schema(schemas.ddl(schemas.SCORE_FILE)).option("multiLine", True).json(path)
-    return read.select(F.lit(run_id).alias("run_id"), stem.alias("model"), *schemas.SCORE_FILE)
+    rows = read.select(F.lit(run_id).alias("run_id"), stem.alias("model"), *schemas.SCORE_FILE).withColumn(
+        "__at", F.monotonically_increasing_id()
+    )
+
+    def place(*keys: str) -> Column:
+        return (F.row_number().over(Window.partitionBy(*keys).orderBy("__at")) - 1).cast("bigint")
+
+    placed = rows.withColumn("position", place("model"))
+    return placed.withColumn("generation", place("model", "item", "dimension", "sub")).drop("__at")
 
 
 def write_scores(scores: DataFrame, path: str) -> None:

@@ -190,12 +190,19 @@ def test_generation_gaps_are_padded(spark):
 
 
 def test_occurrence_numbers_follow_the_order(spark, monkeypatch):
-    rows = [("k", g) for g in (5, 1, 900, 3, 44)] + [("z", 7)]
+    rows = [("k", g) for g in (5, 1, 900, 3, 44)] + [("z", 7), ("z", None), (None, 8), (None, None)]
     df = spark.createDataFrame(rows, "k string, g bigint")
-    for stretches in (1, 3, 4096):
+    for stretches in (1, 3, 64):
         monkeypatch.setattr(audit, "STRETCHES", stretches)
         got = {(r["k"], r["g"]): r["occurrence"] for r in audit.with_occurrence(df, ["k"], "g").collect()}
-        assert got == {("k", 1): 0, ("k", 3): 1, ("k", 5): 2, ("k", 44): 3, ("k", 900): 4, ("z", 7): 0}
+        assert got == {("k", 1): 0, ("k", 3): 1, ("k", 5): 2, ("k", 44): 3, ("k", 900): 4, ("z", None): 0, ("z", 7): 1,
+                       (None, None): 0, (None, 8): 1}
+
+
+def test_occurrence_numbers_of_a_hot_key(spark):
+    df = spark.range(5000).selectExpr("'k' as k", "case when id = 0 then 1000000000 else id % 1000 end as g", "id as tie")
+    got = audit.with_occurrence(df, ["k"], "g", ["tie"]).orderBy("g", "tie").collect()
+    assert [r["occurrence"] for r in got] == list(range(5000))
 
 
 def _seeds(spark):
@@ -230,7 +237,7 @@ def test_judgments_are_taken_in_whole_or_not_at_all(spark):
     assert summary["all", ""]["records"] == 2 and summary["all", ""]["overstrict"] == 1
     assert summary["action", "keep"]["records"] == 1 and summary["item", "i"]["disputed_miss"] == 1
     assert summary["all", ""]["key_review"] == 1 and summary["model", "m"]["records"] == 2
-    with pytest.raises(gates.GateError, match="invalid judge records"):
+    with pytest.raises(gates.GateError, match="invalid judge lines"):
         audit.ingest_judgments(_judge_lines(spark, seeds, rationale=""), _seeds(spark))
     broken = _judge_lines(spark, seeds).unionByName(spark.createDataFrame([('{"x": 1}',), ("nope",)], "value string"))
     with pytest.raises(gates.GateError, match="unreadable"):
@@ -363,15 +370,24 @@ def test_bank_audit(spark):
                    ("unmatchable_alias", "a", "(bad)"), ("signoff_pending", "b", "")}
 
 
-def test_leaks(spark, monkeypatch):
+def test_leaks(spark):
     items = spark.createDataFrame([("acme_deal_v1",), ("example_x_y",), ("solo",)], "id string")
     tokens = leaks.leak_tokens(items)
     assert {(r["token"], r["kind"]) for r in tokens.collect()} == {("acme_deal_v1", "id"), ("acme_", "prefix"), ("solo", "id")}
     documents = spark.createDataFrame([(1, "about acme_deal_v1 and acme_x"), (2, "soloist"), (3, None), (4, "clean")], "doc_id bigint, text string")
     want = {(1, "acme_deal_v1"), (1, "acme_"), (2, "solo")}
     assert {tuple(r) for r in leaks.find_tokens(documents, tokens, "doc_id").collect()} == want
-    monkeypatch.setattr(leaks, "TOKENS_PER_PASS", 2)
-    assert {tuple(r) for r in leaks.find_tokens(documents, tokens, "doc_id").collect()} == want
+
+
+def test_leaks_by_plain_search(spark):
+    words = ["ab", "abcd", "cdab x", " y", "z z", "abcdabcd", "\u00e9t\u00e9", "q", "prefix_one", "prefix_two", "prefix_", "  "]
+    texts = ["", None, "xx abcd x y", "prefix_one,prefix_two", "an \u00e9t\u00e9", "abcdabcdab xz z", "cdab  x", "z\nz", "q" * 5000]
+    tokens = spark.createDataFrame([(w,) for w in words], "token string")
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = {(i, w) for i, t in enumerate(texts) for w in words if w.strip() and t and w in t}
+    found = leaks.find_tokens(documents, tokens, "doc_id")
+    assert {tuple(r) for r in found.collect()} == want and found.count() == len(want)
+    assert "Python" not in found._jdf.queryExecution().toString()
 
 
 def test_completeness(spark):

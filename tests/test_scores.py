@@ -1,5 +1,6 @@
 """Weighted scores, resampling, pairs and bands."""
 
+import hashlib
 import itertools
 
 import numpy as np
@@ -62,33 +63,54 @@ def _random_scores(seed=3, models="abcd", items=7):
     }
 
 
-def test_both_ways_of_resampling_agree(spark, monkeypatch):
-    clusters = aggregate.cluster_sums(_board(spark, _random_scores())[0], ["model"])
-    keys = ["model"]
+def _pick(*parts, k):
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) % k
 
-    def results():
-        dims = resample.dimension_intervals(clusters, keys, n=60)
-        heads = resample.headline_intervals(clusters, keys, n=60)
-        alls = resample.all_intervals(clusters, keys, DIMENSIONS, n=60)
-        flips = resample.sign_flip_p(clusters.withColumn("num", F.col("num") - 3), keys, n=60)
-        return [sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
-                for df in (dims, heads, alls, flips)]
 
-    by_matrix = results()
-    monkeypatch.setattr(resample, "MATRIX_ROWS", 0)
-    assert results() == by_matrix
+def test_resampling_by_hand(spark):
+    clusters = aggregate.cluster_sums(_board(spark, _random_scores())[0], ["model"])
+    n, sums = 60, {}
+    for r in clusters.collect():
+        sums.setdefault(r["model"], {}).setdefault(r["dimension"], []).append((r["item"], r["num"], r["den"]))
+    heads = {(r["model"],): (r["lo"], r["hi"]) for r in resample.headline_intervals(clusters, ["model"], n=n).collect()}
+    alls = {r["model"]: r for r in resample.all_intervals(clusters, ["model"], DIMENSIONS, n=n, n_dimension=40).collect()}
+    dims = {(r["model"], r["dimension"]): (r["lo"], r["hi"]) for r in resample.dimension_intervals(clusters, ["model"], n=40).collect()}
+    for model, by_dim in sums.items():
+        ratios = {}
+        for d, rows in by_dim.items():
+            rows = sorted(rows)
+            for draw in range(n):
+                picks = [rows[_pick(0, draw, d, slot, k=len(rows))] for slot in range(len(rows))]
+                ratios[d, draw] = sum(p[1] for p in picks) / sum(p[2] for p in picks)
+            want = np.quantile([ratios[d, draw] for draw in range(40)], [0.025, 0.975])
+            assert dims[model, d] == pytest.approx(want) and (alls[model][f"{d}_lo"], alls[model][f"{d}_hi"]) == pytest.approx(want)
+        want = np.quantile([np.mean([ratios[d, draw] for d in by_dim]) for draw in range(n)], [0.025, 0.975])
+        assert heads[model,] == pytest.approx(want) and (alls[model]["score_lo"], alls[model]["score_hi"]) == pytest.approx(want)
+
+
+def test_sign_flips_by_hand(spark):
+    rows = [("x", d, f"i{i}", 1.0 + i % 3, 0.4 * (i % 4) - 0.3) for d in DIMENSIONS[:2] for i in range(6)]
+    clusters = spark.createDataFrame(rows, "model string, dimension string, item string, den double, num double")
+    dens = {d: sum(r[3] for r in rows if r[1] == d) for d in DIMENSIONS[:2]}
+    coef = {(r[1], r[2]): r[4] / dens[r[1]] / 2 for r in rows}
+    observed, extreme = sum(coef.values()), 0
+    for flip in range(300):
+        signs = {u: 1 if int(hashlib.md5(f"0:{flip}:{u[0]}:{u[1]}".encode()).hexdigest()[7], 16) % 2 else -1 for u in coef}
+        extreme += abs(sum(signs[u] * c for u, c in coef.items())) >= abs(observed) - 1e-12
+    got = resample.sign_flip_p(clusters, ["model"], n=300).first()["p_value"]
+    assert got == pytest.approx((extreme + 1) / 301)
 
 
 def test_draws_are_uniform_and_whole(spark):
-    sizes = spark.createDataFrame([(1, "honesty", 5)], "stratum int, dimension string, k bigint")
+    sizes = spark.createDataFrame([("honesty", 5), ("restraint", 3000)], "dimension string, k bigint")
     drawn = resample.draws(sizes, 400, seed=0)
-    assert {r["n"] for r in drawn.groupBy("draw").agg(F.sum("times").alias("n")).collect()} == {5}
-    counts = [r["n"] for r in drawn.groupBy("cell").agg(F.sum("times").alias("n")).collect()]
+    assert {(r["k"], r["n"]) for r in drawn.groupBy("draw", "k").agg(F.count("*").alias("n")).collect()} == {(5, 5), (3000, 3000)}
+    counts = [r["n"] for r in drawn.where("k = 5").groupBy("idx").agg(F.count("*").alias("n")).collect()]
     assert len(counts) == 5 and all(300 < c < 500 for c in counts)
 
 
 def _pairs(spark, per_model, n=400):
-    return {(r["a"], r["b"]): r for r in boards.pair_table(atoms(spark, per_model), n=n).collect()}
+    return {(r["a"], r["b"]): r for r in boards.pair_table(atoms(spark, per_model), n=n, permutations=n).collect()}
 
 
 def test_pairs_cover_each_pair_once_and_name_the_winner(spark):
@@ -163,7 +185,7 @@ def test_wins_cells_and_grid(spark):
     assert {r["model"]: r["wins"] for r in pairs.wins(records).collect()} == {"x": 1, "y": 0, "z": 0}
     best = pairs.best_record(pairs.wins(records)).collect()[0]
     assert (best["best"], best["compared"], best["decisive"]) == (1, 2, 1)
-    grid = {r["model"]: r.asDict() for r in pairs.head_to_head(records).collect()}
+    grid = {r["model"]: r.asDict() for r in pairs.head_to_head(records, ["x", "y", "z"]).collect()}
     assert (grid["x"]["y"], grid["y"]["x"], grid["x"]["z"], grid["z"]["x"], grid["y"]["z"]) == ("wd", "ld", "ws", "ls", "nd")
     assert grid["x"]["x"] is None and grid["x"]["decisive_wins"] == 1
 
