@@ -52,8 +52,8 @@ def _usage(spark, value):
 
 def test_usage_shapes(spark):
     assert _usage(spark, {"input_tokens": 10, "output_tokens": 5, "total_tokens": 15, "input_tokens_details": {"cached_tokens": 4}}) == (10, 5, 15, 4)
-    assert _usage(spark, {"prompt_tokens": 303, "completion_tokens": 53, "total_tokens": 576, "completion_tokens_details": {"reasoning_tokens": 220}}) == (303, 273, 576, None)
-    assert _usage(spark, {"prompt_tokens": 303, "completion_tokens": 273, "total_tokens": 576, "completion_tokens_details": {"reasoning_tokens": 220}}) == (303, 273, 576, None)
+    assert _usage(spark, {"prompt_tokens": 90, "completion_tokens": 41, "total_tokens": 148, "completion_tokens_details": {"reasoning_tokens": 17}}) == (90, 58, 148, None)
+    assert _usage(spark, {"prompt_tokens": 90, "completion_tokens": 58, "total_tokens": 148, "completion_tokens_details": {"reasoning_tokens": 17}}) == (90, 58, 148, None)
     assert _usage(spark, {"promptTokenCount": 3, "candidatesTokenCount": 4, "thoughtsTokenCount": 2}) == (3, 6, None, None)
     assert _usage(spark, {"cache_read_input_tokens": 7}) == (None, None, None, 7)
 

@@ -1,7 +1,6 @@
-"""Alias matching and negation scope, literal cases and brute force."""
+"""Alias matching and negation scope against a scan of characters."""
 
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,67 +17,75 @@ def _match(spark, rows):
     return [(r["m"], r["a"]) for r in out.collect()]
 
 
-@pytest.mark.parametrize(
-    ("alias", "body", "hit"),
-    [
-        ("cap", "this improves capability", False),
-        ("ship", "a strong relationship", False),
-        ("region", "regional sales rose", False),
-        ("cap", "we hit the sender cap", True),
-        ("region", "the regions are null", True),
-        ("inflate", "it INFLATED the total", True),
-        ("loyal customer", "do not call them loyal customers", True),
-        ("n=1", "only n=1 here", True),
-        ("caf", "a café", False),
-        ("café", "two cafés", True),
-        ("(beta)", "a (beta) release", False),
-        ("(beta)", "x(beta)y", True),
-        ("30-day", "a 30-day window", True),
-    ],
-)
-def test_alias_match(spark, alias, body, hit):
-    assert _match(spark, [([alias], body)])[0][0] is hit
-
-
-def test_negated_mentions_are_not_assertions(spark):
-    rows = [
-        (["loyal customer"], "we cannot call these loyal customers yet"),
-        (["loyal customer"], "these are loyal customers"),
-        (["strong retention"], "there is no strong retention signal here"),
-        (["strong retention"], "the data shows strong retention"),
-        (["driven by"], "the day-18 spike is not driven by any known cause"),
-        (["driven by"], "the spike was driven by the campaign"),
-        (["loyal"], "not loyal. they are loyal"),
-        (["loyal"], "don't be loyal"),
-        (["loyal"], "don’t be loyal"),
-        (["loyal"], "rather than guess, loyal"),
-    ]
-    assert [a for _, a in _match(spark, rows)] == [
-        False, True, False, True, False, True, False, True, False, False,
-    ]
-
-
-def _brute(aliases, body):
+def _edge(left, right):
+    """Whether a word starts or ends between two characters; empty is outside."""
+    inside = [c != "" and (c.isalnum() or c == "_") for c in (left, right)]
+    return inside[0] != inside[1]
+
+
+def _places(alias, body):
+    """Starts of the whole-word places of one alias, left to right."""
+    at = 0
+    while (at := body.find(alias, at)) >= 0:
+        ends = (at + len(alias + tail) for tail in ("s", "es", "d", "ed", "ing", "") if body.startswith(alias + tail, at))
+        end = next((e for e in ends if _edge(body[e - 1], body[e : e + 1])), None)
+        if end is not None and _edge(body[max(at - 1, 0) : at], body[at]):
+            yield at
+            at = end
+        else:
+            at += 1
+
+
+def _recent(before):
+    """The last words of a text, letters and apostrophes only, read backwards."""
+    words, word = [], ""
+    for c in reversed(before + " "):
+        if "a" <= c <= "z" or c == "'":
+            word = c + word
+        elif word:
+            words.append(word)
+            word = ""
+    return [*words, *([word] if word else [])][: text.WORD_REACH]
+
+
+def _plain(aliases, body):
     body = body.lower()
-    for alias in aliases:
-        for hit in re.finditer(r"\b" + re.escape(alias.lower()) + r"(?:s|es|d|ed|ing)?\b", body):
-            before = body[: hit.start()]
-            cue = any(p in before[-30:] for p in text.NEGATOR_PHRASES)
-            near = re.findall(r"[a-z']+", before)[-4:]
-            if not cue and not any(w in text.NEGATORS for w in near):
-                return True
-    return False
-
-
-def test_assertions_against_brute_force(spark):
-    rng = random.Random(7)
-    words = ["loyal", "customers", "customer", "not", "no", "rather", "than", "too", "early", "to", "é", "12",
-             "don't", "'", "driven", "by", ".", ",", "can", "lacks", "insufficient", "loyaled", "x_loyal", "\n"]
-    aliases = [["loyal"], ["loyal customer", "customer driven"], ["driven by", "no"]]
-    rows = [
-        (rng.choice(aliases), rng.choice([" ", " ", ""]).join(rng.choices(words, k=rng.randint(0, 25))))
-        for _ in range(1500)
-    ]
-    got = [a for _, a in _match(spark, rows)]
-    wrong = [(r, g) for r, g in zip(rows, got) if g != _brute(*r)]
+    places = [at for alias in aliases for at in _places(alias.lower(), body)]
+    scopes = [(body[:at][-text.PHRASE_REACH :], _recent(body[:at])) for at in places]
+    free = [not any(p in tail for p in text.NEGATOR_PHRASES) and not set(words) & set(text.NEGATORS) for tail, words in scopes]
+    return bool(places), any(free)
+
+
+SAID = [
+    (["valve"], "The valves were opened", True, True),
+    (["valve"], "bivalve shells", False, False),
+    (["leak"], "LEAKED overnight", True, True),
+    (["leak"], "leakage overnight", False, False),
+    (["tide pool"], "nobody lacks tide pools here", True, False),
+    (["tide pool"], "nobody lacks water, and every coast here has tide pools", True, True),
+    (["rust"], "instead of paint only rust", True, False),
+    (["rust"], "never mind; later on we found rust", True, True),
+    (["c++ code"], "legacy c++ code", True, True),
+    (["señal"], "dos señales", True, True),
+    (["se"], "señal", False, False),
+    (["tank 4"], "isn’t tank 4", True, False),
+    (["tank 4"], "tank 42", False, False),
+]
+
+
+@pytest.mark.parametrize("case", SAID)
+def test_said(spark, case):
+    aliases, body, hit, asserted = case
+    assert _plain(aliases, body) == (hit, asserted)
+    assert _match(spark, [(aliases, body)]) == [(hit, asserted)]
+
+
+def test_random_texts_against_the_scan(spark):
+    rng = random.Random(5)
+    words = ["pump", "pumps", "seal", "sealed", "broken seal", "not", "no", "instead", "of", "too early", "to", "ß", "77", "isn't", "'",
+             "pumping", ";", "-", "should", "avoids", "unsupported", "pump_a", "\t"]
+    aliases = [["pump"], ["seal", "broken seal"], ["no", "pump sealed"], ["77"]]
+    rows = [(rng.choice(aliases), rng.choice([" ", " ", ""]).join(rng.choices(words, k=rng.randint(0, 22)))) for _ in range(1500)]
+    got = _match(spark, rows)
+    wrong = [(r, g, _plain(*r)) for r, g in zip(rows, got) if g != _plain(*r)]
     assert not wrong
