@@ -8,6 +8,7 @@ from evalgrid.plans import (  # noqa: F401 - imported to register
     registry,
     run_queries,
     score_queries,
+    store_queries,
 )
 
 def queries() -> dict[str, registry.Query]:
