@@ -4,12 +4,14 @@ Features are the words of a text and their first four and five characters
 (word families), valued by log(1 + count). The model is
 P(grade >= k) = sigmoid(w.x - t_k) with one weight vector for all ordered
 thresholds t_1 < t_2 < ...; the score is the expected severity, the sum of
-these probabilities. A document is toxic if P(grade >= 1) is at least a half.
+these probabilities. A document is toxic if P(grade >= 1) reaches the cut
+that tells the labels of the sample apart best.
 
 It is fitted on a bounded sample of labelled rows: ``PER_LABEL`` of each
-label, those with the least hashes of their id. Its features are the
-``FEATURES`` that tell the labels apart best. Thresholds are moved by the
-share of each label among all labelled rows, since the sample is balanced.
+label, those with the least hashes of their id. Its features are at most
+``FEATURES``, those that tell the labels apart best and beyond chance.
+Thresholds are moved by the share of each label among all labelled rows, since
+the sample is balanced.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ PER_LABEL = 6000
 FEATURES = 2048
 #: Grades: none, and mild, marked and severe by the number of telling words.
 GRADE_FROM = (1, 3, 6)
+#: Standard errors by which a feature's shares under the two labels differ at least.
+MIN_Z = 4.0
 _STEMS = (4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -50,10 +54,11 @@ def features(text: str) -> Counter[str]:
 
 @dataclass
 class Model:
-    """Weights by feature and the ordered thresholds."""
+    """Weights by feature, the ordered thresholds, and the cut."""
 
     weights: dict[str, float]
     thresholds: np.ndarray
+    cut: float = 0.5  # P(grade >= 1) from which a document is toxic
 
     def exceed(self, text: str) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ..."""
@@ -157,9 +162,9 @@ def fit(
     share = (F.col("c1") + F.col("c0")) / (n1 + n0)
     z = gap / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-9)
     odds = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
-    best = seen.select("feature", z.alias("z"), odds.alias("odds")).orderBy(F.abs("z").desc(), "feature").limit(n_features).collect()
+    best = seen.select("feature", z.alias("z"), odds.alias("odds")).where(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "feature").limit(n_features).collect()
     index = {r["feature"]: k for k, r in enumerate(best)}
-    telling = {r["feature"] for r in best if r["z"] > 4 and r["odds"] > 2 and not r["feature"].endswith("_")}
+    telling = {r["feature"] for r in best if r["z"] > 0 and r["odds"] > 2 and not r["feature"].endswith("_")}
 
     wanted = sorted(index)
     slim = F.filter(F.arrays_zip("features", "counts"), lambda f: f["features"].isin(wanted))
@@ -175,7 +180,24 @@ def fit(
     grades_at = np.array(grades)
     w, t = fit_ordinal(np.array(rows_at, dtype=int), np.array(columns, dtype=int), np.array(values), grades_at, len(index))
     shift = np.log(n1 / n0) - np.log(total[True] / total[False])  # back to the shares of all labels
-    return Model({f: float(w[k]) for f, k in index.items()}, t + shift)
+    thresholds = t + shift
+    score = np.bincount(np.array(rows_at, dtype=int), np.array(values) * w[np.array(columns, dtype=int)], minlength=len(grades))
+    cut = _sigmoid(best_cut(score - thresholds[0], grades_at > 0))
+    return Model({f: float(w[k]) for f, k in index.items()}, thresholds, float(cut))
+
+
+def best_cut(values: np.ndarray, positive: np.ndarray) -> float:
+    """The value that divides the two kinds with the fewest errors.
+
+    It lies midway between its neighbours; of equally good places it is the
+    one with the widest gap.
+    """
+    order = np.argsort(values, kind="stable")
+    values, positive = values[order], positive[order]
+    errors = np.cumsum(positive)[:-1] + (~positive[::-1]).cumsum()[::-1][1:]
+    gaps = np.diff(values)
+    best = np.lexsort((-gaps, errors))[0]
+    return (values[best] + values[best + 1]) / 2
 
 
 def exceedances(model: Model):
@@ -196,10 +218,10 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
     """
     chances = docs.select(F.col(id).alias(id), exceedances(model)(blank(F.col(text))).alias("p"))
     return chances.select(
-        id, F.aggregate("p", F.lit(0.0), lambda a, x: a + x).alias("severity"), F.col("p")[0].alias("p_toxic"), (F.col("p")[0] >= 0.5).alias("toxic")
+        id, F.aggregate("p", F.lit(0.0), lambda a, x: a + x).alias("severity"), F.col("p")[0].alias("p_toxic"), (F.col("p")[0] >= model.cut).alias("toxic")
     )
 
 
 def reject(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The documents that are not toxic, with all their columns."""
-    return docs.where(exceedances(model)(blank(F.col(text)))[0] < 0.5)
+    return docs.where(exceedances(model)(blank(F.col(text)))[0] < model.cut)

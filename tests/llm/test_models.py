@@ -86,14 +86,15 @@ def test_quality_odd_inputs(spark):
 
 
 def test_toxicity_on_unseen_rows(spark):
-    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    folder = SF.replace("0.01", "0.1")  # the small table has a few dozen toxic rows
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     seen = language_mix.fold(F.col("doc_id"), 3) != 0
     model = toxicity.fit(docs, labels.where(seen))
     rows = toxicity.score(docs, model).join(labels.where(~seen), "doc_id").collect()
-    assert sum(r["toxic"] == r["toxic"] for r in rows) > 80
+    assert len(rows) > 800
     marked = toxicity.score(docs, model).withColumnRenamed("toxic", "found").join(labels.where(~seen), "doc_id")
     wrong = marked.where(F.col("found") != (F.col("toxic") == 1)).count()
-    assert wrong <= 2
+    assert wrong <= 0.015 * len(rows)  # about one label in a hundred has no word to show for it
     assert toxicity.reject(docs, model).columns == docs.columns
 
 
@@ -107,6 +108,16 @@ def test_ordinal_recovers_grades():
     assert np.allclose(w, [2, -1], atol=0.2) and np.allclose(t, [0.5, 2.0], atol=0.2)
 
 
+def test_cut_has_the_fewest_errors():
+    rng = np.random.default_rng(5)
+    values = np.round(np.concatenate([rng.normal(0, 1, 60), rng.normal(2, 1, 40)]), 6)
+    positive = np.arange(100) >= 60
+    wrong = lambda cut: ((values >= cut) != positive).sum()
+    cut = toxicity.best_cut(values, positive)
+    assert wrong(cut) == min(wrong(v) for v in np.linspace(-4, 6, 5001))
+    assert toxicity.best_cut(np.array([-3.0, 1.0, -2.0, 3.0]), np.array([False, True, False, True])) == -0.5
+
+
 def test_toxicity_odd_inputs(spark):
     rows = ODD + [(10 + i, f"{prose(i, 20)} vile", "en") for i in range(12)] + [(30 + i, prose(40 + i, 20), "en") for i in range(12)]
     docs = docs_table(spark, rows, extra=True)

@@ -17,7 +17,7 @@ def test_stages_by_hand(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     kept = STAGES["toxicity"](spark, docs, data)
     model = toxicity.fit(docs, spark.read.parquet(f"{data}/labels.parquet"))
-    rows = [r for r in docs.collect() if model.exceed(r["text"])[0] < 0.5]
+    rows = [r for r in docs.collect() if model.exceed(r["text"])[0] < model.cut]
     assert kept.columns == docs.columns and sorted(kept.collect()) == sorted(rows)
 
     kept = STAGES["near_duplicates"](spark, kept, data)
