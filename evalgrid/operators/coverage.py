@@ -175,19 +175,30 @@ def completeness_errors(
     graded: DataFrame,
     expected: DataFrame,
     generations: int,
+    case_scope: str = scope.ALL,
+    dimensions: tuple[str, ...] = DIMENSIONS,
+    recorded: DataFrame | None = None,
+    current: DataFrame | None = None,
 ) -> DataFrame:
     """All reasons why a run may not be published, one row each.
 
-    Mock models are graded once, all others ``generations`` times. The fresh
-    grading is written once, as several checks read it.
+    Nothing else is looked at while a requested model is unknown. Scores and
+    answers outside ``case_scope`` do not count. Mock models are graded once,
+    all others ``generations`` times, and each model needs all ``dimensions``.
+    ``recorded`` is the run's bank manifest and ``current`` the bank's
+    signature, whose fingerprints must agree; leave both out to skip that. The
+    fresh grading is written once, as several checks read it.
     """
-    graded = cut(graded)
     spark = saved.sparkSession
+    saved, responses, graded, expected = (scope.in_scope(df, case_scope) for df in (saved, responses, graded, expected))
     wanted = spark.createDataFrame([(name,) for name in dict.fromkeys(requested)], "model string")
     registry = models.select(F.col("name").alias("model"), "provider")
     unknown = wanted.join(registry, "model", "left_anti").select(
         "model", F.lit("unknown requested model").alias("error"), F.lit(1).cast("bigint").alias("n")
     )
+    if not unknown.isEmpty():
+        return unknown
+    graded = cut(graded)
     present = cut(saved.select("model").distinct())
     absent = wanted.join(registry, "model", "left_semi").join(present, "model", "left_anti").select(
         "model", F.lit("score file missing").alias("error"), F.lit(1).cast("bigint").alias("n")
@@ -201,7 +212,9 @@ def completeness_errors(
     )
     known = saved.join(roster, "model", "left_semi")
     sums = known.groupBy("model", "item", "dimension", "sub").agg(F.count(F.lit(1)).alias("n"))
-    gaps = coverage_counts(sums, expected, roster).filter("not complete")
+    spans = known.filter(F.col("dimension").isin(*dimensions)).groupBy("model").agg(F.countDistinct("dimension").alias("__spans"))
+    counted = coverage_counts(sums, expected, roster).join(spans, "model", "left")
+    gaps = counted.filter(~F.col("complete") | (F.coalesce("__spans", F.lit(0)) < len(dimensions)))
     gaps = gaps.select("model", F.lit("score coverage incomplete").alias("error"), F.col("n_atomic").alias("n"))
     raw = cut(generation_counts(responses, graded, expected, roster))
     incomplete = raw.filter("n_incomplete > 0").select(
@@ -212,13 +225,19 @@ def completeness_errors(
     )
     sound = raw.filter("n_incomplete = 0 and n_extra = 0").select("model")
     differing = (
-        regrade_mismatches(known, graded)
+        regrade_mismatches(known.join(expected.select("item").distinct(), "item", "left_semi"), graded)
         .join(sound, "model", "left_semi")
         .groupBy("model")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("model", F.lit("saved scores do not match regrade").alias("error"), "n")
     )
     errors = unknown
+    if recorded is not None and current is not None:
+        old = recorded.filter(F.col("scope") == case_scope)
+        same = old.join(current.select("scope", "evaluation_hash"), ["scope", "evaluation_hash"], "left_semi")
+        words = "saved evaluation fingerprint does not match" if not old.isEmpty() else "saved bank manifest missing"
+        if same.isEmpty():
+            errors = spark.createDataFrame([("", words, 1)], unknown.schema)
     for part in (absent, stray, gaps, incomplete, extra, differing):
         errors = errors.unionByName(part)
     return errors

@@ -400,11 +400,21 @@ def test_completeness(spark):
     graded = cut(grade.grade(raw, rules))
 
     def errors(requested, raw, saved, graded):
-        out = coverage.completeness_errors(requested, models, raw, saved, graded, expected, 2)
+        out = coverage.completeness_errors(requested, models, raw, saved, graded, expected, 2, dimensions=("restraint",))
         return {(r["model"], r["error"]) for r in out.collect()}
 
     assert errors(["m"], raw, graded, graded) == set()
-    assert errors(["m", "absent", "who"], raw, graded, graded) == {("absent", "score file missing"), ("who", "unknown requested model")}
+    assert errors(["m", "absent", "who"], raw, graded, graded) == {("who", "unknown requested model")}
+    assert errors(["m", "absent"], raw, graded, graded) == {("absent", "score file missing")}
+    left = answers(spark, *[("gone", g, "response", "{}") for g in range(5)])
+    assert errors(["m"], raw.unionByName(left), graded, graded) == set()
+    signed = spark.createDataFrame([("all", "h1")], "scope string, evaluation_hash string")
+    for old, want in ((signed, set()), (signed.withColumn("evaluation_hash", F.lit("h0")), {"saved evaluation fingerprint does not match"}),
+                      (signed.where("false"), {"saved bank manifest missing"})):
+        out = coverage.completeness_errors(["m"], models, raw, graded, graded, expected, 2, dimensions=("restraint",), recorded=old, current=signed)
+        assert {r["error"] for r in out.collect()} == want
+    out = coverage.completeness_errors(["m"], models, raw, graded, graded, expected, 2)
+    assert {r["error"] for r in out.collect()} == {"score coverage incomplete"}
     garbled = raw.withColumn("text", F.when(F.col("generation") == 1, "??").otherwise(F.col("text")))
     assert errors(["m"], garbled, graded, grade.grade(garbled, rules)) == {("m", "raw generations incomplete")}
     renamed = graded.withColumn("sub", F.when(F.col("sub") == "x", "z").otherwise(F.col("sub")))
