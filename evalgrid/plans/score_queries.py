@@ -228,10 +228,10 @@ def bootstrap_ci_dimension(spark: SparkSession, folder: str) -> DataFrame:
 select model, round(score, 6) as score, round(lo * 100, 6) as lo, round(hi * 100, 6) as hi from points join
   (select model, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from heads group by all) using (model)""")
 def bootstrap_ci_headline(spark: SparkSession, folder: str) -> DataFrame:
-    return headline_intervals(_sums(spark, folder))
+    return headline_with_bounds(_sums(spark, folder))
 
 
-def headline_intervals(sums: DataFrame, n: int = resample.HEADLINE_DRAWS) -> DataFrame:
+def headline_with_bounds(sums: DataFrame, n: int = resample.HEADLINE_DRAWS) -> DataFrame:
     clusters = cut(aggregate.cluster_sums(sums, MODEL))
     points = aggregate.headline(aggregate.dimension_scores(clusters, MODEL), MODEL)
     bounds = resample.headline_intervals(clusters, MODEL, n)

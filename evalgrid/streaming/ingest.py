@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from evalgrid.operators import requests
+from evalgrid.operators import grade, requests
 
 TURN = ["run_id", "model", "item", "generation", "turn_id"]
 #: Later in this order wins.
@@ -75,17 +75,40 @@ def _latest(log: DataFrame, columns: list[str]) -> DataFrame:
     return log.groupBy(*TURN).agg(newest.alias("__row")).select(*TURN, "__row.*")
 
 
-def current_responses(log: DataFrame) -> DataFrame:
-    """The last answer to every turn; a failed call leaves the turn open."""
-    return _latest(log.filter("outcome = 'merged'"), ["text"])
+_MERGED, _CALLED = "outcome = 'merged'", "outcome in ('merged', 'error')"
+
+
+def current_responses(log: DataFrame, padded: bool = False) -> DataFrame:
+    """The last answer to every turn; a failed call leaves the turn open.
+
+    ``padded`` fills the generations missing below an item's last one with
+    empty answers, as saved answer files have them.
+    """
+    answers = _latest(log.filter(_MERGED), ["text"])
+    return requests.pad_generations(answers) if padded else answers
 
 
 def current_traces(log: DataFrame) -> DataFrame:
-    """The last call made for every turn, failed ones included."""
-    known = log.filter("outcome <> 'unknown'")
+    """The last call made for every turn, failed ones included.
+
+    ``parse_ok`` tells whether its answer holds a JSON object.
+    """
     columns = ["text", "provider", "served_model", "run_mode", "request_id", "finish_reason", "usage",
                "cost_usd", "error"]
-    return _latest(known, columns)
+    return grade.parse_status(_latest(log.filter(_CALLED), columns))
+
+
+def compact(log: DataFrame, path: str) -> None:
+    """Write the lines of a log that still count to a new log at ``path``.
+
+    These are each turn's last answer and last call, and all lines that belong
+    to no turn. Whoever reads the log is pointed at the new one afterwards.
+    """
+    rest = [c for c in log.columns if c not in TURN]
+    kept = [_latest(log.filter(which), rest).select(log.columns) for which in (_MERGED, _CALLED)]
+    kept.append(log.filter(f"not ({_CALLED})"))
+    both = kept[0].unionByName(kept[1]).dropDuplicates([*TURN, *ORDER])
+    both.unionByName(kept[2]).write.partitionBy("batch_id").parquet(path)
 
 
 def ingest_counts(log: DataFrame) -> DataFrame:

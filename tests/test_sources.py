@@ -129,8 +129,13 @@ def test_results_arrive_in_any_order(spark, tmp_path, max_files):
     found = run()  # only the new file is read
     current = {(r["item"], r["generation"], r["turn_id"]): r["text"] for r in ingest.current_responses(found).collect()}
     assert current == {("c", 0, "setup"): "second", ("c", 1, "t1"): "late", ("r", 0, "response"): "at last"}
-    padded = requests.pad_generations(ingest.current_responses(found).select(*schemas.RESPONSES))
-    assert padded.count() == 3
+    assert ingest.current_responses(found, padded=True).count() == 3
+    ingest.compact(found, str(tmp_path / "small"))
+    small = ingest.read_log(spark, str(tmp_path / "small"))
+    assert small.count() < found.count() and small.filter("outcome = 'unknown'").count() == 1
+    for view in (ingest.current_responses, ingest.current_traces):
+        assert sorted(map(str, view(small).collect())) == sorted(map(str, view(found).collect()))
+    assert not any(r["parse_ok"] for r in ingest.current_traces(found).collect())
 
 
 def test_request_files(spark, tmp_path):
