@@ -56,8 +56,9 @@ def tempered(cells: DataFrame, powers: dict[str, float] = TEMPER) -> DataFrame:
     """(dimension, value, share): observed token shares, raised and normalised."""
     parts = [cells.select(F.lit(d).alias("dimension"), F.col(d).alias("value"), "tokens", F.lit(powers[d]).alias("power")) for d in DIMENSIONS]
     sums = parts[0].union(parts[1]).union(parts[2]).groupBy("dimension", "value", "power").agg(F.sum("tokens").alias("tokens"))
-    raised = F.pow("tokens", "power")
-    return sums.select("dimension", "value", (raised / F.sum(raised).over(Window.partitionBy("dimension"))).alias("share"))
+    raised = sums.select("dimension", "value", F.pow("tokens", "power").alias("share"))
+    whole = raised.groupBy("dimension").agg(F.sum("share").alias("whole"))
+    return raised.join(whole, "dimension").select("dimension", "value", F.try_divide("share", "whole").alias("share"))
 
 
 def rake(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, sweeps: int = MAX_SWEEPS) -> DataFrame:
@@ -73,7 +74,8 @@ def rake(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, swe
     for d in DIMENSIONS:
         wanted = targets.where(F.col("dimension") == d).select(F.col("value").alias(d), F.col("share").alias(f"{d}_share"))
         present = wanted.join(cells.select(d).distinct(), d, "left_semi")
-        present = present.withColumn(f"{d}_share", F.col(f"{d}_share") / F.sum(f"{d}_share").over(Window.partitionBy(F.lit(1))))
+        whole = present.agg(F.sum(f"{d}_share")).first()[0] or 1.0
+        present = present.withColumn(f"{d}_share", F.col(f"{d}_share") / F.lit(whole))
         table = table.join(present, d, "left").fillna(0.0, [f"{d}_share"])
     table = stored(table.withColumn("weight", F.col("tokens").cast("double")), "cells")
     for _ in range(sweeps):

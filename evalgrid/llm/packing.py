@@ -8,8 +8,9 @@ that fits and goes on to the next larger one until the bitmaps allow it.
 
 Documents are dealt by a hash to shards of about ``PER_SHARD`` and packed
 longest first within their shard. A task sees a shard as a sorted stream and
-packs ``WINDOW`` documents at a time, so its memory is bounded whatever the
-shards hold, and one source or cluster may make up any part of the rows.
+packs at most ``WINDOW`` shards' worth of documents at a time, so its memory is
+bounded whatever the shards hold, and one source or cluster may make up any
+part of the rows.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ from pyspark.sql.types import LongType
 CAPACITY = 1024
 #: Documents a shard has on average.
 PER_SHARD = 2048
-#: Documents packed together at most; only a shard of very uneven size has more.
-WINDOW = 4 * PER_SHARD
+#: Shards' worth of documents that a task holds at most; only a shard far larger
+#: than the others is packed in several windows.
+WINDOW = 4
 
 
 class Bins:
@@ -171,7 +173,7 @@ def best_fit(
     dealt = items.repartition("shard").sortWithinPartitions("shard", (F.col("length") % capacity).desc(), "id", "length", "source", "cluster")
     kind = items.schema["id"].dataType.simpleString()
     placed = dealt.mapInArrow(
-        _packer(capacity, 4 * per_shard),
+        _packer(capacity, WINDOW * per_shard),
         f"id {kind}, source string, piece int, n_tokens bigint, shard bigint, bin bigint, bin_offset bigint",
     )
     name = F.when(F.col("bin").isNotNull(), F.concat_ws(":", "shard", "bin"))
