@@ -64,7 +64,6 @@ class Codec:
     def __init__(self, ranks: bytes) -> None:
         lines = (line.split() for line in ranks.splitlines() if line)
         table = {base64.b64decode(token): int(rank) for token, rank in lines}
-        self.bytes = {rank: token for token, rank in table.items()}
         self.first = max(table.values()) + 1
         self.begin, self.turn, self.text, self.end = range(self.first, self.first + len(MARKS))
         self.encoder = tiktoken.Encoding("plain", pat_str=_PATTERN, mergeable_ranks=table, special_tokens={})
@@ -76,7 +75,7 @@ class Codec:
         return ids
 
     def decode(self, ids: list[int]) -> str:
-        return b"".join(self.bytes[i] for i in ids).decode()
+        return self.encoder.decode_bytes(ids).decode()
 
 
 def turn_tokens(codec: Codec, role: str, text: str) -> tuple[list[int], np.ndarray]:
@@ -89,6 +88,26 @@ def turn_tokens(codec: Codec, role: str, text: str) -> tuple[list[int], np.ndarr
     return [i for s in segments for i in s], np.cumsum(steps[:-1], dtype=np.int8)
 
 
+def _lists(parts: list, kind: np.dtype) -> pa.ListArray:
+    """A list column from the lists or arrays of its rows."""
+    offsets = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+    flat = np.concatenate([np.asarray(p, dtype=kind) for p in parts]) if parts else np.zeros(0, kind)
+    return pa.ListArray.from_arrays(offsets, flat)
+
+
+def _headed(column: pa.ListArray, first: np.ndarray, value: int) -> pa.ListArray:
+    """The lists of a column, those of ``first`` rows with ``value`` in front."""
+    offsets = np.asarray(column.offsets) - column.offsets[0].as_py()
+    flat = np.insert(column.flatten().to_numpy(), offsets[:-1][first], value)
+    return pa.ListArray.from_arrays((offsets + np.concatenate([[0], np.cumsum(first)])).astype(np.int32), flat)
+
+
+def _rows(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column as arrays."""
+    offsets = np.asarray(column.offsets) - column.offsets[0].as_py()
+    return np.split(column.flatten().to_numpy(), offsets[1:-1]) if len(column) else []
+
+
 def _encoder(ranks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(ranks.value)
@@ -96,8 +115,8 @@ def _encoder(ranks):
             turns = [turn_tokens(codec, r, t) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())]
             columns = [
                 *map(batch.column, ("id", "turn", "role", "hash")),
-                pa.array([ids for ids, _ in turns], pa.list_(pa.int32())),
-                pa.array([mask for _, mask in turns], pa.list_(pa.int8())),
+                _lists([ids for ids, _ in turns], np.dtype("int32")),
+                _lists([mask for _, mask in turns], np.dtype("int8")),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["id", "turn", "role", "hash", "ids", "mask"])
 
@@ -108,22 +127,23 @@ def _assembler(begin: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, start, number = object(), 0, 0
         for batch in batches:
-            starts, numbers, ids, masks = [], [], [], []
-            for own, tokens, mask in zip(*(batch.column(c).to_pylist() for c in ("id", "ids", "mask"))):
-                if own != last:
+            starts, numbers, first = [], [], []
+            sizes = np.diff(np.asarray(batch.column("ids").offsets)).tolist()
+            for own, size in zip(batch.column("id").to_pylist(), sizes):
+                opens = own != last
+                if opens:
                     last, start, number = own, 0, 0
-                    tokens, mask = [begin, *tokens], [0, *mask]
                 starts.append(start)
                 numbers.append(number)
-                ids.append(tokens)
-                masks.append(mask)
-                start, number = start + len(tokens), number + 1
+                first.append(opens)
+                start, number = start + size + opens, number + 1
+            opening = np.array(first, dtype=bool)
             columns = [
                 batch.column("id"),
                 pa.array(numbers, pa.int64()),
                 pa.array(starts, pa.int64()),
-                pa.array(ids, pa.list_(pa.int32())),
-                pa.array(masks, pa.list_(pa.int8())),
+                _headed(batch.column("ids"), opening, begin),
+                _headed(batch.column("mask"), opening, 0),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["id", "number", "token_start", "ids", "mask"])
 
@@ -181,21 +201,20 @@ def _reader(ranks):
         for batch in batches:
             kind = batch.schema.field("id").type
             out = []
-            for own, ids, mask in zip(*(batch.column(c).to_pylist() for c in ("id", "token_ids", "loss_mask"))):
+            for own, ids, mask in zip(batch.column("id").to_pylist(), _rows(batch.column("token_ids")), _rows(batch.column("loss_mask"))):
                 if state is None or own != last:
                     if state is not None:
                         out.append(done())
                     last, state = own, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                at = ids.index(codec.turn)
-                text_at = ids.index(codec.text, at)
-                end = ids.index(codec.end, text_at)
-                role, text = (codec.decode(part) for part in (ids[at + 1 : text_at], ids[text_at + 1 : end]))
-                learned = unescape(codec.decode([i for i, m in zip(ids, mask) if m and i < codec.first]))
+                marks = np.flatnonzero(ids >= codec.first)
+                at, text_at, end = marks[-3:]
+                role, text = (codec.decode(part.tolist()) for part in (ids[at + 1 : text_at], ids[text_at + 1 : end]))
+                learned = unescape(codec.decode(ids[(mask != 0) & (ids < codec.first)].tolist()))
                 state[0] += 1
                 state[1].update(f"{unescape(role)}\n{unescape(text)}\n".encode())
                 state[2] += len(learned)
                 state[3].update(learned.encode())
-                state[4] += len(role) + len(text) + sum(len(MARKS[i - codec.first]) for i in ids if i >= codec.first)
+                state[4] += len(role) + len(text) + sum(len(MARKS[ids[m] - codec.first]) for m in marks)
                 state[5] += len(ids)
             yield from out
         if state is not None:
