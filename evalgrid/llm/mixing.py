@@ -6,6 +6,10 @@ other until all three hold. The raked weight of a cell over its tokens gives
 the probability with which each of its documents is drawn, and a hash of the
 document decides.
 
+Probabilities end at 1. Their scale is solved for the tokens to draw, so a cell
+or a value too small for its target is drawn whole and what it lacks is shared
+out over the others; it never decides how much of the rest stays.
+
 Only cells are raked, not documents. Their table is written between sweeps,
 so its size is known, and Catalyst broadcasts it to the documents or shuffles
 by it as that size asks.
@@ -24,6 +28,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Observed shares are raised to these powers for the default targets: a hot
 #: source or language goes down and small ones up, topics keep their shares.
 TEMPER = {"source": 0.8, "lang": 0.8, "topic": 1.0}
+#: Share of all tokens drawn in expectation when no budget is given.
+KEEP = 2 / 3
 #: Sweeps stop when no marginal is further off than this share of its target.
 TOLERANCE = 1e-6
 MAX_SWEEPS = 100
@@ -96,16 +102,54 @@ def rake(cells: DataFrame, targets: DataFrame, tolerance: float = TOLERANCE, swe
 def calibrated(raked: DataFrame, budget: float | None = None) -> DataFrame:
     """Cells with the ``probability`` that draws them in the raked proportions.
 
-    Probabilities are in proportion to weight over tokens. Without a budget
-    the largest is 1, which draws as much as can be had without repeating a
-    document. With a budget in tokens, the expected draw is the budget, or
-    less where probabilities reach 1.
+    Probabilities are in proportion to weight over tokens and end at 1. The
+    expected draw is the budget in tokens, by default ``KEEP`` of all tokens,
+    or less only where every cell with a weight is drawn whole.
     """
+    if budget is None:
+        budget = KEEP * (raked.agg(F.sum("tokens")).first()[0] or 0)
+    parts = raked.select(F.lit("all").alias("dimension"), F.col("tokens").alias("size"), F.col("weight").alias("wanted"))
+    scale = filled(parts, budget).get("all", 0.0)
     rate = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    rated = raked.withColumn("rate", rate)
-    top, weight = rated.agg(F.max("rate"), F.sum("weight")).first()
-    scale = (1.0 / top if top else 0.0) if budget is None else budget / weight if weight else 0.0
-    return rated.withColumn("probability", F.least(F.lit(1.0), F.col("rate") * F.lit(scale))).drop("rate")
+    return raked.withColumn("probability", F.least(F.lit(1.0), rate * F.lit(scale)))
+
+
+def filled(parts: DataFrame, budget: float) -> dict[str, float]:
+    """The scale by dimension at which least(size, scale * wanted) sums to the budget.
+
+    ``parts`` are (dimension, size, wanted). The scale of those that do not
+    reach their size is raised until no other one does.
+    """
+    scales: dict[str, float] = {}
+    while True:
+        known = [x for d, s in scales.items() for x in (F.lit(d), F.lit(s))]
+        scaled = F.col("wanted") * F.create_map(*known)[F.col("dimension")] if known else F.lit(0.0)
+        full = (F.col("wanted") > 0) & (scaled >= F.col("size"))
+        sums = parts.groupBy("dimension").agg(
+            F.sum(F.when(full, F.col("size")).otherwise(0)).cast("double").alias("held"), F.sum(F.when(~full, F.col("wanted")).otherwise(0.0)).alias("rest")
+        )
+        raised = {r["dimension"]: (budget - r["held"]) / r["rest"] if r["rest"] else scales.get(r["dimension"], 0.0) for r in sums.collect()}
+        if scales and all(s <= scales[d] * (1 + 1e-12) for d, s in raised.items()):
+            return scales
+        if not raised:
+            return raised
+        scales = raised
+
+
+def reachable(cells: DataFrame, targets: DataFrame, budget: float) -> DataFrame:
+    """``targets`` that a draw of ``budget`` tokens can meet.
+
+    A value with fewer tokens than its share of the draw gets all it has; the
+    others of its dimension share out what it lacks. Values without a cell go.
+    """
+    parts = [cells.select(F.lit(d).alias("dimension"), F.col(d).alias("value"), "tokens") for d in DIMENSIONS]
+    sizes = parts[0].union(parts[1]).union(parts[2]).groupBy("dimension", "value").agg(F.sum("tokens").alias("size"))
+    wanted = stored(targets.join(sizes, ["dimension", "value"]).withColumnRenamed("share", "wanted"), "targets")
+    scales = filled(wanted, budget)
+    if not scales or not budget:
+        return targets
+    scale = F.create_map(*[x for d, s in scales.items() for x in (F.lit(d), F.lit(s))])[F.col("dimension")]
+    return wanted.select("dimension", "value", (F.least(F.col("size"), F.col("wanted") * scale) / F.lit(float(budget))).alias("share"))
 
 
 def mixed(
@@ -131,7 +175,10 @@ def mixed(
     size = F.greatest(F.coalesce(tokens.cast("bigint"), F.lit(0)), F.lit(0))
     cells = docs.select(*[c.alias(d) for d, c in keys.items()], size.alias("tokens")).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
     cells = stored(cells, "cells")
-    chances = stored(calibrated(rake(cells, tempered(cells) if targets is None else targets), budget), "chances")
+    if budget is None:
+        budget = KEEP * (cells.agg(F.sum("tokens")).first()[0] or 0)
+    wanted = reachable(cells, tempered(cells) if targets is None else targets, budget)
+    chances = stored(calibrated(rake(cells, wanted), budget), "chances")
 
     names = {d: fresh(docs, f"cell_{d}") for d in DIMENSIONS}
     chance, drawn = fresh(docs, "probability"), fresh(docs, "drawn")

@@ -46,6 +46,24 @@ def test_draws_follow_their_probabilities(spark):
     assert abs(out.agg(F.sum(F.col(chance) * F.length("text"))).first()[0] / budget - 1) < 1e-6
 
 
+def test_one_rare_cell_beside_a_hot_one(spark):
+    rows = [(i, prose(i % 50, 20) + str(i), "en" if i % 4 else "fr", "hot" if i % 3 else f"s{i % 5}") for i in range(3000)]
+    docs = docs_table(spark, [*rows, (-1, prose(77, 20), "xx", None)])
+    out, chance, _ = mixing.mixed(docs, F.length("text"), mixing.genre(F.col("text")))
+    found = out.select("doc_id", "source", F.col(chance).alias("c"), F.length("text").alias("n")).collect()
+    assert {r["c"] for r in found if r["doc_id"] == -1} == {1.0}
+    assert abs(sum(r["c"] * r["n"] for r in found) / sum(r["n"] for r in found) - mixing.KEEP) < 1e-6
+    assert all(r["c"] > 0.4 for r in found if r["source"] == "hot")
+
+
+def test_targets_of_a_small_value_are_shared_out(spark):
+    cells = spark.createDataFrame([("a", "en", "x", 1000), ("b", "en", "x", 1000), ("c", "en", "x", 10)], "source string, lang string, topic string, tokens bigint")
+    targets = spark.createDataFrame([("source", "a", 0.4), ("source", "b", 0.2), ("source", "c", 0.4), ("lang", "en", 1.0), ("topic", "x", 1.0)], "dimension string, value string, share double")
+    raked = mixing.rake(cells, mixing.reachable(cells, targets, 610))
+    got = {r["source"]: r["probability"] * r["tokens"] for r in mixing.calibrated(raked, 610).collect()}
+    assert np.allclose([got[k] for k in "abc"], [400, 200, 10], rtol=1e-5)
+
+
 def test_no_rows(spark):
     docs = docs_table(spark, [(1, "x")]).where("false")
     assert mixing.sample(docs, F.length("text"), mixing.genre(F.col("text"))).count() == 0
