@@ -139,7 +139,8 @@ def fit(
     """Fit on at most ``2 * per_label`` labelled rows.
 
     Rows with a null id or label teach nothing. Without a labelled row of
-    either kind the model knows no word and calls nothing toxic.
+    either kind, or without a telling feature, the model knows no word and
+    calls nothing toxic.
     """
     known = labels.select(F.col(id).alias("id"), (F.col(label) > 0).alias("toxic")).dropna()
     total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -163,6 +164,8 @@ def fit(
     z = gap / F.sqrt(share * (1 - share) * (1 / n1 + 1 / n0) + 1e-9)
     odds = F.log((F.col("c1") + 0.5) / (n1 + 1)) - F.log((F.col("c0") + 0.5) / (n0 + 1))
     best = seen.select("feature", z.alias("z"), odds.alias("odds")).where(F.abs("z") >= MIN_Z).orderBy(F.abs("z").desc(), "feature").limit(n_features).collect()
+    if not best:
+        return Model({}, np.array([50.0] * len(GRADE_FROM)))
     index = {r["feature"]: k for k, r in enumerate(best)}
     telling = {r["feature"] for r in best if r["z"] > 0 and r["odds"] > 2 and not r["feature"].endswith("_")}
 
@@ -182,22 +185,25 @@ def fit(
     shift = np.log(n1 / n0) - np.log(total[True] / total[False])  # back to the shares of all labels
     thresholds = t + shift
     score = np.bincount(np.array(rows_at, dtype=int), np.array(values) * w[np.array(columns, dtype=int)], minlength=len(grades))
-    cut = _sigmoid(best_cut(score - thresholds[0], grades_at > 0))
+    place = best_cut(score - thresholds[0], grades_at > 0)
+    cut = np.inf if np.isinf(place) else _sigmoid(place)
     return Model({f: float(w[k]) for f, k in index.items()}, thresholds, float(cut))
 
 
 def best_cut(values: np.ndarray, positive: np.ndarray) -> float:
     """The value that divides the two kinds with the fewest errors.
 
-    It lies midway between its neighbours; of equally good places it is the
-    one with the widest gap.
+    It lies midway between two different values, never among equal ones (to
+    nine decimals), or is infinite where calling nothing positive has the
+    fewest errors; of equally good places it is the one with the widest gap.
     """
-    order = np.argsort(values, kind="stable")
-    values, positive = values[order], positive[order]
-    errors = np.cumsum(positive)[:-1] + (~positive[::-1]).cumsum()[::-1][1:]
-    gaps = np.diff(values)
+    levels, at = np.unique(np.round(values, 9), return_inverse=True)
+    hits = np.bincount(at, positive, minlength=len(levels))
+    misses = np.bincount(at, ~positive, minlength=len(levels))
+    errors = np.cumsum(hits) + np.append(misses[::-1].cumsum()[::-1][1:], 0)  # cuts above each level
+    gaps = np.append(np.diff(levels), 0)
     best = np.lexsort((-gaps, errors))[0]
-    return (values[best] + values[best + 1]) / 2
+    return np.inf if best == len(levels) - 1 else (levels[best] + levels[best + 1]) / 2
 
 
 def exceedances(model: Model):

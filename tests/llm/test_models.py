@@ -118,6 +118,23 @@ def test_cut_has_the_fewest_errors():
     assert toxicity.best_cut(np.array([-3.0, 1.0, -2.0, 3.0]), np.array([False, True, False, True])) == -0.5
 
 
+def test_cut_never_divides_equal_scores():
+    values = np.concatenate([np.zeros(6001), np.full(200, 3.0)])
+    positive = np.arange(6201) >= 6000  # the last of the tied rows is a positive one
+    assert toxicity.best_cut(values, positive) == 1.5
+    assert toxicity.best_cut(np.zeros(5), np.arange(5) >= 4) == np.inf
+
+
+def test_toxic_rows_without_a_known_word_flag_no_clean_one(spark):
+    rows = [(i, prose(i, 20)) for i in range(60)] + [(100 + i, f"{prose(100 + i, 20)} vile") for i in range(20)] + [(200 + i, prose(200 + i, 20)) for i in range(4)]
+    docs = docs_table(spark, rows)
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in rows], "doc_id bigint, toxic int")
+    found = {r["doc_id"] for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect() if r["toxic"]}
+    assert found >= set(range(100, 120)) and not [i for i in found if i < 100]
+    few = labels.where("toxic = 0 or doc_id in (200, 201)")
+    assert toxicity.reject(docs, toxicity.fit(docs, few)).count() == len(rows)
+
+
 def test_toxicity_odd_inputs(spark):
     rows = ODD + [(10 + i, f"{prose(i, 20)} vile", "en") for i in range(12)] + [(30 + i, prose(40 + i, 20), "en") for i in range(12)]
     docs = docs_table(spark, rows, extra=True)
