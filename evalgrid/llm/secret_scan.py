@@ -2,8 +2,9 @@
 
 A scan finds candidates in whole texts: three base kinds that always count,
 and random-looking strings. The digests of all candidates are then counted
-over the corpus by distinct repositories and owners. A value that many owners
-have is a copied example; one that few have looks live. Random-looking strings
+over the corpus by distinct repositories and owners. A value of many owners,
+or in many repositories of few owners, is a copied example; one looks live that
+has at most ``MAX_OWNERS`` and is in at most ``MAX_REPOSITORIES``. Random-looking strings
 become spans of kind ``live`` only where they are owner-specific; base spans
 stay whatever the count says.
 """
@@ -28,6 +29,8 @@ from evalgrid.llm.common import blank, fresh, stored
 KINDS = ("assign", "access", "hex")
 #: A value with at most this many owners counts as owner-specific.
 MAX_OWNERS = 2
+#: And a value in at most this many repositories, whoever owns them.
+MAX_REPOSITORIES = 10
 #: What stands in place of a secret.
 MARK = "[SECRET]"
 #: Bits of entropy per character from which a string looks random.
@@ -124,7 +127,12 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def scan(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", owner: str = "source", max_owners: int = MAX_OWNERS
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    owner: str = "source",
+    max_owners: int = MAX_OWNERS,
+    max_repositories: int = MAX_REPOSITORIES,
 ) -> DataFrame:
     """(row, ``id``, spans): every row of ``docs`` with its spans.
 
@@ -133,7 +141,8 @@ def scan(
     3 stands for random-looking strings, which are there only if live;
     ``value`` is a digest. Each document is a repository, ``owner`` names its
     owner. Repeated rows each come out; null and empty texts have no spans. A
-    value whose owners are all null has none and counts as owner-specific.
+    value is live if both counts are small: at most ``max_owners`` owners and
+    ``max_repositories`` repositories. Null owners and ids are not counted.
     """
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.col(owner).cast("string").alias("owner"), blank(F.col(text)).alias("text")
@@ -142,7 +151,7 @@ def scan(
     found = stored(rows.mapInArrow(_scan, f"row bigint, id {kind}, owner string, spans array<{_SPAN}>"), "spans")
     each = found.select("row", F.col("id").alias("repository"), "owner", F.explode("spans").alias("s")).select("*", "s.value")
     counted = each.join(ownership(each), "value")
-    live = F.col("n_owners") <= max_owners
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories)
     kept = counted.where((F.col("s.kind") < len(KINDS)) | live)
     full = F.struct("s.start", "s.kind", "s.end", "value", "n_repositories", "n_owners", live.alias("live"))
     spans = kept.groupBy("row").agg(F.sort_array(F.collect_list(full)).alias("spans"))

@@ -71,6 +71,15 @@ def test_hot_value_is_counted(spark):
     assert len(spans) == 300 and {(s["n_repositories"], s["n_owners"], s["live"]) for s in spans} == {(300, 4, False)}
 
 
+def test_copies_within_one_hot_source_are_not_live(spark):
+    rows = [(i, f"see {COPIED} and secret=abcdefghijklmnopq", "en", "hot") for i in range(300)] + [(400 + i, LIVE, "en", "hot") for i in range(10)]
+    docs = docs_table(spark, rows)
+    spans = {r["doc_id"]: [(s["kind"], s["n_repositories"], s["n_owners"], s["live"]) for s in r["spans"]] for r in secret_scan.scan(docs).collect()}
+    assert all(spans[i] == [(0, 300, 1, False)] for i in range(300))
+    assert all(spans[400 + i] == [(3, 10, 1, True)] for i in range(10))
+    assert {r["text"] for r in secret_scan.redact(docs).collect()} == {f"see {COPIED} and [SECRET]", "[SECRET]"}
+
+
 def test_no_rows(spark):
     docs = docs_table(spark, [(1, "x")]).where("false")
     assert secret_scan.scan(docs).count() == 0 and secret_scan.redact(docs).count() == 0
