@@ -83,3 +83,91 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        not base_failed and lost_chars <= {_RULES.MAX_LOST} * word_chars as kept, lost_chars, cast(n_kept_lines as int) as n_kept_lines
 from failed
 """
+
+PREFIX_TRIE = f"""
+with recursive
+turns as (
+  select conv_id as c, row_number() over (partition by conv_id order by turn nulls first) - 1 as pos,
+         coalesce(role, '') as r, coalesce(text, '') as t
+  from conversations where conv_id is not null),
+checked(c, s, k, v) as (
+  select c, cast(c as varchar), 0, cast(4294967295 as bigint) from (select distinct c from turns)
+  union all
+  select c, s, k + 1, case when u & 1 = 1 then xor(u >> 1, cast(3988292384 as bigint)) else u >> 1 end
+  from (select *, case when k % 8 = 0 then xor(v, cast(ascii(substr(s, k // 8 + 1, 1)) as bigint)) else v end as u from checked)
+  where k < 8 * length(s)),
+heads as (select c, c - c % 20 as b, xor(v, cast(4294967295 as bigint)) % 4 as h from checked where k = 8 * length(s)),
+borrowed as (select h.c, t.pos + 1 as d, r, t from heads h join turns t on t.c = h.b and t.pos < h.h),
+taken as (select h.c, count(b.c) as n from heads h left join borrowed b on b.c = h.c group by h.c),
+built as (
+  select * from borrowed union all
+  select h.c, n + t.pos - h + 1, r, t from heads h join taken using (c) join turns t on t.c = h.c and t.pos >= h),
+paths as (
+  select c, d, sha256(string_agg(length(r) || ':' || r || length(t) || ':' || t, '') over (partition by c order by d)) as k,
+         len({_words("t")}) as w from built
+  union all select c, 0, '', 0 from heads),
+lengths as (select c, max(d) as n from paths group by c),
+nodes as (
+  select d, k, min(c) as conv, count(*) as n_convs, any_value(w) as w,
+         sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (d = n), '')) as ends_sha256
+  from paths join lengths using (c) group by d, k),
+linked as (
+  select nodes.*, up.conv as parent from nodes
+  left join paths on paths.c = nodes.conv and paths.d = nodes.d - 1
+  left join nodes up on up.d = paths.d and up.k = paths.k),
+children as (select parent, d - 1 as d, count(*) as n from linked where parent is not null group by all),
+sized as (select linked.*, coalesce(n, 0) as n_children from linked left join children on children.parent = conv and children.d = linked.d),
+subtrees as (
+  select paths.d, paths.k, count(*) filter (n_children = 0) as n_leaves, cast(sum((n_convs - 1) * sized.w) as bigint) as saved_tokens
+  from sized join paths on paths.c = sized.conv and paths.d <= sized.d group by all)
+select conv as conv_id, d as depth, parent as parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256
+from sized join subtrees using (d, k)
+"""
+
+FILTER_AUDIT = f"""
+with texts as (
+  select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part from documents),
+judged as (
+  select part, {_words("t")} as w, t, coalesce(min(doc_id) over (partition by t) < doc_id, false) as e,
+         coalesce(doc_id in (select doc_id from labels where quality = 1), false) as good,
+         coalesce(doc_id in (select doc_id from labels where toxic = 1), false) as toxic
+  from texts),
+masked as (
+  select part, good, toxic, count(*) as n,
+         cast(len(w) < 200 as int) + 2 * cast(100 * len(list_distinct(w)) < 50 * len(w) as int)
+         + 4 * cast(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) as int)
+         + 8 * cast(regexp_matches(t, '[#$%&*|]') as int) + 16 * cast(e as int) as m
+  from judged group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order
+  from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps as (
+  select filter_order, cast(step as int) as step, 1 << cast(ascii(filter_order[step]) - 65 as int) as bit,
+         cast(list_sum(list_transform(range(1, step), lambda i: 1 << cast(ascii(filter_order[i]) - 65 as int))) as bigint) as earlier
+  from orders, range(1, 6) as r(step)),
+shares as (
+  select part, 1 << cast(b as int) as bit, cast(sum(case when m & (1 << cast(b as int)) <> 0 then n * 120 // bit_count(cast(m as bigint)) else 0 end) as bigint) as shapley
+  from masked, range(5) as r(b) group by all)
+select part, filter_order, step,
+       cast(coalesce(sum(n) filter (m & (bit | coalesce(earlier, 0)) = 0), 0) as bigint) as kept,
+       cast(coalesce(sum(n) filter (m & bit <> 0 and m & coalesce(earlier, 0) = 0), 0) as bigint) as removed,
+       cast(coalesce(sum(n) filter (m & bit <> 0 and m & coalesce(earlier, 0) <> 0), 0) as bigint) as redundant,
+       cast(coalesce(sum(n) filter (m = bit), 0) as bigint) as unique_fails,
+       cast(coalesce(sum(n) filter (good and m & bit <> 0 and m & coalesce(earlier, 0) = 0), 0) as bigint) as good_lost,
+       cast(coalesce(sum(n) filter (toxic and m & bit <> 0 and m & coalesce(earlier, 0) = 0), 0) as bigint) as toxic_lost,
+       any_value(shapley) as shapley
+from (select * from masked, steps) join shares using (part, bit)
+group by part, filter_order, step
+"""
+
+EXACT_DEDUP = f"""
+with texts as (
+  select doc_id, length(coalesce(text, '')) as n, regexp_replace(coalesce(text, ''), '{_BLANK}', '', 'g') as t,
+         row_number() over () as place from documents),
+ranked as (
+  select *, first_value(doc_id) over w as keep_id, count(*) over (partition by t) as group_size, row_number() over w as rank
+  from texts window w as (partition by t order by n desc, doc_id nulls last, place))
+select doc_id, keep_id, group_size, rank = 1 as kept, sha256(t) as text_sha256 from ranked
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evalgrid.llm import ann, chat, language_mix, mixing, packing, quality_model, quality_rules, secret_scan, simhash, toxicity
+from evalgrid.llm import ann, chat, exact_dedup, filter_audit, language_mix, mixing, packing, prefix_trie, quality_model, quality_rules, secret_scan, simhash, toxicity
 from evalgrid.llm import oracles as sql
 from evalgrid.llm.common import table
 
@@ -87,9 +87,31 @@ def op10_learned_partitions(spark: SparkSession, folder: str) -> DataFrame:
     return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    nodes = prefix_trie.prefix_trie(table(spark, folder, "conversations"))
+    return nodes.select(
+        F.col("conv").alias("conv_id"), "depth", F.col("parent").alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(spark, f"{folder}/documents.parquet", table(spark, folder, "labels"))
+
+
+def op13_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = exact_dedup.exact_duplicates(spark, f"{folder}/documents.parquet")
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op")}
 
 
 def oracles() -> dict[str, str]:
-    return {"op2_chat_format": sql.CHAT, "op3_quality_rules": sql.QUALITY_RULES}
+    return {
+        "op2_chat_format": sql.CHAT,
+        "op3_quality_rules": sql.QUALITY_RULES,
+        "op11_prefix_trie": sql.PREFIX_TRIE,
+        "op12_filter_audit": sql.FILTER_AUDIT,
+        "op13_exact_dedup": sql.EXACT_DEDUP,
+    }
