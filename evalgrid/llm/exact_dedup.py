@@ -21,7 +21,8 @@ is grouped by its whole text instead, so results are exact under any digest.
 Defined cases: null texts count as empty; empty and blank texts are one group.
 Rows without an id are reported and can stay (then ``keep_id`` is null). Of
 several rows with one id and equal texts one stays. Other columns are not read.
-An empty table gives no rows. Rows in files not yet ingested are not reported.
+An empty table gives no rows. Assess what was ingested: a row of another file is
+reported only if its digest is retained, and does not count in its group.
 """
 
 from __future__ import annotations
