@@ -9,19 +9,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Micro-batches that a first run over a table is dealt in.
 BATCHES = 4
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore"
+#: State in RocksDB, of which a micro-batch commits what it changed. Each store
+#: would set aside 4 MB of disk for its manifest, however little it holds.
+_ON_DISK = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+}
 
 
 @contextmanager
 def disk_state(spark: SparkSession) -> Iterator[None]:
     """Streams started and states read inside keep their state on disk."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    before = {key: spark.conf.get(key, None) for key in _ON_DISK}
+    for key, value in _ON_DISK.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def files_of(spark: SparkSession, path: str, schema: str, batches: int) -> DataFrame:
