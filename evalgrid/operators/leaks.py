@@ -1,14 +1,20 @@
-"""Private identifiers in published text, found by joins."""
+"""Private identifiers in published text, found in one walk over each text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evalgrid.operators import scope
 
-#: Length of the character grams that lead from a token to the words that may hold it.
-GRAM = 4
+#: Characters of tokens that a task holds at a time; its automaton has a state
+#: of some 100 bytes for each at most.
+PART = 2_000_000
 
 
 def leak_tokens(items: DataFrame, separator: str = "_") -> DataFrame:
@@ -29,49 +35,47 @@ def leak_tokens(items: DataFrame, separator: str = "_") -> DataFrame:
     return each.filter(F.length("token") > 0).groupBy("token").agg(F.min("kind").alias("kind"))
 
 
-def _words(text: Column) -> Column:
-    """The different runs between white space."""
-    return F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+def _parts(tokens: DataFrame) -> list[list[str]]:
+    """The tokens to look for, in parts of about ``PART`` characters."""
+    wanted = tokens.select("token").filter(F.col("token").rlike(r"\S")).distinct()
+    characters = wanted.agg(F.sum(F.length("token"))).first()[0] or 0
+    n = -(-characters // PART)
+    part = F.pmod(F.xxhash64("token"), F.lit(n or 1))
+    return [[row["token"] for row in wanted.filter(part == i).collect()] for i in range(n)]
 
 
-def _grams(word: Column, size: Column) -> Column:
-    starts = F.sequence(F.lit(1), F.greatest(F.length(word) - size + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda at: F.substring(word, at, size)))
+def _found(tokens: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Looks for all of ``tokens`` in each text in one walk over its characters."""
 
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
 
-def _anchors(tokens: DataFrame) -> DataFrame:
-    """(token, piece, gram): how each token is looked up.
+        automaton = ahocorasick.Automaton()
+        for token in tokens.value:
+            automaton.add_word(token, token)
+        automaton.make_automaton()
+        for batch in batches:
+            found = [sorted({token for _, token in automaton.iter(text)}) for text in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.list_(pa.string()))], ["key", "tokens"])
 
-    The piece is the longest run of a token between white space, which any
-    text with the token holds inside one of its words. The gram is the one of
-    the piece that the fewest tokens share, so a prefix common to all ids does
-    not lead to all of them.
-    """
-    longest = F.aggregate(_words(F.col("token")), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
-    pieces = tokens.select("token").distinct().select("token", longest.alias("piece")).filter("piece <> ''")
-    grams = pieces.select("token", "piece", F.explode(_grams(F.col("piece"), F.least(F.length("piece"), F.lit(GRAM)))).alias("gram"))
-    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    least = F.min(F.struct("n", "gram")).alias("m")
-    return grams.join(shared, "gram").groupBy("token", "piece").agg(least).select("token", "piece", F.col("m.gram").alias("gram"))
+    return find
 
 
 def find_tokens(documents: DataFrame, tokens: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, token) for every token that occurs anywhere in a text, once each.
 
-    The different words of the corpus meet the tokens by their grams, words
-    that hold a token's piece lead to their documents, and there the whole
-    token is looked for. Any number of tokens takes one pass. Tokens of white
-    space alone are not looked for, and rows without a key are not searched.
+    Each task holds the tokens as one automaton and walks its texts once; no
+    text is shuffled, and the work does not depend on how many tokens there are
+    or how common. Tokens reach the tasks in parts of bounded size, with a pass
+    over the texts for each. Tokens of white space alone are not looked for,
+    and rows without a key or text are not searched.
     """
-    words = documents.select(F.col(key).alias("__key"), F.explode(_words(F.col(text))).alias("word"))
-    sizes = F.sequence(F.lit(1), F.lit(GRAM))
-    parts = F.array_distinct(F.flatten(F.transform(sizes, lambda n: _grams(F.col("word"), n))))
-    grams = words.select("word").distinct().select("word", F.explode(parts).alias("gram"))
-    hits = grams.join(_anchors(tokens), "gram").filter(F.contains("word", F.col("piece"))).select("word", "token").distinct()
-    candidates = words.join(hits, "word").select("__key", "token").distinct()
-    texts = documents.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    found = texts.join(candidates, "__key").filter(F.contains("__text", F.col("token")))
-    return found.select(F.col("__key").alias(key), "token").distinct()
+    texts = documents.select(F.col(key).alias("key"), F.col(text).alias("text")).dropna()
+    kind = texts.schema["key"].dataType.simpleString()
+    context = documents.sparkSession.sparkContext
+    passes = [texts.mapInArrow(_found(context.broadcast(part)), f"key {kind}, tokens array<string>") for part in _parts(tokens)]
+    none = texts.select("key", F.array().cast("array<string>").alias("tokens")).filter("false")
+    return reduce(DataFrame.union, passes or [none]).select(F.col("key").alias(key), F.explode("tokens").alias("token")).distinct()
 
 
 def leak_counts(documents: DataFrame, tokens: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -51,6 +51,77 @@ def pair_clusters(shared: DataFrame) -> DataFrame:
     )
 
 
+def _profiles(means: DataFrame) -> DataFrame:
+    """(model, profile): equal where models have the same checks with the same weights."""
+    print_ = F.xxhash64("item", "sub", "dimension", "weight")
+    return means.groupBy("model").agg(F.struct(F.count(F.lit(1)), F.bit_xor(print_), F.sum(F.pmod(print_, F.lit(1 << 31)))).alias("profile"))
+
+
+def _paired(order: DataFrame, means: DataFrame) -> DataFrame:
+    """(a, b, alike): all pairs of ``order``, and whether their checks and weights are the same."""
+    placed = order.select("model", "pos").join(_profiles(means), "model")
+    right = placed.select(F.col("model").alias("b"), F.col("pos").alias("pos_b"), F.col("profile").alias("other"))
+    return placed.withColumnRenamed("model", "a").join(right, F.col("pos") < F.col("pos_b")).select(*PAIR, (F.col("profile") == F.col("other")).alias("alike"))
+
+
+def _own_clusters(means: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Weighted sums per item of each model that stands in ``pairs``."""
+    named = pairs.select(F.col("a").alias("model")).union(pairs.select("b")).distinct()
+    own = means.join(named, "model", "left_semi")
+    return own.groupBy("model", "dimension", "item").agg(F.sum("weight").alias("den"), F.sum(F.col("weight") * F.col("rate")).alias("num"))
+
+
+def _both(pairs: DataFrame, own: DataFrame, on: list[str], *values: str) -> DataFrame:
+    """``pairs`` with the ``values`` of both models, as x_a and x_b."""
+    sides = [own.select(F.col("model").alias(side), *on, *[F.col(v).alias(f"{v}_{side}") for v in values]) for side in PAIR]
+    return pairs.select(*PAIR).join(sides[0], "a").join(sides[1], ["b", *on])
+
+
+def _quantile(ordered: Column, q: float) -> Column:
+    """Between the two nearest values of a sorted array, in proportion."""
+    at = (F.size(ordered) - 1) * F.lit(q)
+    low, high = (F.get(ordered, f(at).cast("int")) for f in (F.floor, F.ceil))
+    return low + (high - low) * (at - F.floor(at))
+
+
+def pair_intervals(means: DataFrame, order: DataFrame, n: int = resample.PAIR_DRAWS, seed: int = 0, alpha: float = resample.ALPHA) -> DataFrame:
+    """(a, b, lo, hi) of every pair of ``order``.
+
+    Where both models have the same checks and weights, a pair's replicate is
+    the difference of theirs, so each model is resampled once, not once per
+    pair. Other pairs are resampled on the checks that they share.
+    """
+    pairs = cut(_paired(order, means))
+    alike = pairs.where("alike")
+    drawn = resample.replicates(_own_clusters(means, alike), ["model"], n, seed).groupBy("model", "draw").agg(F.avg("ratio").alias("mean"))
+    listed = drawn.groupBy("model").agg(F.transform(F.sort_array(F.collect_list(F.struct("draw", "mean"))), lambda s: s["mean"]).alias("means"))
+    gaps = F.sort_array(F.zip_with("means_a", "means_b", lambda x, y: x - y))
+    ends = _both(alike, cut(listed), [], "means").select(*PAIR, gaps.alias("gaps"))
+    shared = ends.select(*PAIR, _quantile(F.col("gaps"), alpha / 2).alias("lo"), _quantile(F.col("gaps"), 1 - alpha / 2).alias("hi"))
+    if (unlike := pairs.where("not alike")).isEmpty():
+        return shared
+    apart = pair_clusters(shared_checks(means, order).join(unlike, PAIR, "left_semi"))
+    return shared.union(resample.headline_intervals(cut(apart), PAIR, n, seed, alpha))
+
+
+def pair_tests(means: DataFrame, order: DataFrame, n: int = resample.SIGN_FLIPS, seed: int = 0) -> DataFrame:
+    """(a, b, p_value) of every pair of ``order``, flipped once per model where that is the same."""
+    pairs = cut(_paired(order, means))
+    alike = pairs.where("alike")
+    effects = cut(resample.effects(_own_clusters(means, alike), ["model"]))
+    sums = resample.flip_sums(effects, ["model"], n, seed)
+    gap = F.sum(F.col("coef_a") - F.col("coef_b"))
+    observed = _both(alike, effects, ["dimension", "item"], "coef").groupBy(*PAIR).agg(gap.alias("observed"))
+    flipped = _both(alike, cut(sums), ["flip"], "sums").join(observed, PAIR)
+    far = resample.extreme(F.zip_with("sums_a", "sums_b", lambda x, y: x - y), F.col("observed"))
+    counted = flipped.groupBy(*PAIR).agg(F.sum(far).alias("extreme"), F.max("observed").alias("observed"))
+    shared = counted.select(*PAIR, resample.flip_p(F.col("observed"), F.col("extreme"), n).alias("p_value"))
+    if (unlike := pairs.where("not alike")).isEmpty():
+        return shared
+    apart = pair_clusters(shared_checks(means, order).join(unlike, PAIR, "left_semi"))
+    return shared.union(resample.sign_flip_p(cut(apart), PAIR, n, seed))
+
+
 def paired_diff(clusters: DataFrame) -> DataFrame:
     """The equal-dimension difference of each pair, with its counts."""
     by_dim = clusters.groupBy(*PAIR, "dimension").agg(
@@ -88,10 +159,10 @@ def compare(
     seed: int = 0,
 ) -> DataFrame:
     """Difference, interval, p-values and winner of every pair of ``order``."""
-    clusters = cut(pair_clusters(shared_checks(means, order)))
-    intervals = resample.headline_intervals(clusters, PAIR, n, seed)
-    tested = resample.sign_flip_p(clusters, PAIR, permutations, seed)
-    joined = paired_diff(clusters).join(intervals, PAIR).join(tested, PAIR)
+    means, order = cut(means), cut(order)
+    intervals = pair_intervals(means, order, n, seed)
+    tested = pair_tests(means, order, permutations, seed)
+    joined = paired_diff(pair_clusters(shared_checks(means, order))).join(intervals, PAIR).join(tested, PAIR)
     return decide(holm_adjust(joined))
 
 

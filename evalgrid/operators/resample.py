@@ -1,14 +1,21 @@
 """Cluster bootstraps and sign-flip tests with seeded draws.
 
 A draw is a digest of its own coordinates, so it is the same under any
-partitioning and after any retry. Blocks of draws are dealt over the tasks,
-digests are made there, and the draws are joined to the cluster sums. A block's
-draws stay in one task up to the first sum, so only one value per group and
-resample is shuffled. There is one way for every size.
+partitioning and after any retry. Blocks of draws are dealt over the tasks as
+arrays and meet the cluster sums of a group as arrays too, so a resample is an
+expression and not a join of its slots. There is one way for every size.
+
+An array holds the items of one group and dimension, 16 bytes each: the size of
+a bank, however many answers were graded.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,10 +31,12 @@ ALPHA = 0.05
 _TIE = 1e-12
 _ZERO = 1e-8
 
-#: Draws, and slots of a resample, that are dealt to a task together.
-_SPAN, _SLOTS = 50, 1024
-#: Items whose signs are taken together.
-_BUNDLE = 8
+#: Picks that a row holds, unless one resample has more, and flips.
+_PICKS, _FLIPS = 4096, 1000
+#: Shares into which the blocks of one group size are dealt.
+_SALTS = 16
+#: Items whose signs are one number, and bundles that are summed at a time.
+_BUNDLE, _CHUNK = 8, 64
 
 
 def _digest(*parts: Column) -> Column:
@@ -39,52 +48,52 @@ def _blocks(count: Column, size: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(count.cast("bigint") - 1, F.lit(0)), F.lit(size).cast("bigint")))
 
 
-def _block(start: Column, count: Column, size: int) -> Column:
-    """The numbers of one block."""
-    return F.explode(F.sequence(start, F.least(start + size, count.cast("bigint")) - 1))
+def _sized(clusters: DataFrame, keys: list[str]) -> DataFrame:
+    """The sums of each group and dimension as arrays in the order of items, with their number ``k``."""
+    listed = F.sort_array(F.collect_list(F.struct("item", F.col("num").cast("double").alias("num"), F.col("den").cast("double").alias("den"))))
+    found = clusters.groupBy(*keys, "dimension").agg(listed.alias("__l"))
+    return found.select(*keys, "dimension", F.size("__l").cast("bigint").alias("k"), F.col("__l.num").alias("nums"), F.col("__l.den").alias("dens"))
 
 
-def _dealt(table: DataFrame, n: int, name: str) -> DataFrame:
-    """Repeat each row once per draw, a block of draws in one task."""
-    starts = table.withColumn("__start", _blocks(F.lit(n), _SPAN)).repartition(slices(table.sparkSession), "__start")
-    return starts.withColumn(name, _block(F.col("__start"), F.lit(n), _SPAN)).drop("__start")
+def _draw_blocks(sizes: DataFrame, n: int, seed: int) -> DataFrame:
+    """(dimension, k, salt, draw, picks): the places picked by the slots of blocks of resamples.
 
+    ``sizes`` has the numbers of clusters ``k`` of each ``dimension``. Groups
+    with the same number share their draws. ``draw`` is the first of a block.
+    """
+    each = F.greatest(F.lit(1).cast("bigint"), F.floor(F.lit(_PICKS) / F.col("k")))
+    first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"), F.col("each")))
+    blocks = sizes.withColumn("each", each).withColumn("draw", first).repartition(slices(sizes.sparkSession), "dimension", "k", "draw")
+    slots = F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)
 
-def _placed(clusters: DataFrame, keys: list[str]) -> DataFrame:
-    """Clusters with their place ``idx`` among the ``k`` of their group and dimension."""
-    group = Window.partitionBy(*keys, "dimension")
-    return clusters.select(
-        *keys,
-        "dimension",
-        "num",
-        "den",
-        (F.row_number().over(group.orderBy("item")) - 1).cast("bigint").alias("idx"),
-        F.count(F.lit(1)).over(group).alias("k"),
-    )
+    def pick(draw: Column, slot: Column) -> Column:
+        digest = _digest(F.lit(seed), draw, F.col("dimension"), slot)
+        return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.col("k")).cast("int")
 
+    of_block = F.sequence(F.col("draw"), F.least(F.col("draw") + F.col("each"), F.lit(n).cast("bigint")) - 1)
+    picks = F.transform(of_block, lambda draw: F.transform(slots, lambda slot: pick(draw, slot)))
+    return blocks.select("dimension", "k", (F.col("draw") / F.col("each") % _SALTS).cast("int").alias("salt"), "draw", picks.alias("picks"))
 
-def draws(sizes: DataFrame, n: int, seed: int) -> DataFrame:
-    """(draw, dimension, k, idx): the place picked by each slot of each resample.
 
-    ``sizes`` has the numbers of clusters ``k`` of each ``dimension``. Groups
-    with the same number share their draws.
-    """
-    parts = sizes.withColumn("__from", _blocks(F.col("k"), _SLOTS))
-    slots = _dealt(parts, n, "draw").withColumn("slot", _block(F.col("__from"), F.col("k"), _SLOTS))
-    digest = _digest(F.lit(seed), F.col("draw"), F.col("dimension"), F.col("slot"))
-    pick = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % F.col("k")
-    return slots.select("draw", "dimension", "k", pick.alias("idx"))
+def draws(sizes: DataFrame, n: int, seed: int) -> DataFrame:
+    """(draw, dimension, k, idx): the place picked by each slot of each resample."""
+    rows = _draw_blocks(sizes, n, seed).select("dimension", "k", "draw", F.posexplode("picks").alias("__at", "__picks"))
+    slots = rows.select((F.col("draw") + F.col("__at")).alias("draw"), "dimension", "k", F.explode("__picks").alias("idx"))
+    return slots.withColumn("idx", F.col("idx").cast("bigint"))
 
 
 def replicates(clusters: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
     """(keys, draw, dimension, ratio): the weighted mean of every resample."""
-    sums = _placed(clusters, keys)
-    picked = draws(sums.select("dimension", "k").distinct(), n, seed)
-    return (
-        picked.join(sums, ["dimension", "k", "idx"])
-        .groupBy(*keys, "draw", "dimension")
-        .agg(F.try_divide(F.sum("num"), F.sum("den")).alias("ratio"))
-    )
+    sums = cut(_sized(clusters, keys))
+    picked = _draw_blocks(sums.select("dimension", "k").distinct(), n, seed)
+    salted = sums.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+
+    def total(values: str, picks: Column) -> Column:
+        return F.aggregate(picks, F.lit(0.0), lambda acc, at: acc + F.get(F.col(values), at))
+
+    ratios = F.transform("picks", lambda p: F.try_divide(total("nums", p), total("dens", p)))
+    met = picked.join(salted, ["dimension", "k", "salt"]).select(*keys, "dimension", "draw", F.posexplode(ratios).alias("__at", "ratio"))
+    return met.select(*keys, (F.col("draw") + F.col("__at")).alias("draw"), "dimension", "ratio")
 
 
 def _bounds(value: Column | str, alpha: float) -> Column:
@@ -145,36 +154,83 @@ def all_intervals(
     return bounds.select(*keys, *ends)
 
 
-def sign_flip_p(clusters: DataFrame, keys: list[str], n: int = SIGN_FLIPS, seed: int = 0) -> DataFrame:
-    """Two-sided randomisation p-value with one sign per item cluster.
-
-    ``num`` holds weighted differences. One is added to both counts, so a
-    p-value is never zero; an effect of zero gives one.
-    """
-    unit = ["dimension", "item"]
+def effects(clusters: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, dimension, item, coef): what each item adds to the equal-weight mean over dimensions."""
     dens = clusters.groupBy(*keys, "dimension").agg(F.sum("den").alias("__den"))
     n_dims = dens.groupBy(*keys).agg(F.count(F.lit(1)).alias("__dims"))
     weighed = clusters.join(dens, [*keys, "dimension"]).join(n_dims, keys)
-    coefficients = weighed.select(*keys, *unit, (F.col("num") / F.col("__den") / F.col("__dims")).alias("coef"))
-    observed = coefficients.groupBy(*keys).agg(F.sum("coef").alias("observed"))
+    return weighed.select(*keys, "dimension", "item", (F.col("num") / F.col("__den") / F.col("__dims")).alias("coef"))
+
+
+def _signs(n: int, seed: int):
+    """Blocks of flips with the signs of their bundle's items as one number a flip."""
+
+    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signs = []
+            for row in batch.to_pylist():
+                flips = [str(flip) for flip in range(row["flip"], min(row["flip"] + _FLIPS, n))]
+                number = np.zeros(len(flips), dtype=np.int32)
+                for unit in row["units"]:
+                    rest = f":{row['dimension']}:{unit['item']}"
+                    # the last bit of the first four bytes of the digest
+                    odd = [md5(f"{seed}:{flip}{rest}".encode()).digest()[3] & 1 for flip in flips]
+                    number += np.array(odd, dtype=np.int32) * unit["bit"]
+                signs.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.select(["dimension", "bundle", "flip"]).columns, pa.array(signs, pa.list_(pa.int32()))], ["dimension", "bundle", "flip", "signs"])
+
+    return of_batches
 
-    # items stand in bundles, so that a bundle's signs are one number
+
+def flip_sums(coefficients: DataFrame, keys: list[str], n: int, seed: int) -> DataFrame:
+    """(keys, flip, sums): the sum under every choice of signs, in blocks of flips.
+
+    Items stand in bundles, so that a bundle's signs are one number. What a
+    group adds in a bundle under each number is a table to look it up in.
+    """
+    unit = ["dimension", "item"]
     place = F.row_number().over(Window.partitionBy("dimension").orderBy("item")) - 1
-    units = cut(coefficients.select(*unit).distinct().withColumn("__place", place)).select(
-        *unit, F.floor(F.col("__place") / _BUNDLE).alias("bundle"), F.pow(F.lit(2), F.col("__place") % _BUNDLE).cast("int").alias("bit")
-    )
+    units = coefficients.select(*unit).distinct().withColumn("__place", place)
+    units = cut(units.select(*unit, F.floor(F.col("__place") / _BUNDLE).alias("bundle"), F.pow(F.lit(2), F.col("__place") % _BUNDLE).cast("int").alias("bit")))
     bundle = ["dimension", "bundle"]
-    # what a bundle adds under every choice of signs; written, so that its size is known to the join
-    chosen = coefficients.join(units, unit).withColumn("signs", F.explode(F.sequence(F.lit(0), F.lit(2**_BUNDLE - 1))))
-    positive = F.col("signs").bitwiseAND(F.col("bit")) != 0
-    sums = cut(chosen.groupBy(*keys, *bundle, "signs").agg(F.sum(F.when(positive, F.col("coef")).otherwise(-F.col("coef"))).alias("part")))
-
-    digit = F.substring(_digest(F.lit(seed), F.col("flip"), F.col("dimension"), F.col("item")), 8, 1)
-    signs = F.sum(F.when(digit.isin(*"13579bdf"), F.col("bit")).otherwise(0)).cast("int")
-    flips = _dealt(units, n, "flip").groupBy("flip", *bundle).agg(signs.alias("signs"))
-    flipped = flips.join(sums, [*bundle, "signs"]).groupBy(*keys, "flip").agg(F.sum("part").alias("flipped"))
-    tested = flipped.join(observed, keys).groupBy(*keys).agg(
-        F.count_if(F.abs("flipped") >= F.abs("observed") - _TIE).alias("extreme"), F.max("observed").alias("observed")
+
+    first = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"), F.lit(_FLIPS).cast("bigint")))
+    bundles = units.groupBy(*bundle).agg(F.collect_list(F.struct("item", "bit")).alias("units"))
+    blocks = bundles.withColumn("flip", first).repartition(slices(coefficients.sparkSession), *bundle, "flip")
+    chosen = blocks.mapInArrow(_signs(n, seed), "dimension string, bundle bigint, flip bigint, signs array<int>")
+
+    def part(choice: Column) -> Column:
+        return F.aggregate("held", F.lit(0.0), lambda acc, h: acc + F.when(choice.bitwiseAND(h["bit"]) != 0, h["coef"]).otherwise(-h["coef"]))
+
+    held = coefficients.join(units, unit).groupBy(*keys, *bundle).agg(F.collect_list(F.struct("bit", "coef")).alias("held"))
+    parts = cut(held.select(*keys, *bundle, F.transform(F.sequence(F.lit(0), F.lit(2**_BUNDLE - 1)), part).alias("parts")))
+
+    def summed(values: str) -> Column:
+        rows = F.collect_list(values)
+        return F.aggregate(F.slice(rows, 2, F.size(rows)), rows[0], lambda acc, row: F.zip_with(acc, row, lambda x, y: x + y)).alias("sums")
+
+    added = chosen.join(parts, bundle).select(*keys, "flip", "dimension", F.floor(F.col("bundle") / _CHUNK).alias("chunk"), F.transform("signs", lambda s: F.get(F.col("parts"), s)).alias("sums"))
+    return added.groupBy(*keys, "flip", "dimension", "chunk").agg(summed("sums")).groupBy(*keys, "flip").agg(summed("sums"))
+
+
+def extreme(sums: Column, observed: Column) -> Column:
+    """How many of a block of sums are as far from zero as what was observed."""
+    return F.size(F.filter(sums, lambda v: F.abs(v) >= F.abs(observed) - _TIE))
+
+
+def flip_p(observed: Column, n_extreme: Column, n: int) -> Column:
+    """One is added to both counts, so a p-value is never zero; an effect of zero gives one."""
+    return F.when(F.abs(observed) <= _ZERO, F.lit(1.0)).otherwise((n_extreme + 1) / F.lit(n + 1))
+
+
+def sign_flip_p(clusters: DataFrame, keys: list[str], n: int = SIGN_FLIPS, seed: int = 0) -> DataFrame:
+    """Two-sided randomisation p-value with one sign per item cluster.
+
+    ``num`` holds weighted differences.
+    """
+    coefficients = cut(effects(clusters, keys))
+    observed = coefficients.groupBy(*keys).agg(F.sum("coef").alias("observed"))
+    counted = flip_sums(coefficients, keys, n, seed).join(observed, keys).groupBy(*keys).agg(
+        F.sum(extreme(F.col("sums"), F.col("observed"))).alias("extreme"), F.max("observed").alias("observed")
     )
-    p_value = F.when(F.abs("observed") <= _ZERO, F.lit(1.0)).otherwise((F.col("extreme") + 1) / F.lit(n + 1))
-    return tested.select(*keys, p_value.alias("p_value"))
+    return counted.select(*keys, flip_p(F.col("observed"), F.col("extreme"), n).alias("p_value"))

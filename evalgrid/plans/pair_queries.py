@@ -58,32 +58,29 @@ views2 as (select a as model, b as opponent, diff, lo, hi, winner from verdicts
            union all select b, a, -diff, -hi, -lo, winner from verdicts)"""
 
 
-def _clusters(spark: SparkSession, folder: str) -> DataFrame:
-    sums = cut(_sums(spark, folder))
-    ranked = scope.ranked_only(sums)
+def _means(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The means per model and check, and the order of the board."""
+    ranked = scope.ranked_only(cut(_sums(spark, folder)))
     means = ranked.select(
         "model", "item", "sub", "dimension", (F.col("den") / F.col("n")).alias("weight"),
         (F.col("n_correct") / F.col("n")).alias("rate"),
     )
-    order = rank.positions(aggregate.headline(aggregate.dimension_scores(ranked, MODEL), MODEL))
-    return pairs.pair_clusters(pairs.shared_checks(means, order))
+    return means, rank.positions(aggregate.headline(aggregate.dimension_scores(ranked, MODEL), MODEL))
 
 
 @query(_CLUSTERS + " select a, b, round(diff, 6) as diff, n_pairs, n_items from diffs")
 def paired_diff(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(pairs.paired_diff(_clusters(spark, folder)), "diff")
+    return _rounded(pairs.paired_diff(pairs.pair_clusters(pairs.shared_checks(*_means(spark, folder)))), "diff")
 
 
 @query(_CI + " select a, b, round(lo, 6) as lo, round(hi, 6) as hi from ci")
 def paired_ci(spark: SparkSession, folder: str) -> DataFrame:
-    bounds = resample.headline_intervals(cut(_clusters(spark, folder)), pairs.PAIR, DRAWS)
-    return _rounded(bounds, "lo", "hi")
+    return _rounded(pairs.pair_intervals(*_means(spark, folder), DRAWS), "lo", "hi")
 
 
 @query(_CLUSTERS + _FLIP + " select a, b, round(p_value, 8) as p_value from flips")
 def signflip_p(spark: SparkSession, folder: str) -> DataFrame:
-    tested = resample.sign_flip_p(cut(_clusters(spark, folder)), pairs.PAIR, FLIPS)
-    return _rounded(tested, "p_value", digits=8)
+    return _rounded(pairs.pair_tests(*_means(spark, folder), FLIPS), "p_value", digits=8)
 
 
 def _verdicts(spark: SparkSession, folder: str) -> DataFrame:
