@@ -6,9 +6,10 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from pyspark.sql import functions as F  # noqa: E402
 from small import classes, docs_table, prose  # noqa: E402
+from test_near_copies import _plain, _similar  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
-from evalgrid.llm import mixing, packing, secret_scan, simhash, toxicity  # noqa: E402
+from evalgrid.llm import mixing, packing, secret_scan, toxicity  # noqa: E402
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -21,8 +22,7 @@ def test_stages_by_hand(spark, data):
     assert kept.columns == docs.columns and sorted(kept.collect()) == sorted(rows)
 
     kept = STAGES["near_duplicates"](spark, kept, data)
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"]) % 2**64 for r in rows}
-    roots = classes(prints, lambda a, b: (a ^ b).bit_count() <= 2)
+    roots = classes({r["doc_id"]: _plain(r["text"]) for r in rows}, _similar)
     rows = [r for r in rows if roots[r["doc_id"]] == r["doc_id"]]
     assert sorted(kept.collect()) == sorted(rows)
 
@@ -61,5 +61,5 @@ def test_odd_documents_pass_all_stages(spark, tmp_path):
 
 def test_all_are_registered():
     names = entry.queries()
-    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14))
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5
