@@ -59,3 +59,12 @@ def test_no_plan_of_scores_and_grades_multiplies_rows(spark, data):
 
 def test_scores_view_is_whole(spark, data):
     assert views.scores(spark, data).count() == views.table(spark, data, "lineitem").count()
+
+
+def test_the_rest_registers_without_the_training_package(monkeypatch):
+    import importlib.util
+
+    found = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *rest: None if name.startswith("evalgrid.llm") else found(name, *rest))
+    assert set(entry_points.queries()) == set(catalog.queries())
+    assert set(entry_points.oracle_sql()) == set(catalog.oracles())
