@@ -123,9 +123,17 @@ def judgment_errors(records: DataFrame) -> DataFrame:
     return records.withColumn("errors", F.array_compact(F.array(*problems)))
 
 
+def subset_row(new: DataFrame, prior: DataFrame, key: str = "model") -> DataFrame:
+    """One row ``subset``: whether ``new`` is non-empty and a strict subset of ``prior``.
+
+    Both sides are tagged and meet in one grouping. Null keys equal each other.
+    """
+    tagged = new.select(key, F.lit(1).alias("__side")).unionByName(prior.select(key, F.lit(2).alias("__side")))
+    sides = tagged.groupBy(key).agg(F.bit_or("__side").alias("__sides"))
+    seen = [F.count_if(F.col("__sides") == n) for n in (1, 2, 3)]
+    return sides.agg(((seen[0] == 0) & (seen[1] > 0) & (seen[2] > 0)).alias("subset"))
+
+
 def strict_subset(new: DataFrame, prior: DataFrame, key: str = "model") -> bool:
     """Whether ``new`` is non-empty and lists a strict subset of ``prior``."""
-    new_keys, prior_keys = new.select(key).distinct(), prior.select(key).distinct()
-    if new_keys.isEmpty() or not new_keys.join(prior_keys, key, "left_anti").isEmpty():
-        return False
-    return not prior_keys.join(new_keys, key, "left_anti").isEmpty()
+    return subset_row(new, prior, key).collect()[0]["subset"]

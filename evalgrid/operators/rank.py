@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evalgrid.operators import scope
+from evalgrid.operators import scan, scope
 
 
 def positions(board: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -24,6 +24,17 @@ def board_order(board: DataFrame) -> DataFrame:
     return board.orderBy("is_baseline", provisional, F.desc("score"), "model")
 
 
+def places(board: DataFrame) -> DataFrame:
+    """Add ``place`` in display order, from 1, whatever the number of models.
+
+    Numbered range by range, so no task holds the whole board.
+    """
+    provisional = ~F.col("is_baseline") & ~F.col("ranked_eligible")
+    staged = board.withColumn("__group", F.when(F.col("is_baseline"), 2).when(provisional, 1).otherwise(0))
+    order = [F.col("__group").asc(), F.col("score").desc(), F.col("model").asc()]
+    return scan.numbered(staged, order, "place").drop("__group")
+
+
 def leader_band(board: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Models whose interval reaches the leader's lower bound."""
     keys = keys or []

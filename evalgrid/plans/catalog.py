@@ -5,6 +5,7 @@ from __future__ import annotations
 from evalgrid.plans import (  # noqa: F401 - imported to register
     grade_queries,
     pair_queries,
+    publish_queries,
     registry,
     run_queries,
     score_queries,

@@ -527,9 +527,13 @@ def _page_requests(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "pages").select("page_id", made.alias("custom_id"))
 
 
-@query(f"select {_CUSTOM_ID} as custom_id, count(*) as n from pages group by all having count(*) > 1")
+@query(f"""with k as (select regexp_replace(url, '[0-9]+$', '') as url from pages)
+select {_CUSTOM_ID} as custom_id, count(*) as n from k group by all having count(*) > 1""")
 def request_id_collisions(spark: SparkSession, folder: str) -> DataFrame:
-    return gates.duplicate_ids(_page_requests(spark, folder), "custom_id")
+    """Pages whose addresses differ in a last number only, asked under one id."""
+    stem = F.regexp_replace("url", "[0-9]+$", "")
+    made = table(spark, folder, "pages").select(ids.custom_id(F.lit("pages"), stem, F.lit(0), F.lit("response")).alias("custom_id"))
+    return gates.duplicate_ids(made, "custom_id")
 
 
 def _threads(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

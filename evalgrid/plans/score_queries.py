@@ -125,11 +125,7 @@ def coverage_gaps(spark: SparkSession, folder: str) -> DataFrame:
     """Checks off the typical number of generations of their run and model."""
     sums = cut(_sums(spark, folder, ["run_id", "model"]))
     roster = sums.groupBy("run_id", "model").agg(F.round(F.avg("n")).cast("bigint").alias("generations"))
-    runs = roster.select("run_id").distinct()
-    checks = views.expected_checks(spark, folder)
-    names = [row["run_id"] for row in runs.collect()]  # a row per run
-    expected = checks.withColumn("run_id", F.explode(F.array(*map(F.lit, names)).cast("array<string>")))
-    gaps = coverage.coverage_gaps(sums, expected, roster, ["run_id"])
+    gaps = coverage.coverage_gaps(sums, views.expected_checks(spark, folder), roster, ["run_id"])
     return gaps.groupBy("run_id", "model", "status").agg(
         F.count(F.lit(1)).alias("n_checks"), F.sum("n_seen").alias("n_seen")
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,19 +107,34 @@ def occurrence_numbers(spark: SparkSession, folder: str) -> DataFrame:
     return audit.with_occurrence(orders, ["o_custkey"], "d", ["o_orderkey"]).select("o_custkey", "o_orderkey", "occurrence")
 
 
-_SAVED = {"kpi": "SHIP", "why": "one, two", "list": [1, {"k": "v"}]}
-_SAVED_TEXT = json.dumps(_SAVED)
+# c_at, s_at: where the values begin in the text that the query below makes
+_ORDER_CUT = """with o as (select o_orderkey, o_orderpriority as p, cast(o_custkey as varchar) as c, o_orderstatus as s from orders),
+t as (select *, 13 + length(p) + 7 as c_at, 13 + length(p) + 7 + length(c) + 19 as s_at from o),
+cut as (select *, 1 + (o_orderkey * 7 + 3) % (s_at + length(s) + 16) as n from t)"""
 
 
-@query(f"""with c as (select o_orderkey, 1 + o_orderkey % {len(_SAVED_TEXT)} as n from orders)
-select n, count(*) as n_answers, n > {_SAVED_TEXT.find('"SHIP')} as kept from c group by all""")
+@query(_ORDER_CUT + """ select o_orderkey, case when n >= 13 then rtrim(left(p, cast(n - 13 as int))) end as priority,
+  case when n > c_at then cast(left(c, cast(n - c_at as int)) as bigint) end as customer,
+  case when n >= s_at then left(s, cast(n - s_at as int)) end as status from cut""")
 def json_salvage(spark: SparkSession, folder: str) -> DataFrame:
-    """One answer cut at every place; what stood before the cut is kept."""
-    cut = table(spark, folder, "orders").select((F.lit(1) + F.col("o_orderkey") % len(_SAVED_TEXT)).alias("n"))
-    parsed = parsing.parse_objects(cut.withColumn("text", F.left(F.lit(_SAVED_TEXT), F.col("n").cast("int"))))
-    value = F.try_variant_get("parsed", "$.kpi", "string")
-    kept = F.coalesce(F.startswith(F.lit("SHIP"), value), F.lit(False))
-    return parsed.groupBy("n").agg(F.count(F.lit(1)).alias("n_answers"), F.bool_and(kept).alias("kept"))
+    """Every order as an answer cut somewhere; what stood before the cut is kept.
+
+    Blanks at the end of an answer are trimmed before anything else.
+    """
+    fields = F.struct(
+        F.col("o_orderpriority").alias("priority"),
+        F.col("o_custkey").alias("by"),
+        F.array(F.struct(F.col("o_orderstatus").alias("state"), F.lit("a, {b").alias("w"))).alias("list"),
+    )
+    texts_ = table(spark, folder, "orders").select("o_orderkey", F.to_json(fields).alias("whole"))
+    n = F.lit(1) + (F.col("o_orderkey") * 7 + 3) % F.length("whole")
+    parsed = parsing.parse_objects(texts_.select("o_orderkey", F.left("whole", n.cast("int")).alias("text")))
+    return parsed.select(
+        "o_orderkey",
+        F.try_variant_get("parsed", "$.priority", "string").alias("priority"),
+        F.try_variant_get("parsed", "$.by", "bigint").alias("customer"),
+        F.try_variant_get("parsed", "$.list[0].state", "string").alias("status"),
+    )
 
 
 @query("with" + views.SCORES + """
@@ -206,14 +219,17 @@ def merge_of_runs(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.merge_runs(*parts).groupBy("model").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select cast(p_partkey as varchar) as id, p_brand as brand from part""")
+@query("""select cast(p_partkey as varchar) as id, p_brand as brand, p_type as key_type, p_size as key_size,
+  n as n_sold from part join (select l_partkey, count(*) as n from lineitem group by all) on l_partkey = p_partkey""")
 def attached_keys(spark: SparkSession, folder: str) -> DataFrame:
-    """Cases with the key that belongs to each."""
+    """Parts that were sold as cases, each with the key that belongs to it."""
     parts = table(spark, folder, "part")
+    sold = table(spark, folder, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n_sold"))
     cases = parts.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_brand").alias("brand"))
-    keys = parts.select(F.col("p_partkey").cast("string").alias("id"))
-    checks.attach_keys(cases, keys)
-    return cases.join(keys, "id").select("id", "brand")
+    cases = cases.join(sold.select(F.col("p_partkey").cast("string").alias("id")), "id", "left_semi")
+    keys = parts.join(sold, "p_partkey").select(F.col("p_partkey").cast("string").alias("id"), "p_type", "p_size", "n_sold")
+    attached = checks.attach_keys(cases, keys)
+    return attached.select("id", "brand", F.col("key.p_type").alias("key_type"), F.col("key.p_size").alias("key_size"), "key.n_sold")
 
 
 _BOARD = """with b as (select 'm' || (l_suppkey % 40) as model, avg(l_quantity) as score, l_suppkey % 40 = 7 as is_baseline,
@@ -231,9 +247,7 @@ def _board(spark: SparkSession, folder: str) -> DataFrame:
 @query(_BOARD + """ select model, row_number() over (order by is_baseline, not is_baseline and not ranked_eligible, score desc, model) as place from b""")
 def display_order(spark: SparkSession, folder: str) -> DataFrame:
     """Where each model stands on the displayed board."""
-    ordered = rank.board_order(_board(spark, folder)).select("model")
-    placed = ordered.agg(F.collect_list("model").alias("m")).select(F.posexplode("m").alias("place", "model"))  # a row per model
-    return placed.select("model", (F.col("place") + 1).cast("bigint").alias("place"))
+    return rank.places(_board(spark, folder)).select("model", "place")
 
 
 @query(_BOARD + " select model, round(score, 4) as value, round(score - 1, 4) as lo, round(score + 1, 4) as hi from b")
@@ -281,8 +295,7 @@ def generation_split(spark: SparkSession, folder: str) -> DataFrame:
 def subset_gate(spark: SparkSession, folder: str) -> DataFrame:
     """Whether the customers in credit are a strict part of all customers."""
     customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("model"), "c_acctbal")
-    held = gates.strict_subset(customers.filter("c_acctbal > 0"), customers)
-    return customers.limit(1).select(F.lit(held).alias("subset"))
+    return gates.subset_row(customers.filter("c_acctbal > 0"), customers)
 
 
 @query("""select outcome, count(*) as n from (select case when event_id % 11 = 0 then 'unreadable' when event_id % 5 = 0 then 'unknown' else 'merged' end as outcome

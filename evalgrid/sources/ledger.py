@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evalgrid import schemas
 
@@ -26,5 +27,14 @@ def write_pairs(records: DataFrame, path: str) -> None:
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Pair records, as one JSON array or one object per line."""
-    return spark.read.schema(schemas.ddl(schemas.PAIRS)).option("multiLine", True).json(path)
+    """Pair records, as files of one JSON array or of one object per line.
+
+    A file with a line that opens a list is an array; the two kinds may be
+    mixed. Each is read by the reader that suits it.
+    """
+    file = F.col("_metadata.file_path").alias("__file")
+    arrays = spark.read.text(path).filter(F.startswith(F.ltrim("value"), F.lit("["))).select(file).distinct()
+    reader = spark.read.schema(schemas.ddl(schemas.PAIRS))
+    lines = reader.json(path).select("*", file).join(arrays, "__file", "left_anti")
+    listed = reader.option("multiLine", True).json(path).select("*", file).join(arrays, "__file", "left_semi")
+    return lines.unionByName(listed).drop("__file")
