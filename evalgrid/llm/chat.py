@@ -42,8 +42,8 @@ FOREIGN = (
 ESCAPE = "␛"
 #: The role whose text is learned.
 LEARNED = "assistant"
-#: Characters encoded at once; bounds the encoder's work on texts without spaces.
-_CHUNK = 4096
+#: White space as the split pattern knows it (fixed value), in runs beyond which its search would exhaust the stack.
+_LONG_BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
 _CONTROL = re.compile("|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in (*MARKS, *FOREIGN)))
 _ESCAPED = re.compile(f"{ESCAPE}(.)", re.DOTALL)
 
@@ -67,12 +67,22 @@ class Codec:
         self.first = max(table.values()) + 1
         self.begin, self.turn, self.text, self.end = range(self.first, self.first + len(MARKS))
         self.encoder = tiktoken.Encoding("plain", pat_str=_PATTERN, mergeable_ranks=table, special_tokens={})
+        self.one_word = tiktoken.Encoding("word", pat_str=r"(?s:.)+", mergeable_ranks=table, special_tokens={})
 
     def encode(self, text: str) -> list[int]:
+        """The vocabulary's ids of the whole text.
+
+        A very long run of white space is a word by itself, up to its last
+        character where a text follows, so the text can be cut around it.
+        """
         ids: list[int] = []
-        for at in range(0, len(text), _CHUNK):
-            ids += self.encoder.encode_ordinary(text[at : at + _CHUNK])
-        return ids
+        at = 0
+        for run in _LONG_BLANKS.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            ids += self.encoder.encode_ordinary(text[at : run.start()])
+            ids += self.one_word.encode_ordinary(text[run.start() : end])
+            at = end
+        return ids + self.encoder.encode_ordinary(text[at:])
 
     def decode(self, ids: list[int]) -> str:
         return self.encoder.decode_bytes(ids).decode()
@@ -166,7 +176,7 @@ def format_chats(
     place, so a conversation of any length passes through a task turn by turn.
     A conversation's tokens are its rows' in order of ``number``; the first
     row starts with the begin mark. Turns with equal numbers are ordered by
-    role and text, null turns come first, null ids are one conversation. Null
+    role, then by a hash of the text, null turns come first, null ids are one conversation. Null
     roles and texts are empty. Repeated rows are turns of their own.
     """
     turns = conversations.select(

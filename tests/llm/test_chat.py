@@ -45,6 +45,26 @@ def test_round_trip(spark):
         assert r["formatted_chars"] == len(shown)
 
 
+def test_long_texts_have_the_ids_of_the_whole_text():
+    codec = chat.Codec(open(chat.VOCABULARY, "rb").read())
+    run = " \u3000\n" * 5000
+    for text in ("the cat's 1st mat, \n\n" * 900, run, run + "x", "x" + run, f"a'{run[:-1]} b{run}\n'll {run[:9999]}c", "y\x1c" * 9000, "\x1c" * 30_000):
+        ids = codec.encode(text)
+        assert ids == codec.encoder.encode_ordinary(text) and codec.decode(ids) == text
+    huge = "a" + " " * 1_500_000 + "b"  # more than the split pattern can search
+    assert codec.decode(codec.encode(huge)) == huge
+
+
+def test_turns_of_one_number_do_not_depend_on_partitions(spark):
+    rows = [(1, 0, "user", f"text {k % 7}", "x", 1, 2) for k in range(20)] + [(1, 0, "assistant", "b", "x", 1, 2), (1, 0, "assistant", "a", "x", 1, 2)]
+    found = []
+    for order, parts in ((rows, 1), (rows[::-1], 5)):
+        out = chat.read_back(chat.format_chats(_chats(spark, order).repartition(parts))).first()
+        found.append(out["turns_sha256"])
+        assert (out["n_turns"], out["loss_chars"]) == (22, 2)
+    assert found[0] == found[1]
+
+
 def test_tokens_and_masks(spark):
     rows = [(1, 0, "user", "hello there", "x", 1, 2), (1, 1, "assistant", "general", "x", 1, 2)]
     out = sorted(chat.format_chats(_chats(spark, rows)).collect(), key=lambda r: r["number"])
