@@ -28,6 +28,8 @@ from evalgrid.llm.common import stored
 SAMPLE = 4096
 #: Vectors of a part on average, while the sample has ``PART_SAMPLE`` for each part.
 PART, PART_SAMPLE = 2000, 64
+#: Different sample vectors below which there is nothing to learn parts from.
+LEAST = 8
 #: Neighbours of a vertex of the graph.
 DEGREE = 10
 #: Share of true neighbours that the probed parts must hold on the unseen sample.
@@ -147,17 +149,21 @@ def train(x: np.ndarray, targets: np.ndarray) -> list[np.ndarray]:
 
 
 def fit_sample(x: np.ndarray, n: int, k: int = 5) -> Router:
-    """A router for ``n`` vectors, fitted on the different rows of the sample ``x``."""
+    """A router for ``n`` vectors, fitted on the different rows of the sample ``x``.
+
+    There are at least two parts, unless fewer than ``LEAST`` rows differ.
+    """
     x = np.unique(unit(x), axis=0) if len(x) else x
-    n_parts = max(1, min(-(-n // PART), len(x) // PART_SAMPLE))
-    if n_parts == 1:
+    if len(x) < LEAST:
         return Router([])
+    n_parts = max(2, min(-(-n // PART), len(x) // PART_SAMPLE))
     x = x[np.random.default_rng(_SEED).permutation(len(x))]
     seen = len(x) * 3 // 4
-    graph = neighbours(x[:seen], np.arange(seen), DEGREE)
+    degree = min(DEGREE, seen - 1)
+    graph = neighbours(x[:seen], np.arange(seen), degree)
     part = balanced_parts(x[:seen], graph, n_parts)
     targets = np.zeros((seen, n_parts))
-    np.add.at(targets, (np.repeat(np.arange(seen), DEGREE), part[graph].ravel()), 0.5 / DEGREE)
+    np.add.at(targets, (np.repeat(np.arange(seen), degree), part[graph].ravel()), 0.5 / degree)
     targets[np.arange(seen), part] += 0.5
     router = Router(train(x[:seen], targets), n_parts, n_parts)
     unseen = np.arange(seen, len(x))

@@ -47,7 +47,7 @@ def test_recall_with_few_probes(spark, monkeypatch):
     assert sizes.max() < 1.25 * sizes.mean()
 
 
-def test_one_part_is_exact_with_ties(spark):
+def test_few_vectors_are_exact_with_ties(spark):
     rng = np.random.default_rng(2)
     x = np.vstack([rng.normal(size=(80, 7)), np.tile(rng.normal(size=(1, 7)), (60, 1))])
     ids = rng.permutation(140)
@@ -73,3 +73,30 @@ def test_few_and_unusable_vectors(spark, n):
     x = np.arange(1, 3 * n + 1).reshape(n, 3) ** 2
     got = _found(ann.search(_table(spark, x, extra=odd), F.col("vec_id") % 1 == 0))
     assert set(got) == (set(range(n)) if n > 1 else set()) and all(len(r) == n - 1 for r in got.values())
+
+
+@pytest.mark.parametrize("n", [8, 100, 600, 2000])
+def test_parts_are_learned_at_every_size(n):
+    x = np.random.default_rng(n).normal(size=(n, 16))
+    router = ann.fit_sample(x, n)
+    assert router.n_parts == 2 and 1 <= router.probes <= 2
+    assert ann.fit_sample(np.tile(x[:5], (9, 1)), 45).n_parts == 1
+
+
+def test_recall_of_two_parts(spark):
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(6, 12)), 200, axis=0) + rng.normal(size=(1200, 12)) * 0.2
+    assert ann.fit_sample(x, len(x)).probes == 1
+    got = _found(ann.search(_table(spark, x), F.col("vec_id") % 50 == 0))
+    want = plain(x, np.arange(1200), list(range(0, 1200, 50)))
+    hits = [len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want]
+    assert set(got) == set(want) and sum(hits) >= 0.9 * 5 * len(want)
+
+
+def test_repeated_rows_keep_their_places(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 6))
+    x, ids = np.vstack([x, x[:1], x[1:2]]), np.array([*range(40), 0, 1])
+    out = [tuple(r) for r in ann.search(_table(spark, x, ids), F.col("vec_id") % 20 == 0).collect()]
+    # the repeated query is answered twice; the repeated candidate takes two ranks
+    assert len(out) == 15 and sum(r[0] == 0 for r in out) == 10
