@@ -159,9 +159,10 @@ def best_fit(
 
     One row for each piece; a document without tokens has one row with piece
     and tokens 0 and no bin. ``bin_id`` is ``shard:bin``. Negative and null
-    lengths count as 0. Repeated rows are packed each for itself; rows with
-    equal ids share a shard, and lengths and ids order a shard, so the result
-    does not depend on how the input is partitioned.
+    lengths count as 0. Repeated rows are packed each for itself. Shards are
+    dealt by a hash of id, length, source and cluster and ordered by the same,
+    so the result does not depend on how the input is partitioned, and neither
+    null nor repeated ids fill a shard; only rows equal in all four share one.
     """
     shards = max(1, -(-docs.count() // per_shard))
     items = docs.select(
@@ -169,7 +170,7 @@ def best_fit(
         F.greatest(F.coalesce(length.cast("bigint"), F.lit(0)), F.lit(0)).alias("length"),
         F.col(source).cast("string").alias("source"),
         cluster.cast("bigint").alias("cluster"),
-    ).withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
+    ).withColumn("shard", F.pmod(F.xxhash64("id", "length", "source", "cluster"), F.lit(shards)))
     dealt = items.repartition("shard").sortWithinPartitions("shard", (F.col("length") % capacity).desc(), "id", "length", "source", "cluster")
     kind = items.schema["id"].dataType.simpleString()
     placed = dealt.mapInArrow(
