@@ -32,7 +32,6 @@ PENALTY = 3.0
 LEAST_SHARE = 0.01
 #: What a text without letters, or without a known language, is called (fixed value).
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 _STEPS, _SETTLED = 40, 1e-4
 
@@ -71,7 +70,7 @@ def mixture(chances: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]
 
 def infer(model: Model, text: str) -> list[tuple[str, float]]:
     """(language, proportion) of a text, largest first; empty if undetermined."""
-    if not model.languages or not _LETTER.search(text):
+    if not model.languages or not any(map(str.isalpha, text)):
         return []
     tally = np.bincount(grams(text), minlength=BUCKETS)
     here = np.flatnonzero(tally)
