@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from evalgrid.functions import verdicts
-from evalgrid.operators import resample
+from evalgrid.operators import resample, scan
 from evalgrid.session import cut
 
 PAIR = ["a", "b"]
@@ -139,16 +138,22 @@ def paired_diff(clusters: DataFrame) -> DataFrame:
 def holm_adjust(df: DataFrame, p: str = "p_value", family: list[str] | None = None) -> DataFrame:
     """Add ``p_adjusted``: step-down adjusted p-values within each family.
 
-    A family holds one row per comparison, so it is small: the number of
-    models squared at most.
+    Ranks and the running maximum are worked out range by range, so no task
+    holds a whole family, however many pairs its models make.
     """
     family = family or []
-    ties = [c for c in PAIR if c in df.columns]
-    ordered = Window.partitionBy(*family).orderBy(p, *ties)
-    m = F.count(F.lit(1)).over(Window.partitionBy(*family))
-    stepped = df.withColumn("__step", (m - F.row_number().over(ordered) + 1) * F.col(p))
-    running = F.max("__step").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return stepped.withColumn("p_adjusted", F.least(F.lit(1.0), running)).drop("__step")
+    ties = [F.col(c) for c in PAIR if c in df.columns]
+    ranked = scan.numbered(cut(df), [F.col(p).asc(), *ties], "__rank", tuple(family))
+    if family:
+        # null families are one, as in a window
+        sizes = ranked.groupBy(*family).agg(F.count(F.lit(1)).alias("__size"))
+        same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in family]
+        sized = ranked.alias("r").join(sizes.alias("s"), same).select("r.*", "__size")
+    else:
+        sized = ranked.withColumn("__size", ranked.agg(F.count(F.lit(1))).scalar())
+    step = (F.col("__size") - F.col("__rank") + 1) * F.col(p)
+    stepped = scan.running(sized, [F.col("__rank").asc()], {"__running": ("max", step)}, tuple(family))
+    return stepped.withColumn("p_adjusted", F.least(F.lit(1.0), "__running")).drop("__rank", "__size", "__running")
 
 
 def compare(

@@ -177,6 +177,28 @@ def test_holm(spark):
     assert got == pytest.approx([0.03, 0.06, 0.06])
 
 
+def test_holm_by_plain_steps(spark):
+    rows = [(f"f{k % 3}" if k % 3 else None, f"a{k:04d}", "z", None if k % 50 == 7 else ((k * 7919) % 900) / 3e5) for k in range(900)]
+    df = spark.createDataFrame(rows, "fam string, a string, b string, p_value double").repartition(5)
+
+    def plain(rows):
+        ordered, out, top = sorted(rows, key=lambda r: (r[3] is not None, r[3] or 0, r[1])), {}, None
+        for at, r in enumerate(ordered):
+            if r[3] is not None:
+                top = max(top or 0.0, (len(rows) - at) * r[3])
+            out[r[1]] = 1.0 if top is None else min(1.0, top)
+        return out
+
+    one = {r["a"]: r["p_adjusted"] for r in pairs.holm_adjust(df).collect()}
+    assert one == pytest.approx(plain(rows))
+    apart = {r["a"]: r["p_adjusted"] for r in pairs.holm_adjust(df, family=["fam"]).collect()}
+    want = {}
+    for name in (None, "f1", "f2"):
+        want |= plain([r for r in rows if r[0] == name])
+    assert apart == pytest.approx(want)
+    assert pairs.holm_adjust(df.filter("false")).count() == 0
+
+
 def test_wins_cells_and_grid(spark):
     records = spark.createDataFrame(
         [("x", "y", 0.1, 0.05, 0.2, "x"), ("x", "z", 0.1, 0.01, 0.2, None), ("y", "z", 0.0, -0.1, 0.1, None)],
