@@ -124,7 +124,7 @@ def publication_audit_unknown(spark: SparkSession, folder: str) -> DataFrame:
     return coverage.completeness_errors(requested, run["registry"], run["answers"], run["saved"], run["graded"], run["expected"], _OWED)
 
 
-_PAIR_ROWS = """select 'm' || (l_suppkey % 20) as a, 'm' || (20 + l_partkey % 20) as b, round(avg(l_discount) - avg(l_tax), 6) as delta,
+_PAIR_ROWS = """select 'm' || (l_suppkey % 20) as a, 'm' || (20 + l_partkey % 20) as b, cast(sum(cast(round(l_discount * 100) as bigint) - cast(round(l_tax * 100) as bigint)) as double) / count(*) as delta,
   count(distinct l_orderkey) as n_items, case when count(*) % 3 > 0 then 'm' || (l_suppkey % 20) end as winner from lineitem group by l_suppkey % 20, l_partkey % 20"""
 
 
@@ -132,10 +132,11 @@ _PAIR_ROWS = """select 'm' || (l_suppkey % 20) as a, 'm' || (20 + l_partkey % 20
 def pair_store(spark: SparkSession, folder: str) -> DataFrame:
     """Pair records published as lines and read back; a tie has no winner."""
     left, right = F.col("l_suppkey") % 20, F.col("l_partkey") % 20 + 20
+    cents = F.round(F.col("l_discount") * 100).cast("bigint") - F.round(F.col("l_tax") * 100).cast("bigint")  # sums in any order
     made = table(spark, folder, "lineitem").groupBy(
         F.concat(F.lit("m"), left.cast("string")).alias("a"), F.concat(F.lit("m"), right.cast("string")).alias("b")
     ).agg(
-        F.round(F.avg("l_discount") - F.avg("l_tax"), 6).alias("delta"), F.countDistinct("l_orderkey").alias("n_items"),
+        (F.sum(cents).cast("double") / F.count(F.lit(1))).alias("delta"), F.countDistinct("l_orderkey").alias("n_items"),
         F.count(F.lit(1)).alias("n"),
     ).withColumn("winner", F.when(F.col("n") % 3 > 0, F.col("a"))).drop("n")
     path = scratch_path(spark, "pairs")
