@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evalgrid.functions import ids, usage
 from evalgrid.functions.parsing import hold
 from evalgrid.operators import gates
-from evalgrid.session import cut
+from evalgrid.session import cut, slices
 
 # Fixed value: the layout of a single-turn prompt.
 _FEATURES_TITLE = "Candidate features:\n"
@@ -104,6 +104,19 @@ def request_bodies(rows: DataFrame, pending: DataFrame, thread: list[str]) -> Da
     return pending.join(listed.select(*thread, messages.alias("messages")), thread)
 
 
+def owed_turns(plan: DataFrame, models: DataFrame, generations: int) -> DataFrame:
+    """Every turn of ``plan`` that every model owes, in every generation.
+
+    Turns are dealt over slots and the models stand in each slot, so this is a
+    join on the slot whose work spreads over all tasks, however many there are.
+    """
+    slots = slices(plan.sparkSession)
+    everywhere = models.select("model", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("__slot"))
+    dealt = plan.withColumn("__slot", F.pmod(F.hash("item", "turn_id"), F.lit(slots)))
+    owed = F.sequence(F.lit(0).cast("bigint"), F.lit(generations - 1).cast("bigint"))
+    return dealt.join(everywhere, "__slot").drop("__slot").withColumn("generation", F.explode(owed))
+
+
 def stage_requests(
     models: DataFrame, cases: DataFrame, answers: DataFrame, generations: int,
     run_id: str, previous: DataFrame | None = None, max_tokens: int = 2048, system: str | None = None,
@@ -116,14 +129,8 @@ def stage_requests(
     roster = models.filter((F.col("provider") != "mock") & F.col("batch_supported"))
     roster = roster.select(F.col("name").alias("model"), "provider", F.col("id").alias("model_id"),
                            "price_in", "price_out", "price_cached_in", "batch_discount", F.lit(run_id).alias("run_id"))
-    names = [row["model"] for row in roster.select("model").collect()]  # a registry: a few dozen rows
     thread = ["model", "item", "generation"]
-    # every model owes every turn in every generation
-    planned = (
-        turn_plan(cases)
-        .withColumn("model", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")))
-        .withColumn("generation", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(generations - 1).cast("bigint"))))
-    )
+    planned = owed_turns(turn_plan(cases), roster, generations)
     waiting = pending_turns(planned, answers, thread)
     bodies = request_bodies(conversation_rows(planned, answers, waiting, thread, system), waiting, thread)
     kinds = cases.select(F.col("id").alias("item"), F.col("type").alias("schema"))

@@ -16,6 +16,7 @@ from evalgrid.operators import (
     ledger,
     rank,
     requests,
+    scan,
     scope,
 )
 from evalgrid.plans import answers, views
@@ -25,7 +26,8 @@ from evalgrid.plans.views import table
 from evalgrid.schemas import AUDIT_FLAGS
 from evalgrid.session import cut, scratch_path
 from evalgrid.sources import scores as score_store
-from evalgrid.streaming import ingest
+from evalgrid.streaming import ingest, stages
+from evalgrid.streaming.state import TurnState
 
 # --- usage, cost and settings -------------------------------------------------
 
@@ -635,6 +637,81 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return latest.select("model", "generation", "turn_id", "text")
 
 
+@query(_RESULTS_SQL + """
+select provider as model, u as generation, 't' || k as turn_id, arg_max('answer ' || e, e) filter (where not failed) as answer,
+  arg_max(failed, e) as call_failed, count(*) as n_calls
+from v where not stray group by all""")
+def turn_state(spark: SparkSession, folder: str) -> DataFrame:
+    """The state of every turn after three deliveries, each taken in by streams started anew."""
+    base = scratch_path(spark, "turns")
+    events = _events(spark, folder)
+    asked = cut(texts.turn_manifest(events))
+    state = TurnState(spark, f"{base}/log", f"{base}/state")
+    for part in (2, 0, 1):
+        delivered = texts.result_lines(events.filter(F.col("event_id") % 3 == part), texts.turn_request_id())
+        delivered.write.mode("append").text(f"{base}/lines")
+        ingest.ingest_results(
+            spark, f"{base}/lines", asked, f"{base}/log", f"{base}/checkpoint", written_at="$.written_at"
+        ).awaitTermination()
+        state.follow()
+    return state.turns().select(
+        "model", "generation", "turn_id", "answer", F.col("error").isNotNull().alias("call_failed"), "n_calls"
+    )
+
+
+_SPOKEN = """with u as (select conv_id, text, row_number() over (partition by conv_id order by turn, text) as i
+  from conversations where role = 'user'),
+s as (select conv_id, text, row_number() over (partition by conv_id order by turn, text) as i
+  from conversations where role = 'assistant'),"""
+
+
+@query(_SPOKEN + """
+m as (select 'm' || k as model, k from (values (0), (1)) as t(k)),
+q as (select model, u.conv_id, u.i, u.text, coalesce(s.text <> '' and length(s.text) % 5 <> k, false) as answered
+  from u cross join m left join s using (conv_id, i)),
+g as (select model, conv_id, count(*) as n, coalesce(min(case when not answered then i end), count(*) + 1) as stop from q group by all),
+stages as (select unnest(generate_series(1, (select max(stop) from g))) as stage)
+select g.model, cast(g.conv_id as varchar) as item, cast(stage as integer) as stage,
+  case when q.i = 1 then 'setup' else 't' || q.i end as turn_id,
+  cast(2 * q.i - 1 as integer) as n_messages, md5(q.text) as question
+from g cross join stages join q on q.model = g.model and q.conv_id = g.conv_id and q.i = least(stage, stop)""")
+def staged_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversations put to two models stage by stage, until a stage brings no new answer.
+
+    A question that fails or gets an empty answer is asked again in the next stage.
+    """
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    order = [F.col("turn").asc(), F.col("text").asc()]
+    spoken = {r: scan.numbered(rows.filter(F.col("role") == r), order, "i", ("conv_id",)) for r in ("user", "assistant")}
+    item = F.col("conv_id").cast("string")
+    turn = F.when(F.col("i") == 1, "setup").otherwise(F.concat(F.lit("t"), F.col("i").cast("string")))
+    none = F.lit(None).cast("string")
+    later = F.when(F.col("i") > 1, F.struct(F.col("i"), turn.alias("id"), F.col("text").alias("content")))
+    cases = spoken["user"].groupBy(item.alias("id")).agg(
+        F.max(F.when(F.col("i") == 1, F.col("text"))).alias("setup_prompt"),
+        F.sort_array(F.collect_list(later)).alias("turns"),
+    ).select(
+        "id", F.lit("conviction").alias("type"), none.alias("brief"), none.alias("prompt"),
+        F.array().cast("array<struct<id:string,label:string>>").alias("features"), "setup_prompt", "turns",
+    )
+    models = spark.createDataFrame(
+        [(f"m{k}", p, "x", 1.0, 2.0, None, 0.5, True) for k, p in enumerate(("openai", "anthropic"))],
+        "name string, provider string, id string, price_in double, price_out double, price_cached_in double, "
+        "batch_discount double, batch_supported boolean",
+    )
+    answers_said = cut(spoken["assistant"].select(item.alias("item"), turn.alias("turn_id"), F.col("text").alias("said")))
+    run = stages.StagedRun(spark, scratch_path(spark, "staged"), models, cut(cases), 1, "r1")
+
+    def send(stage: DataFrame, deliveries: str) -> None:
+        texts.answer_lines(stage.join(answers_said, ["item", "turn_id"])).write.mode("append").text(deliveries)
+
+    run.settle(send)
+    return run.asked().select(
+        "model", "item", "stage", "turn_id", F.size("messages").alias("n_messages"),
+        F.md5(F.element_at("messages", -1)["content"]).alias("question"),
+    )
+
+
 @query("with" + views.SCORES + """
 select model, count(*) as n, count(*) filter (where correct) as n_correct from scores_v
 where run_id = (select max(run_id) from scores_v) group by all""")

@@ -151,3 +151,28 @@ def turn_manifest(events: DataFrame) -> DataFrame:
     """What was asked: one request per vendor, user and key."""
     turn = F.concat(F.lit("t"), F.get_json_object("props", "$.k"))
     return _asked(events, turn_request_id(), _provider(), F.col("user_id"), turn).distinct()
+
+
+def answer_lines(requests: DataFrame) -> DataFrame:
+    """What vendors answer to ``requests`` whose replies are in ``said``.
+
+    Some calls fail and some bring back an empty answer, others for each vendor.
+    """
+    cid, size = F.col("custom_id"), F.length("said")
+    silent = size % 5 == F.when(F.col("provider") == "openai", 0).otherwise(1)
+    failed = silent & (size % 2 == 0)
+    text = F.when(silent, "").otherwise(F.col("said"))
+    trouble = F.when(failed, F.struct(F.lit("overloaded").alias("code")))
+    openai = F.struct(
+        cid.alias("custom_id"), trouble.alias("error"),
+        F.when(~failed, F.struct(F.lit(200).alias("status_code"), F.struct(text.alias("output_text")).alias("body"))).alias("response"),
+    )
+    block = F.struct(F.lit("text").alias("type"), text.alias("text"))
+    anthropic = F.struct(
+        cid.alias("custom_id"),
+        F.struct(
+            F.when(failed, "errored").otherwise("succeeded").alias("type"), trouble.alias("error"),
+            F.when(~failed, F.struct(F.array(block).alias("content"))).alias("message"),
+        ).alias("result"),
+    )
+    return requests.select(F.when(F.col("provider") == "openai", F.to_json(openai)).otherwise(F.to_json(anthropic)).alias("value"))

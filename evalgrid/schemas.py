@@ -41,6 +41,15 @@ RESPONSES = {
 
 USAGE = "struct<input_tokens:bigint,output_tokens:bigint,total_tokens:bigint,cached_input_tokens:bigint>"
 
+#: The columns of the log of taken-in result lines that say what counts.
+RESULT_LOG = {
+    "run_id": "string", "model": "string", "item": "string", "generation": "bigint", "turn_id": "string",
+    "text": "string", "provider": "string", "served_model": "string", "run_mode": "string",
+    "request_id": "string", "finish_reason": "string", "usage": USAGE, "cost_usd": "double", "error": "string",
+    "outcome": "string", "written_at": "bigint", "file_time": "timestamp", "file_name": "string",
+    "block": "bigint", "line": "bigint", "batch_id": "bigint",
+}
+
 TRACE = {
     "text": "string", "provider": "string", "model": "string", "run_mode": "string",
     "request_id": "string", "finish_reason": "string", "usage": USAGE, "cost_usd": "double",

@@ -16,6 +16,8 @@ from evalgrid.operators import grade, requests
 TURN = ["run_id", "model", "item", "generation", "turn_id"]
 #: Later in this order wins.
 ORDER = ["written_at", "batch_id", "file_time", "file_name", "block", "line"]
+#: What is known of a call.
+CALL = ["text", "provider", "served_model", "run_mode", "request_id", "finish_reason", "usage", "cost_usd", "error"]
 
 
 def ingest_results(
@@ -93,9 +95,7 @@ def current_traces(log: DataFrame) -> DataFrame:
 
     ``parse_ok`` tells whether its answer holds a JSON object.
     """
-    columns = ["text", "provider", "served_model", "run_mode", "request_id", "finish_reason", "usage",
-               "cost_usd", "error"]
-    return grade.parse_status(_latest(log.filter(_CALLED), columns))
+    return grade.parse_status(_latest(log.filter(_CALLED), CALL))
 
 
 def compact(log: DataFrame, path: str) -> None:
