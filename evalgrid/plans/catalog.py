@@ -10,6 +10,7 @@ from evalgrid.plans import (  # noqa: F401 - imported to register
     run_queries,
     score_queries,
     store_queries,
+    version_queries,
 )
 
 def queries() -> dict[str, registry.Query]:

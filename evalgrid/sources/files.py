@@ -1,8 +1,14 @@
-"""Whether paths exist, in whatever file system they name."""
+"""Named files: whether they exist, claiming one, and writing many from tasks."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import os
+import tempfile
+from collections.abc import Iterator
+from urllib.parse import urlsplit
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 
 def _place(spark: SparkSession, path: str):
@@ -13,3 +19,98 @@ def _place(spark: SparkSession, path: str):
 def exists(spark: SparkSession, path: str) -> bool:
     system, place = _place(spark, path)
     return system.exists(place)
+
+
+def names(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the entries of a folder, none if it is not there."""
+    system, place = _place(spark, folder)
+    return sorted(s.getPath().getName() for s in system.listStatus(place)) if system.exists(place) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()["value"]
+
+
+def claim(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file with ``text`` unless it is there; whether this call made it.
+
+    The file appears whole or not at all and never replaces another: a hard
+    link on local and mounted disks, a rename that must not overwrite on
+    others. File systems whose rename is a copy (object stores) give no such
+    promise.
+    """
+    system, place = _place(spark, path)
+    system.mkdirs(place.getParent())
+    if system.getUri().getScheme() == "file":
+        local = urlsplit(path).path
+        handle, aside = tempfile.mkstemp(prefix=".", dir=os.path.dirname(local))
+        with os.fdopen(handle, "w", encoding="utf-8") as out:
+            out.write(text)
+            out.flush()
+            os.fsync(out.fileno())
+        try:
+            os.link(aside, local)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(aside)
+        return True
+    jvm = spark._jvm
+    aside = jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{place.getName()}-{os.urandom(8).hex()}")
+    out = system.create(aside, False)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.NONE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(aside, place, options)
+    except Exception:
+        system.delete(aside, False)
+        if system.exists(place):
+            return False
+        raise
+    return True
+
+
+class _Written(WriterCommitMessage):
+    pass
+
+
+class _Writer(DataSourceWriter):
+    def __init__(self, path: str):
+        self.path = path
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        """Each row's file, written aside and renamed, so a repeated task leaves the same files."""
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(self.path) if ":" in self.path else (fs.LocalFileSystem(), self.path)
+        system.create_dir(root, recursive=True)
+        for row in rows:
+            aside = f"{root}/.{os.urandom(8).hex()}"
+            with system.open_output_stream(aside) as out:
+                out.write(row.value.encode("utf-8"))
+            system.move(aside, f"{root}/{row.name}")
+        return _Written()
+
+
+class NamedFiles(DataSource):
+    """Sink: rows of ``name`` and ``value``, a file each in the folder ``path``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "named_files"
+
+    def schema(self) -> str:
+        return "name string, value string"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _Writer(self.options["path"])
+
+
+def write_named(files: DataFrame, path: str) -> None:
+    """Write ``name``, ``value`` rows as files; a file of that name is replaced."""
+    files.sparkSession.dataSource.register(NamedFiles)
+    files.select("name", "value").write.format("named_files").mode("append").option("path", path).save()

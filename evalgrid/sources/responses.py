@@ -6,19 +6,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalgrid import schemas
+from evalgrid.sources import files
 
 _NAME = r"^(.*?)__(.*)\.json$"
 _SINGLE = "response"
 
 
-def _named_files(spark: SparkSession, path: str) -> DataFrame:
+def _pattern(models: list[str] | None) -> str:
+    """The names of the files of ``models``, as a pattern for the listing."""
+    marked = ["".join(f"\\{c}" if c in "*?[]{},\\" else c for c in m) for m in models or []]
+    return "*.json" if models is None else "{" + ",".join(f"{m}__*.json" for m in marked) + "}"
+
+
+def _named_files(spark: SparkSession, path: str, models: list[str] | None) -> DataFrame:
     """Whole files with the model and item their names carry.
 
-    The name is split at the first double underscore.
+    The name is split at the first double underscore. Files of other models
+    are left out of the listing and never opened.
     """
     name = F.col("_metadata.file_name")
     return (
-        spark.read.text(path, wholetext=True)
+        spark.read.option("pathGlobFilter", _pattern(models)).text(path, wholetext=True)
         .select("value", F.url_decode(name).alias("__name"))
         .filter(F.col("__name").rlike(_NAME))
         .select(
@@ -29,9 +37,9 @@ def _named_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def _generations(files: DataFrame) -> DataFrame:
+def _generations(whole: DataFrame) -> DataFrame:
     entries = F.try_variant_get("__entries", "$", "array<variant>")
-    return files.select("model", "item", F.posexplode(entries).alias("generation", "entry")).withColumn(
+    return whole.select("model", "item", F.posexplode(entries).alias("generation", "entry")).withColumn(
         "generation", F.col("generation").cast("bigint")
     )
 
@@ -40,27 +48,27 @@ def _kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
-def read_responses(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    """Answers as one row per generation and turn."""
+def read_responses(spark: SparkSession, path: str, run_id: str, models: list[str] | None = None) -> DataFrame:
+    """Answers as one row per generation and turn, of all models or the named ones."""
     entry = F.col("entry")
     single = F.create_map(F.lit(_SINGLE), F.try_variant_get(entry, "$", "string"))
     turns = F.when(_kind(entry) == "STRING", single).otherwise(
         F.try_variant_get(entry, "$", "map<string,string>")
     )
-    rows = _generations(_named_files(spark, path)).select(
+    rows = _generations(_named_files(spark, path, models)).select(
         F.lit(run_id).alias("run_id"), "model", "item", "generation", F.explode(turns).alias("turn_id", "text")
     )
     return rows.select(*schemas.RESPONSES)
 
 
-def read_traces(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+def read_traces(spark: SparkSession, path: str, run_id: str, models: list[str] | None = None) -> DataFrame:
     """Call traces as one row per call; an entry is a trace or a map of them."""
     entry = F.col("entry")
     flat = F.variant_get(entry, "$.text", "variant").isNotNull()
     named = F.when(flat, F.create_map(F.lit(_SINGLE), entry)).otherwise(
         F.try_variant_get(entry, "$", "map<string,variant>")
     )
-    rows = _generations(_named_files(spark, path)).select(
+    rows = _generations(_named_files(spark, path, models)).select(
         "model", "item", "generation", F.explode(named).alias("turn_id", "__trace")
     )
     fields = [
@@ -68,3 +76,19 @@ def read_traces(spark: SparkSession, path: str, run_id: str) -> DataFrame:
         for name, kind in schemas.TRACE.items()
     ]
     return rows.select(F.lit(run_id).alias("run_id"), "model", "item", "generation", "turn_id", *fields)
+
+
+def write_entries(entries: DataFrame, path: str) -> None:
+    """Answers or traces as files, one per model and item.
+
+    ``entries`` has ``model``, ``item``, ``generation`` and ``entry``, the JSON
+    text of a generation's answer, trace, or map of turns. A file is the list
+    of its entries by generation; a gap is an empty answer.
+    """
+    listed = F.collect_list(F.struct(F.col("generation").cast("int").alias("g"), "entry"))
+    by_place = F.map_from_entries(F.transform(F.col("__listed"), lambda e: F.struct(e["g"], e["entry"])))
+    last = F.array_max(F.map_keys("__at"))
+    filled = F.transform(F.sequence(F.lit(0), last), lambda g: F.coalesce(F.element_at("__at", g), F.lit('""')))
+    text = F.concat(F.lit("["), F.array_join(filled, ","), F.lit("]"))
+    whole = entries.groupBy("model", "item").agg(listed.alias("__listed")).withColumn("__at", by_place)
+    files.write_named(whole.select(F.concat("model", F.lit("__"), "item", F.lit(".json")).alias("name"), text.alias("value")), path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evalgrid import schemas
+from evalgrid.sources import files
 
 _STORE_KEYS = ("run_id", "model")
 
@@ -30,6 +31,15 @@ def read_score_files(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     return placed.withColumn("generation", place("model", "item", "dimension", "sub")).drop("__at")
 
 
+def write_score_files(scores: DataFrame, path: str, order: list[str]) -> None:
+    """Scores as JSON files, a list per model with its rows in ``order``."""
+    fields = F.struct(*schemas.SCORE_FILE)
+    rows = scores.select("model", F.struct(*order, fields.alias("__row")).alias("__placed"))
+    listed = F.transform(F.sort_array(F.collect_list("__placed")), lambda p: F.to_json(p["__row"]))
+    text = F.concat(F.lit("[\n"), F.array_join(listed, ",\n"), F.lit("\n]"))
+    files.write_named(rows.groupBy("model").agg(text.alias("value")).withColumn("name", F.concat("model", F.lit(".json"))), path)
+
+
 def write_scores(scores: DataFrame, path: str) -> None:
     """Store scores, replacing exactly the runs and models they cover.
 
