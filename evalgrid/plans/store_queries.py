@@ -12,8 +12,8 @@ from evalgrid.plans import run_queries, views
 from evalgrid.plans import vendor_text as texts
 from evalgrid.plans.registry import query
 from evalgrid.plans.views import table
-from evalgrid.session import scratch_path
-from evalgrid.sources import bank, batch_files, judge_files, scores
+from evalgrid.session import scratch_path, slices
+from evalgrid.sources import bank, batch_files, files, judge_files, scores
 from evalgrid.sources import ledger as runs
 
 _MODEL_ROWS = """select 'c' || c_custkey as name, case when c_custkey % 3 = 0 then 'Customer ' || c_custkey end as label,
@@ -47,7 +47,8 @@ def cases_read(spark: SparkSession, folder: str) -> DataFrame:
         F.array(F.struct(F.lit("f").alias("id"), F.lit("F").alias("label"))).alias("features"),
     )
     path = scratch_path(spark, "cases")
-    rows.repartition("part").write.partitionBy("part").json(path)
+    named = rows.select(F.concat(F.col("part").cast("string"), F.lit(".json")).alias("name"), F.to_json(F.struct("id", "type", "prompt", "features")).alias("value"))
+    files.write_named(named.repartition(slices(spark), "name"), path)
     return bank.read_cases(spark, path).select("id", "type", "prompt", F.size("features").alias("n_features"))
 
 
