@@ -1,7 +1,9 @@
-"""Saved answers and call traces: one file per model and item."""
+"""Saved answers and call traces: one file per model and item, loose in a folder or in a pack."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,13 +24,19 @@ def _named_files(spark: SparkSession, path: str, models: list[str] | None) -> Da
     """Whole files with the model and item their names carry.
 
     The name is split at the first double underscore. Files of other models
-    are left out of the listing and never opened.
+    are left out of the listing and never opened; in a pack, parts without
+    such names are skipped.
     """
-    name = F.col("_metadata.file_name")
+    if files.is_packed(spark, path):
+        named = files.read_packed(spark, path).withColumnRenamed("name", "__name")
+        if models is not None:
+            of_model = [F.startswith("__name", F.lit(f"{m}__")) for m in models]
+            named = named.filter(reduce(lambda a, b: a | b, of_model, F.lit(False)))
+    else:
+        listed = spark.read.option("pathGlobFilter", _pattern(models)).text(path, wholetext=True)
+        named = listed.select("value", F.url_decode("_metadata.file_name").alias("__name"))
     return (
-        spark.read.option("pathGlobFilter", _pattern(models)).text(path, wholetext=True)
-        .select("value", F.url_decode(name).alias("__name"))
-        .filter(F.col("__name").rlike(_NAME))
+        named.filter(F.col("__name").rlike(_NAME))
         .select(
             F.regexp_extract("__name", _NAME, 1).alias("model"),
             F.regexp_extract("__name", _NAME, 2).alias("item"),
@@ -78,8 +86,8 @@ def read_traces(spark: SparkSession, path: str, run_id: str, models: list[str] |
     return rows.select(F.lit(run_id).alias("run_id"), "model", "item", "generation", "turn_id", *fields)
 
 
-def write_entries(entries: DataFrame, path: str) -> None:
-    """Answers or traces as files, one per model and item.
+def write_entries(entries: DataFrame, path: str, packed: bool = False) -> None:
+    """Answers or traces as files, one per model and item, in a pack if ``packed``.
 
     ``entries`` has ``model``, ``item``, ``generation`` and ``entry``, the JSON
     text of a generation's answer, trace, or map of turns. A file is the list
@@ -91,4 +99,5 @@ def write_entries(entries: DataFrame, path: str) -> None:
     filled = F.transform(F.sequence(F.lit(0), last), lambda g: F.coalesce(F.element_at("__at", g), F.lit('""')))
     text = F.concat(F.lit("["), F.array_join(filled, ","), F.lit("]"))
     whole = entries.groupBy("model", "item").agg(listed.alias("__listed")).withColumn("__at", by_place)
-    files.write_named(whole.select(F.concat("model", F.lit("__"), "item", F.lit(".json")).alias("name"), text.alias("value")), path)
+    named = whole.select(F.concat("model", F.lit("__"), "item", F.lit(".json")).alias("name"), text.alias("value"))
+    (files.write_packed if packed else files.write_named)(named, path)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 
-from evalgrid.plans import store_queries
+import pytest
+
+from evalgrid.plans import store_queries, version_queries
 
 
 def test_cases_lie_in_one_folder(spark, data, tmp_path, monkeypatch):
@@ -14,3 +16,13 @@ def test_cases_lie_in_one_folder(spark, data, tmp_path, monkeypatch):
     names = {r["s_suppkey"] for r in suppliers.select("s_suppkey").collect()}
     assert {n for n in os.listdir(tmp_path / "cases") if n.endswith(".json")} == {f"{k}.json" for k in names}
     assert rows == suppliers.filter("s_acctbal >= 0").count()
+
+
+@pytest.mark.parametrize("name", ["traces_roundtrip"])
+def test_saved_runs_lie_in_few_files(spark, data, tmp_path, monkeypatch, name):
+    """As many as tasks wrote, not one per model and item."""
+    monkeypatch.setattr(version_queries, "scratch_path", lambda spark, name: f"{tmp_path}/{name}")
+    rows = getattr(version_queries, name)(spark, data)
+    assert len(rows.inputFiles()) <= 8 < rows.select("model", "item").distinct().count()
+    orders = spark.read.parquet(f"{data}/orders.parquet").selectExpr("count(*) + count_if(floor(o_orderkey / 64) % 3 = 0)")
+    assert rows.count() == orders.first()[0]

@@ -152,6 +152,24 @@ def test_entries_are_files_by_name(spark, tmp_path):
     assert read(["n"])[0] == {("n", "i", 0, "response"): "new"}
 
 
+def test_entries_in_a_pack_read_like_files(spark, tmp_path):
+    rows = [("m", "i__x", 0, '"a"'), ("m", "i__x", 2, '{"setup": "s", "t1": "\\u00e9\\n"}'), ("m{2},*", "i %2F/", 0, '"other"'), ("n", "i", 0, "3")]
+    entries = spark.createDataFrame(rows, "model string, item string, generation bigint, entry string")
+    responses.write_entries(entries, str(tmp_path / "raw"), packed=True)
+
+    def read(models=None):
+        found = responses.read_responses(spark, str(tmp_path / "raw"), "r", models).collect()
+        return {(r["model"], r["item"], r["generation"], r["turn_id"]): r["text"] for r in found}
+
+    assert read() == {
+        ("m", "i__x", 0, "response"): "a", ("m", "i__x", 1, "response"): "", ("m", "i__x", 2, "setup"): "s",
+        ("m", "i__x", 2, "t1"): "é\n", ("m{2},*", "i %2F/", 0, "response"): "other",
+    }
+    assert set(read(["m{2},*"])) == {("m{2},*", "i %2F/", 0, "response")} and read([]) == {}
+    with pytest.raises(Exception, match="without a name"):
+        responses.write_entries(entries.withColumn("model", F.lit(None).cast("string")), str(tmp_path / "none"), packed=True)
+
+
 def test_score_files_keep_their_order(spark, tmp_path):
     rows = [("m", n, "i", "d", f"s{n % 3}", n % 2 == 0, 0.5) for n in range(300)]
     scores = spark.createDataFrame(rows, "model string, at int, item string, dimension string, sub string, correct boolean, weight double")
