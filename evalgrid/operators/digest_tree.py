@@ -1,7 +1,7 @@
 """Digest trees: what changed between two versions of a bank, found from the top.
 
-A row's digest is that of its public content; a parent's is the set
-fingerprint of its children's names and digests. A tree is kept as a table
+A row's digest is that of its public content; a parent's is the digest of how
+many children it has and of the sums over its children's names and digests. A tree is kept as a table
 with one row per node, in a folder per level, so it is compared without the
 rows it was built from: equal tops end the walk, and below an unequal node
 only its own children are looked at.
@@ -18,12 +18,28 @@ from evalgrid.functions import hashing
 from evalgrid.session import cut
 
 
-def _level(children: DataFrame, keys: list[str], name: list[str]) -> DataFrame:
-    """The parents of ``children``, whose names are their ``name`` columns."""
-    line = F.concat_ws(":", F.to_json(F.struct(*name)), "digest")
-    return hashing.set_fingerprint(children.withColumn("__line", line), "__line", keys).select(
-        *keys, F.col("n_values").alias("n_children"), F.col("fingerprint").alias("digest")
-    )
+#: Where a digest of 64 hex digits is cut into numbers of 28 bits, whose sums as
+#: longs hold some 30 billion children.
+_CUTS = range(1, 64, 7)
+
+
+def _summed(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The nodes ``keys`` over ``__line``, the digest of each child.
+
+    Sums depend on no order and are combined on the map side: one shuffle,
+    and nothing is gathered. Equal lines count as often as they occur.
+    """
+    numbers = [F.conv(F.substring("__line", at, 7), 16, 10).cast("bigint").alias(f"__{at}") for at in _CUTS]
+    sums = [F.sum(f"__{at}").alias(f"__{at}") for at in _CUTS]
+    nodes = lines.select(*keys, *numbers).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_children"), *sums)
+    text = F.concat_ws(":", "n_children", *[F.col(f"__{at}").cast("string") for at in _CUTS])
+    return nodes.select(*keys, "n_children", F.sha2(text, 256).alias("digest"))
+
+
+def _level(children: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The parents of ``children``, whose names among their siblings are ``name``."""
+    line = F.sha2(F.concat_ws(":", F.to_json(F.struct(name)), "digest"), 256)
+    return _summed(children.select(*keys, line.alias("__line")), keys)
 
 
 def write_tree(rows: DataFrame, levels: list[str], id: str, path: str) -> None:
@@ -37,14 +53,12 @@ def write_tree(rows: DataFrame, levels: list[str], id: str, path: str) -> None:
     named = [*levels, id]
     content = [c for c in rows.columns if c not in named]
     text = hashing.canonical_json(rows, *content) if content else F.lit("{}")
-    spread = rows.select(*named, F.sha2(text, 256).alias("__content"))
-    counted = spread.groupBy(*named, "__content").agg(F.count(F.lit(1)).alias("__n"))
-    nodes = _level(counted.withColumn("digest", F.col("__content")), named, ["__n"])
+    nodes = _summed(rows.select(*named, F.sha2(text, 256).alias("__line")), named)
     for depth in range(len(named), -1, -1):
         nodes.write.mode("overwrite").parquet(f"{path}/level={depth}")
         if depth:
             below = read_level(rows.sparkSession, path, depth)
-            nodes = _level(below, named[: depth - 1], [named[depth - 1]])
+            nodes = _level(below, named[: depth - 1], named[depth - 1])
 
 
 def read_level(spark: SparkSession, path: str, depth: int) -> DataFrame:

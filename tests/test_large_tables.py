@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from evalgrid.operators import digest_tree
 from evalgrid.plans import store_queries, version_queries
 
 
@@ -26,3 +28,11 @@ def test_saved_runs_lie_in_few_files(spark, data, tmp_path, monkeypatch, name):
     assert len(rows.inputFiles()) <= 8 < rows.select("model", "item").distinct().count()
     orders = spark.read.parquet(f"{data}/orders.parquet").selectExpr("count(*) + count_if(floor(o_orderkey / 64) % 3 = 0)")
     assert rows.count() == orders.first()[0]
+
+
+def test_a_level_of_a_tree_shuffles_once(spark):
+    children = spark.range(40).select((F.col("id") % 3).alias("item"), "id", F.sha2(F.col("id").cast("string"), 256).alias("digest"))
+    level = digest_tree._level(children, ["item"], "id")
+    assert level._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r["item"]: r["n_children"] for r in level.collect()} == {0: 14, 1: 13, 2: 13}
+    assert level.select("digest").distinct().count() == 3
