@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalgrid.operators import digest_tree
-from evalgrid.plans import store_queries, version_queries
+from evalgrid.plans import grade_queries, store_queries, version_queries
 
 
 def test_cases_lie_in_one_folder(spark, data, tmp_path, monkeypatch):
@@ -36,3 +36,9 @@ def test_a_level_of_a_tree_shuffles_once(spark):
     assert level._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert {r["item"]: r["n_children"] for r in level.collect()} == {0: 14, 1: 13, 2: 13}
     assert level.select("digest").distinct().count() == 3
+
+
+def test_texts_stay_where_they_are_read(spark, data):
+    """The rules go to the texts: the texts are neither broadcast nor dealt by item."""
+    plan = grade_queries.honesty_grade(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
