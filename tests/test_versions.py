@@ -176,3 +176,17 @@ def test_score_files_keep_their_order(spark, tmp_path):
     score_files.write_score_files(scores.repartition(5), str(tmp_path / "scores"), ["at"])
     got = score_files.read_score_files(spark, str(tmp_path / "scores"), "r").orderBy("position").collect()
     assert [(r["sub"], r["correct"], r["generation"]) for r in got] == [(s, c, at // 3) for _, at, _, _, s, c, _ in rows]
+
+
+def test_packed_score_files_read_as_loose_ones(spark, tmp_path):
+    rows = [(f"m{n % 7}", n, "i", "d", f"s{n % 3}", n % 2 == 0, 0.5) for n in range(200)]
+    scores = spark.createDataFrame(rows, "model string, at int, item string, dimension string, sub string, correct boolean, weight double")
+    loose, pack = str(tmp_path / "loose"), str(tmp_path / "pack")
+    score_files.write_score_files(scores, loose, ["at"])
+    score_files.write_score_files(scores, pack, ["at"], packed=True)
+    assert not [p for p in (tmp_path / "pack").rglob("*.json")]
+    odd = spark.createDataFrame([("bad.json", "[{"), ("none.json", "[]"), ("one.json", '{"item": "i", "sub": "s"}')], "name string, value string")
+    files.write_named(odd, loose)
+    odd.select("name", "value").write.mode("append").parquet(f"{pack}/packed")
+    read = [sorted(map(repr, score_files.read_score_files(spark, path, "r").collect())) for path in (loose, pack)]
+    assert len(read[0]) == 202 and read[0] == read[1]
