@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from evalgrid.functions import ids, parsing
 from evalgrid.operators import gates, scope
 from evalgrid.schemas import AUDIT_FLAGS, JUDGMENT
+from evalgrid.session import cut
 
 CHECK = ["model", "item", "dimension", "sub"]
 #: Into how many ordered stretches the repeats of one check are split.
@@ -38,8 +39,8 @@ def with_occurrence(rows: DataFrame, keys: list[str], order: str, ties: list[str
     """
     shares = [k / STRETCHES for k in range(1, STRETCHES)]
     found = rows.agg(F.percentile_approx(order, shares, F.lit(100 * STRETCHES))).first()[0] or []
-    cut = rows.withColumn("__stretch", _stretch(F.col(order), sorted(set(found))))
-    sizes = cut.groupBy(*keys, "__stretch").agg(F.count(F.lit(1)).alias("__n"))
+    stretched = rows.withColumn("__stretch", _stretch(F.col(order), sorted(set(found))))
+    sizes = stretched.groupBy(*keys, "__stretch").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
     named = {k: f"__{k}" for k in (*keys, "__stretch")}
     shifts = sizes.select(
@@ -48,7 +49,7 @@ def with_occurrence(rows: DataFrame, keys: list[str], order: str, ties: list[str
     within = Window.partitionBy(*keys, "__stretch").orderBy(order, *(ties or []))
     same = [F.col(k).eqNullSafe(F.col(n)) for k, n in named.items()]
     return (
-        cut.withColumn("__at", F.row_number().over(within) - 1)
+        stretched.withColumn("__at", F.row_number().over(within) - 1)
         .join(shifts, same)
         .withColumn("occurrence", (F.col("__at") + F.col("__shift")).cast("bigint"))
         .drop("__at", "__shift", "__stretch", *named.values())
@@ -67,7 +68,7 @@ def seed_records(
     so the answer it is about can be found without guessing. Rows read from
     score files have no generation: their place in the file is their order.
     """
-    rows = scope.misses(scores) if only_misses else scores
+    rows = cut(scope.misses(scores) if only_misses else scores)  # numbering reads them several times
     numbered = with_occurrence(rows, ["run_id", *CHECK], "generation", ties)
     run, model, item = F.col("run_id"), F.col("model"), F.col("item")
     place = [F.lit("#"), F.col("position").cast("string")] if "position" in scores.columns else []

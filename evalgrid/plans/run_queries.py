@@ -254,7 +254,7 @@ def audit_payloads(spark: SparkSession, folder: str) -> DataFrame:
     from evalgrid.operators import checks, grade
     from evalgrid.plans.grade_queries import _full
 
-    responses = answers.label_responses(spark, folder)
+    responses = cut(answers.label_responses(spark, folder))  # graded, and joined to their records
     graded = grade.grade(responses, checks.checks_from_keys(_full(answers.label_keys(spark, folder))))
     payloads = audit.request_payloads(audit.seed_records(graded), responses)
     return payloads.groupBy(F.col("graded_model").alias("model")).agg(

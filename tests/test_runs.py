@@ -457,3 +457,11 @@ def test_floor_and_history(spark):
     board = spark.createDataFrame([("r1", "x", 90.0), ("r1", "a", 90.0), ("r1", "naive", 39.14)], "run_id string, model string, score double")
     assert rank.best_per_run(board).collect()[0]["best_model"] == "a"
     assert rank.naive_floor(board).collect()[0]["naive_floor"] == 39.1
+
+
+def test_payloads_do_not_grade_the_answers_anew_for_every_use(spark, data):
+    """Numbering and joining read what was graded once: no answer is parsed in the last plan."""
+    from evalgrid.plans.run_queries import audit_payloads
+
+    plan = audit_payloads(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "parse_json" not in plan.lower() and "parsejson" not in plan.lower() and "lineitem" not in plan
