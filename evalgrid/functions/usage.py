@@ -28,27 +28,35 @@ def _first(usage: Column, paths: tuple[str, ...]) -> Column:
     return F.coalesce(*[F.try_variant_get(usage, f"$.{p}", "bigint") for p in paths])
 
 
-def normalize_usage(usage: Column) -> Column:
-    """A vendor usage object (variant) as a struct of four counts.
+def usage_counts(usage: Column) -> Column:
+    """The counts that a vendor usage object (variant) reports, as a struct."""
+    places = {"input": _INPUT, "thoughts": _THOUGHTS, "reported": _OUTPUT, "total": _TOTAL, "reasoning": _REASONING, "cached": _CACHED}
+    return F.struct(*[_first(usage, paths).alias(name) for name, paths in places.items()])
+
+
+def reckoned(counts: Column) -> Column:
+    """``usage_counts`` as a struct of four counts.
 
     Thinking tokens are billed as output. Reasoning tokens are added only when
     the vendor's own total shows that the output count leaves them out.
     """
-    tokens_in = _first(usage, _INPUT)
-    thoughts = _first(usage, _THOUGHTS)
-    reported = _first(usage, _OUTPUT)
+    tokens_in, thoughts, reported = counts["input"], counts["thoughts"], counts["reported"]
     output = F.when(thoughts.isNotNull(), F.coalesce(reported, F.lit(0)) + thoughts).otherwise(reported)
-    total = _first(usage, _TOTAL)
-    reasoning = _first(usage, _REASONING)
+    total, reasoning = counts["total"], counts["reasoning"]
     left_out = (reasoning > 0) & (total == tokens_in + output + reasoning)
     return F.struct(
         tokens_in.alias("input_tokens"),
         F.when(left_out, output + reasoning).otherwise(output).alias("output_tokens"),
         total.alias("total_tokens"),
-        _first(usage, _CACHED).alias("cached_input_tokens"),
+        counts["cached"].alias("cached_input_tokens"),
     )
 
 
+def normalize_usage(usage: Column) -> Column:
+    """A vendor usage object (variant) as a struct of four counts."""
+    return reckoned(usage_counts(usage))
+
+
 def cost_usd(
     usage: Column,
     price_in: Column,

@@ -298,7 +298,8 @@ def normalize_results(lines: DataFrame, manifest: DataFrame, text: str = "value"
     shaped = hold(shaped, "text", F.when(good, answer_text(line, provider)).otherwise(""))
     shaped = hold(shaped, "finish_reason", F.when(good, finish_reason(line, provider)))
     shaped = hold(shaped, "__usage", F.when(good, usage_object(line, provider)))
-    shaped = hold(shaped, "usage", F.when(good, usage.normalize_usage(F.col("__usage"))))
+    shaped = hold(shaped, "__counts", usage.usage_counts(F.col("__usage")))
+    shaped = hold(shaped, "usage", F.when(good, usage.reckoned(F.col("__counts"))))
     request = (
         F.when(provider == "openai", F.coalesce(
             F.try_variant_get(line, "$.response.request_id", "string"),

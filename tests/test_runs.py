@@ -465,3 +465,14 @@ def test_payloads_do_not_grade_the_answers_anew_for_every_use(spark, data):
 
     plan = audit_payloads(spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "parse_json" not in plan.lower() and "parsejson" not in plan.lower() and "lineitem" not in plan
+
+
+def test_a_usage_count_is_looked_up_once_in_a_line(spark):
+    from evalgrid.plans import vendor_text
+
+    events = spark.createDataFrame([(1, 2, "view", 3.0, '{"k": 4}')], "event_id bigint, user_id bigint, event_type string, value double, props string")
+    lines = vendor_text.result_lines(events)
+    found = requests.normalize_results(lines, vendor_text.manifest(events))
+    assert found.select("usage.*").first().asDict() == {"input_tokens": 4, "output_tokens": 3, "total_tokens": 7, "cached_input_tokens": None}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.candidatesTokenCount") == plan.count("$.prompt_token_count") == 1
