@@ -130,6 +130,20 @@ class Holders(StatefulProcessor):
         pass
 
 
+def labelled(masked: DataFrame, labels: DataFrame, id: str) -> DataFrame:
+    """``masked`` rows with good and toxic by any of their ``labels``.
+
+    An id may be hot, so each label meets its rows under every salt. Catalyst
+    takes those rows for as small as the file of labels and would send them to
+    the driver to broadcast them; the hint has both sides shuffled instead.
+    """
+    told = labels.where(F.isnotnull(id)).groupBy(F.col(id).cast("bigint").alias("id"))
+    told = told.agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"), F.lit(True).alias("named"))
+    told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    known = masked.join(told.hint("merge"), ["id", "named", "salt"], "left")
+    return known.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
+
+
 class FilterAudit:
     """Counters of failure masks of the Parquet files ingested under ``checkpoint``.
 
@@ -156,11 +170,7 @@ class FilterAudit:
             F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"),
             (F.col("_metadata.row_index") % _SALTS).cast("int").alias("salt"),
         )
-        told = labels.where(F.isnotnull(self.id)).groupBy(F.col(self.id).cast("bigint").alias("id"))
-        told = told.agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"), F.lit(True).alias("named"))
-        told = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))  # an id may be hot
-        known = masked.join(told, ["id", "named", "salt"], "left")
-        known = known.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("good", "toxic")})
+        known = labelled(masked, labels, self.id)
         reduced = known.select(*_HELD, "named").mapInPandas(_reduced, f"{_ROW}, settled boolean")
         spread = F.when(F.col("settled"), F.xxhash64(*_WHO, F.spark_partition_id())).otherwise(F.xxhash64("digest"))
         counts = (

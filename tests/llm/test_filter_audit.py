@@ -97,3 +97,11 @@ def test_table_without_rows_or_labels(spark):
     assert audited(spark, [], [], files=1) == []
     docs = [(1, "Hello", "en"), (2, "Hello", "en")]
     assert set(audited(spark, docs, [], files=1)) == brute(docs, [])
+
+
+def test_labels_are_shuffled_and_not_sent_to_the_driver(spark):
+    masked = spark.range(40).selectExpr("id % 30 id", "true named", "cast(id % 8 as int) salt")
+    known = filter_audit.labelled(masked, spark.createDataFrame(LABELLED + [(3, 1, 0)], LABELS), "doc_id")
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted((r["id"], r["good"], r["toxic"]) for r in known.collect()) == sorted((k % 30, k % 30 == 3, k % 30 == 7) for k in range(40))
