@@ -133,3 +133,27 @@ def test_only_the_rows_and_the_choice_stay_in_the_shared_folder(spark, tmp_path,
     kept = near_copies.keep_one(docs_table(spark, [(1, base), (2, _edited(base, 1, 1)), (3, prose(6, 100, 5000))]))
     assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["marked", "stays"]
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
+def test_no_pair_inside_a_crowd_is_missed(spark):
+    passage = prose(1, 130, 50_000)  # strangers are 0.733 similar, each to one other text 0.817
+    tails = [prose(k + 2, 23, 50_000).split() for k in range(600)]
+    rows = [(k, " ".join([passage, *tail])) for k, tail in enumerate(tails)]
+    for k in range(40):
+        other = [f"edit{k}" if at in (4, 10, 16) else word for at, word in enumerate(tails[k])]
+        rows.append((600 + k, " ".join([passage, *other])))
+    kept = near_copies.keep_one(docs_table(spark, rows))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(600))
+
+
+def test_similar_texts_share_a_posting_where_they_can_still_be_similar(spark):
+    texts = [(k, f"{prose(1, 100, 5000)} {prose(k // 2 + 2, 20, 5000)} {prose(k + 90, 1 + k % 4, 5000)}") for k in range(24)]
+    texts += [(24, "a b"), (25, prose(3, 9, 5000)), (26, prose(3, 9, 5000) + " z")]
+    plain = {k: _plain(t) for k, t in texts}
+    posted = {}
+    for r in near_copies.prefixes(spark.createDataFrame(texts, "node bigint, text string")).collect():
+        assert r["size"] == len(plain[r["node"]])
+        posted.setdefault(r["key"], {})[r["node"]] = r["rest"]
+    met = {(a, b) for l in posted.values() for a in l for b in l if a < b and (min(l[a], l[b]) + 1) * 1.8 >= 0.8 * (len(plain[a]) + len(plain[b]))}
+    similar = {(a, b) for a in plain for b in plain if a < b and _similar(plain[a], plain[b])}
+    assert len(similar) > 10 and similar <= met
